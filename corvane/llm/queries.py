@@ -4,10 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import packing, sharding
+from corvane.llm import language, packing, quality, sharding, tokens
 from corvane.llm.tables import table
+from corvane.plans.scratch import cut
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are read once; their statistics, twenty numbers a document, serve to fit and to score."""
+    stats = cut(quality.with_statistics(table(spark, sf_dir, "documents"), ["doc_id"]), "statistics")
+    model = quality.fit(quality.training_rows(stats, table(spark, sf_dir, "labels")))
+    scored = quality.with_scores(stats, model, ["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = quality.held_out(F.col("doc_id"), 4, 2)
+    model = language.learn(documents.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return language.identify(documents, model, ["doc_id", held_out.alias("held_out")])
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +41,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_sharding": op8_sharding, "op10_packing": op10_packing}
+    return {
+        "op1_quality": op1_quality,
+        "op2_tokens": op2_tokens,
+        "op4_language": op4_language,
+        "op8_sharding": op8_sharding,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
