@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language, packing, quality, sharding, tokens
+from corvane.llm import contamination, language, packing, quality, secrets, sharding, simhash, tokens
 from corvane.llm.tables import table
 from corvane.plans.scratch import cut
 
@@ -25,6 +25,10 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = quality.held_out(F.col("doc_id"), 4, 2)
@@ -32,6 +36,16 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, model, ["doc_id", held_out.alias("held_out")])
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return secrets.scan(documents, secrets.learn(documents), ["doc_id"])
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_rows(table(spark, sf_dir, "documents"), 24)
 
@@ -44,11 +58,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_tokens": op2_tokens,
+        "op3_contamination": op3_contamination,
         "op4_language": op4_language,
+        "op6_secrets": op6_secrets,
+        "op7_simhash": op7_simhash,
         "op8_sharding": op8_sharding,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_packing": packing.oracle()}
+    return {"op3_contamination": contamination.oracle(), "op10_packing": packing.oracle()}
