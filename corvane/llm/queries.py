@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import contamination, language, packing, quality, secrets, sharding, simhash, tokens
+from corvane.llm import contamination, language, packing, quality, secrets, sharding, simhash, tokens, vectors
 from corvane.llm.tables import table
 from corvane.plans.scratch import cut
 
@@ -50,6 +50,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place_rows(table(spark, sf_dir, "documents"), 24)
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -63,9 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secrets": op6_secrets,
         "op7_simhash": op7_simhash,
         "op8_sharding": op8_sharding,
+        "op9_vectors": op9_vectors,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_contamination": contamination.oracle(), "op10_packing": packing.oracle()}
+    return {"op3_contamination": contamination.oracle(), "op9_vectors": vectors.oracle(), "op10_packing": packing.oracle()}
