@@ -32,12 +32,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and returns a scan of it, so that its lineage ends there.
 
     The table outlives lost executors. Column order and types are kept; an empty input gives an
     empty table of the same schema.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
