@@ -23,15 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.textbatch import pieces, texts_of
+from corvane.llm.textbatch import joined, pieces, span_hashes, texts_of, word_edges
 from corvane.plans.scratch import cut, scratch_path
 
 #: Ids of a block, unless one document has more.
 BLOCK = 1 << 18
 
-#: White space that regular expression engines disagree on; texts with it are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: White space beyond ASCII, or on which regular expression engines disagree; texts with it are encoded whole.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 # Decoding tables: for each control byte the lengths of its four values and their sum.
 _LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -59,62 +58,144 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(words).view("<u4").reshape(-1) & _MASKS[lengths - 1]
 
 
+def chunks(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, documents) of the chunks of all texts, in order.
+
+    They are what `` ?\\S+|\\s+(?!\\S)|\\s+`` finds: a word with the one space before it, and the
+    white space that is left. The tokenizer's own rule splits at each of their borders.
+    """
+    starts, ends = word_edges(data)
+    doc = np.searchsorted(begins, starts, "right") - 1
+    n = len(begins) - 1
+    first = np.ones(len(doc), bool)
+    first[1:] = doc[1:] != doc[:-1]
+    before = np.where(first, begins[doc], np.concatenate([[0], ends[:-1]])) if len(doc) else starts
+    gap = starts - before
+    spaced = (gap > 0) & (data[starts - 1] == 0x20)
+    long, odd = gap > 1, (gap > 0) & ~spaced
+    tail = begins[:-1].copy()
+    tail[doc] = ends  # the last word of each text wins
+    rest = tail < begins[1:] - 1
+    s = np.concatenate([starts - spaced, before[long], starts[odd] - 1, tail[rest]])
+    e = np.concatenate([ends, starts[long] - 1, starts[odd], (begins[1:] - 1)[rest]])
+    d = np.concatenate([doc, doc[long], doc[odd], np.arange(n)[rest]])
+    order = np.argsort(s, kind="stable")
+    return s[order], e[order], d[order]
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, remembering the ids of frequent chunks.
+    """Ids of texts by the tokenizers library, which sees each chunk once as long as it is remembered.
 
-    The tokenizer's own rule never joins characters across the borders of ``_CHUNK``, which is
-    that rule with letters, digits and other signs in one class; so a text's ids are those of its
-    chunks in order. New chunks are encoded together.
+    Chunks are known by a 64-bit hash with their length and by their first eight bytes. New ones
+    are encoded together, a line feed between them: the tokenizer's rule makes that a token of its
+    own. When more than ``keep`` are held, those met once are dropped, then the rarest.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.places: dict[str, int] = {}
-        self.ids, self.starts, self.sizes = np.empty(1 << 16, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.used = 0
+        names = self.tokenizer.get_vocab()
+        self.bytes_of = np.ones(max(names.values()) + 1, np.int64)
+        for name, i in names.items():
+            self.bytes_of[i] = len(name)  # byte-level: one sign for each byte
+        self.keys, self.heads = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+        self.pool = np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, chunks: list[str]) -> None:
-        lists = self._ids(chunks)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-        at, n = len(self.places), len(chunks)
-        for name, need in (("ids", self.used + len(ids)), ("starts", at + n), ("sizes", at + n)):
-            have = getattr(self, name)
-            if need > len(have):
-                setattr(self, name, np.concatenate([have, np.empty(max(need - len(have), len(have)), have.dtype)]))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.sizes[at : at + n] = sizes
-        self.starts[at : at + n] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        self.places.update(zip(chunks, range(at, at + n), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.places) > self.keep:
-            self.clear()
-        split = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
-        new = {c for chunks in split if chunks for c in chunks} - self.places.keys()
-        if new:
-            self._add(list(new))
-        out, place = [], self.places.__getitem__
-        for text, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                out.append(np.array(self._ids([text])[0], np.uint32))
-                continue
-            at = np.fromiter(map(place, chunks), np.int64, len(chunks))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)])
-        return out
+    def _encode_new(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them belong to each chunk)."""
+        blank = np.array([not r.strip() for r in raw], bool)
+        words = [r for r, b in zip(raw, blank, strict=True) if not b]
+        sizes, parts = np.zeros(len(raw), np.int64), {}
+        if words:
+            got = np.array(self._ids([b"\n".join(words).decode("utf-8", "surrogatepass")])[0], np.int64)
+            ends = np.cumsum(self.bytes_of[got])
+            stops = np.cumsum([len(w) + 1 for w in words])
+            last = np.searchsorted(ends, stops - 1)  # the token that ends with each word
+            if len(got) and not (ends[last] == stops - 1).all():
+                raise ValueError("the tokenizer joined chunks; it isn't byte-level with the usual rule")
+            heads = np.concatenate([[0], last[:-1] + 2])
+            sizes[~blank] = last + 1 - heads
+            parts = {"words": got[np.repeat(heads - (np.cumsum(sizes[~blank]) - sizes[~blank]), sizes[~blank]) + np.arange(sizes.sum())]}
+        if not blank.any():
+            return parts["words"].astype(np.uint32), sizes
+        lists = self._ids([r.decode() for r in raw if not r.strip()])
+        sizes[blank] = [len(x) for x in lists]
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        owner = np.repeat(blank, sizes)
+        out[owner] = [i for x in lists for i in x]
+        if words:
+            out[~owner] = parts["words"]
+        return out, sizes
+
+    def _drop(self) -> None:
+        floor = max(2, int(np.sort(self.hits)[-self.keep // 2]))
+        kept = np.flatnonzero(self.hits >= floor)
+        sizes = self.sizes[kept]
+        ends = np.cumsum(sizes)
+        self.pool = self.pool[np.repeat(self.starts[kept] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        self.starts, self.sizes, self.hits = ends - sizes, sizes, self.hits[kept]
+        self.keys, self.heads = self.keys[kept], self.heads[kept]
+
+    def _places(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Where the ids of each chunk are held."""
+        keys, first, inverse, counts = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True, return_counts=True)
+        s, e = s[first], e[first]
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[s]).view("<u8").reshape(-1)
+        heads = heads & np.where(e - s >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << ((e - s).astype(np.uint64) * np.uint64(8) & np.uint64(63))) - np.uint64(1))
+        if len(self.keys) > self.keep:
+            self._drop()
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        if len(self.keys):
+            at = np.minimum(at, len(self.keys) - 1)
+            known = (self.keys[at] == keys) & (self.heads[at] == heads)
+        new = np.flatnonzero(~known)
+        if len(new):
+            view = data.tobytes()
+            ids, sizes = self._encode_new([view[a:b] for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
+            starts = len(self.pool) + np.cumsum(sizes) - sizes
+            self.pool = np.concatenate([self.pool, ids])
+            where = np.searchsorted(self.keys, keys[new])
+            for name, value in (("keys", keys[new]), ("heads", heads[new]), ("starts", starts), ("sizes", sizes), ("hits", np.zeros(len(new), np.int64))):
+                setattr(self, name, np.insert(getattr(self, name), where, value))
+            at = np.searchsorted(self.keys, keys)
+            clash = self.heads[at] != heads  # two chunks of one hash: the new one stands before the old
+            at[clash] += 1
+        self.hits[at] += counts
+        return at[inverse]
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with ``end_id`` after it; how many of them end with each text)."""
+        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        plain = list(texts)
+        for i in odd:
+            plain[i] = ""
+        data, begins = joined(plain)
+        s, e, doc = chunks(data, begins)
+        place = self._places(data, s, e) if len(s) else np.zeros(0, np.int64)
+        sizes = self.sizes[place]
+        lengths = np.bincount(doc, sizes, len(texts)).astype(np.int64) + 1
+        whole = {i: np.array(self._ids([texts[i]])[0], np.uint32) for i in odd}
+        for i in odd:
+            lengths[i] += len(whole[i])
+        ends = np.cumsum(lengths)
+        out = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.uint32)
+        if len(s):
+            stops = np.cumsum(sizes)
+            flat = self.pool[np.repeat(self.starts[place] - (stops - sizes), sizes) + np.arange(sizes.sum())]
+            text = np.repeat(doc, sizes)
+            per = np.bincount(text, minlength=len(texts))
+            out[np.arange(len(flat)) + (ends - lengths - (np.cumsum(per) - per))[text]] = flat
+        for i in odd:
+            out[ends[i] - lengths[i] : ends[i] - 1] = whole[i]
+        return out, ends
 
 
 _encoders: dict[str, Encoder] = {}
@@ -132,9 +213,12 @@ def tokenize(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, Encoder(vocabulary))
-        for piece in pieces(batches, "t", 1 << 20):
-            rows = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in encoder.encode(texts_of(piece, "t"))]
-            yield pa.RecordBatch.from_arrays([piece.column("i"), pa.array(rows, pa.binary())], ["i", "ids"])
+        for piece in pieces(batches, "t"):
+            ids, ends = encoder.encode(texts_of(piece, "t"), end_id)
+            raw = ids.astype(kind)
+            offsets = np.concatenate([[0], ends * raw.itemsize]).astype(np.int32)
+            rows = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([piece.column("i"), rows], ["i", "ids"])
 
     sql_type = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {sql_type}, ids binary").withColumnRenamed("i", id_col)
@@ -205,7 +289,7 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_
     """
     spark = df.sparkSession
     kind = id_type(vocabulary, end_id)
-    tokens = cut(tokenize(df, vocabulary, end_id, id_col, text_col, kind), "ids")
+    tokens = cut(tokenize(df, vocabulary, end_id, id_col, text_col, kind), "ids", "zstd")
     ranks = rank_table(tokens, kind)
     ordered = tokens.select(F.col(id_col).cast("long").alias("id"), "ids").orderBy(F.col("id").asc_nulls_first(), F.crc32("ids"))
     ordered.mapInArrow(_blocks(ranks, size, kind), BLOCK_DDL).write.parquet(f"{path}/blocks")
