@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import contamination, language, packing, quality, secrets, sharding, simhash, tokens, vectors
+from corvane.llm import contamination, language, packing, quality, secrets, sharding, simhash, substrings, tokens, vectors
 from corvane.llm.tables import table
 from corvane.plans.scratch import cut
 
@@ -36,6 +36,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, model, ["doc_id", held_out.alias("held_out")])
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return secrets.scan(documents, secrets.learn(documents), ["doc_id"])
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_tokens": op2_tokens,
         "op3_contamination": op3_contamination,
         "op4_language": op4_language,
+        "op5_substrings": op5_substrings,
         "op6_secrets": op6_secrets,
         "op7_simhash": op7_simhash,
         "op8_sharding": op8_sharding,
