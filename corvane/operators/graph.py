@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.plans.scratch import cut
@@ -40,3 +40,122 @@ def _mark(pairs: DataFrame) -> tuple:
     """Rows of an edge table and a checksum of them."""
     row = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"]
+
+
+# --- Code graphs: nodes (id, name, kind, file, line), edges (src, dst, type) ---
+
+#: Names that aren't calls.
+NOT_CALLED = ("if", "for", "while", "return", "print", "len", "range", "int", "str", "float", "list", "dict", "set", "tuple", "super", "isinstance", "def", "class")
+
+
+def entities(chunks: DataFrame) -> DataFrame:
+    """(id, name, kind, file): functions, classes and imported names of chunks (file, content); an id names its file."""
+    kinds = (("function", r"(?m)^\s*(?:async\s+)?def\s+(\w+)"), ("class", r"(?m)^\s*class\s+(\w+)"), ("import", r"(?m)^\s*from\s+[\w.]+\s+import\s+(\w+)"))
+    found = F.concat(*[_named(k, p) for k, p in kinds])
+    rows = chunks.select("file", F.explode(F.array_distinct(found)).alias("e"))
+    return rows.select(F.concat_ws("::", "file", "e.name").alias("id"), "e.name", "e.kind", "file").dropDuplicates(["id", "kind"])
+
+
+def _named(kind: str, pattern: str):
+    return F.transform(F.regexp_extract_all("content", F.lit(pattern), 1), lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
+
+
+def relations(chunks: DataFrame) -> DataFrame:
+    """(src, dst, type): calls from the definition above them, inheritance and imports; targets elsewhere are ``*::name``."""
+    lines = chunks.select("file", F.posexplode(F.split("content", "\n")).alias("line", "l"))
+    name = F.nullif(F.regexp_extract("l", r"^\s*(?:async\s+)?def\s+(\w+)", 1), F.lit(""))
+    inside = F.last(name, ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    called = F.filter(F.regexp_extract_all("l", F.lit(r"(\w+)\("), 1), lambda n: ~n.isin(*NOT_CALLED))
+    body = lines.withColumn("caller", inside).withColumn("is_def", name.isNotNull()).where("caller IS NOT NULL AND NOT is_def")
+    calls = body.select(F.concat_ws("::", "file", "caller").alias("src"), F.explode(called).alias("n")).select("src", F.concat(F.lit("*::"), "n").alias("dst"), F.lit("calls").alias("type"))
+    heir = lines.select("file", F.regexp_extract("l", r"^\s*class\s+(\w+)\(", 1).alias("c"), F.split(F.regexp_extract("l", r"^\s*class\s+\w+\(([^)]*)\)", 1), r",\s*").alias("b")).where("c <> ''")
+    inherits = heir.select(F.concat_ws("::", "file", "c").alias("src"), F.explode("b").alias("n")).where("n <> ''").select("src", F.concat(F.lit("*::"), "n").alias("dst"), F.lit("inherits").alias("type"))
+    imports = lines.select("file", F.regexp_extract("l", r"^\s*from\s+[\w.]+\s+import\s+(\w+)", 1).alias("n")).where("n <> ''").select(F.col("file").alias("src"), F.concat(F.lit("*::"), "n").alias("dst"), F.lit("imports").alias("type"))
+    return calls.unionByName(inherits).unionByName(imports).distinct()
+
+
+def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with ``*::name`` targets replaced by the smallest node of that name; those without one go."""
+    by_name = nodes.groupBy("name").agg(F.min("id").alias("target"))
+    wild = edges.where(F.col("dst").startswith("*::")).withColumn("name", F.substring("dst", 4, 10_000)).join(by_name, "name")
+    return edges.where(~F.col("dst").startswith("*::")).unionByName(wild.select("src", F.col("target").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")]))
+
+
+def neighbors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, neighbor) of each of ``nodes`` (node), in both directions, once."""
+    out = nodes.join(edges, F.col("node") == F.col("src")).select("node", F.col("dst").alias("neighbor"))
+    back = nodes.join(edges, F.col("node") == F.col("dst")).select("node", F.col("src").alias("neighbor"))
+    return out.union(back).distinct()
+
+
+def ppr(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
+    """(query_id, node, score): personalised PageRank of many queries at once over undirected edges.
+
+    Seeds (query_id, node) share the teleport; what nodes without neighbours hold is lost. Rounds are
+    written to the shared folder every few rounds.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+    degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    links = cut(both.join(degree, "src"), "links")
+    start = seeds.select("query_id", "node").distinct()
+    share = start.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    teleport = cut(start.join(share, "query_id").select("query_id", "node", (1 / F.col("n")).alias("t")), "teleport")
+    scores = teleport.select("query_id", "node", F.col("t").alias("score"))
+    for i in range(1, rounds + 1):
+        flow = scores.join(links, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"), (F.col("score") * damping / F.col("deg")).alias("score"))
+        jump = teleport.select("query_id", "node", (F.col("t") * (1 - damping)).alias("score"))
+        scores = flow.unionByName(jump).groupBy("query_id", "node").agg(F.sum("score").alias("score"))
+        if i % every == 0:
+            scores = cut(scores, "scores")
+    return scores
+
+
+def seeds(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, node): nodes whose name holds a word of the query of three signs at least, as a literal."""
+    words = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"(\w{3,})"), 1))).alias("w"))
+    names = nodes.select("id", F.lower("name").alias("n"))
+    grams = names.select("id", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 2, F.lit(1))), lambda i: F.substr("n", i, F.lit(3))))).alias("g"))
+    return words.withColumn("g", F.substring("w", 1, 3)).join(grams, "g").where(F.col("n").contains(F.col("w"))).select("query_id", F.col("id").alias("node")).distinct()
+
+
+def callers(edges: DataFrame, name: str) -> DataFrame:
+    return edges.where((F.col("type") == "calls") & F.col("dst").endswith(f"::{name}")).select("src").distinct()
+
+
+def blast_radius(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """(node, depth) of all that depend on the start nodes within ``depth`` steps along edges src -> dst, backwards."""
+    seen = cut(start.select("node", F.lit(0).alias("depth")), "reached")
+    front = seen
+    for i in range(1, depth + 1):
+        step = front.join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = cut(step.withColumn("depth", F.lit(i)), "front")
+        seen = cut(seen.unionByName(front), "reached")
+    return seen
+
+
+def structural_context(queries: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The first matching node of each file, the first n files of a query."""
+    hits = seeds(queries, nodes).join(nodes, F.col("node") == F.col("id")).groupBy("query_id", "file").agg(F.min("node").alias("node"))
+    order = Window.partitionBy("query_id").orderBy("file")
+    return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Counts by kind of node and type of edge."""
+    a = nodes.groupBy(F.concat(F.lit("node:"), "kind").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
+    b = edges.groupBy(F.concat(F.lit("edge:"), "type").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("files"))
+    return a.unionByName(b)
+
+
+def see_also(keywords: DataFrame, least: int = 2, n: int = 5) -> DataFrame:
+    """(a, b, common): of articles (article, keyword) the n with most keywords in common, ``least`` or more."""
+    k = keywords.distinct()
+    pairs = k.withColumnRenamed("article", "a").join(k.withColumnRenamed("article", "b"), "keyword").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= least)
+    order = Window.partitionBy("a").orderBy(F.col("common").desc(), "b")
+    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def related(items: DataFrame) -> DataFrame:
+    """(a, b, common), a < b: sites (site, file) that share files."""
+    s = items.distinct()
+    return s.withColumnRenamed("site", "a").join(s.withColumnRenamed("site", "b"), "file").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
