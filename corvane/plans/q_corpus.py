@@ -82,9 +82,9 @@ def _(spark, d):
     return D.dedup_stats(docs, D.dedup_near(docs, 0.8, N, mode="component"), "source").withColumn("share", F.round("share", 6))
 
 
-@query("d09_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.95")
+@query("d09_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.8")
 def _(spark, d):
-    return D.cosine_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.95)
+    return D.cosine_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.8)
 
 
 @query("d09_dedup_cosine")
@@ -214,9 +214,9 @@ def _(spark, d):
 _NAMES = "SELECT p_partkey AS id, p_name AS name, p_brand AS file FROM part"
 
 
-@query("g07_seeds", f"WITH n AS ({_NAMES}), w AS (SELECT n_nationkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(n_name || ' part'), '\\w{{3,}}'))) AS w FROM nation) SELECT DISTINCT query_id, id AS node FROM w JOIN n ON contains(lower(name), w)")
+@query("g07_seeds", f"WITH n AS ({_NAMES}), w AS (SELECT p_partkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(p_name), '\\w{{3,}}'))) AS w FROM part WHERE p_partkey < 20) SELECT DISTINCT query_id, id AS node FROM w JOIN n ON contains(lower(name), w)")
 def _(spark, d):
-    q = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat("n_name", F.lit(" part")).alias("query"))
+    q = table(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
     return G.seeds(q, table(spark, d, "part").selectExpr("p_partkey AS id", "p_name AS name"))
 
 
@@ -226,15 +226,15 @@ def _(spark, d):
     return G.callers(e, "fn2")
 
 
-@query("g09_blast_radius", "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, event_id % 150 AS dst FROM events WHERE event_id % 60 < 3), r AS (SELECT 7 AS node, 0 AS depth UNION SELECT e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 3) SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1")
+@query("g09_blast_radius", "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, event_id % 150 AS dst FROM events WHERE event_id % 40 < 3), r AS (SELECT 7 AS node, 0 AS depth UNION SELECT e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 3) SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1")
 def _(spark, d):
-    e = table(spark, d, "events").where("event_id % 60 < 3").selectExpr("user_id AS src", "event_id % 150 AS dst").distinct()
+    e = table(spark, d, "events").where("event_id % 40 < 3").selectExpr("user_id AS src", "event_id % 150 AS dst").distinct()
     return G.blast_radius(e, spark.createDataFrame([(7,)], "node long"), 3)
 
 
-@query("g10_structural_context", f"WITH n AS ({_NAMES}), w AS (SELECT n_nationkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(n_name || ' part'), '\\w{{3,}}'))) AS w FROM nation), h AS (SELECT query_id, file, min(id) AS node FROM w JOIN n ON contains(lower(name), w) GROUP BY 1, 2) SELECT query_id, file, node, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file) AS place FROM h) WHERE place <= 3")
+@query("g10_structural_context", f"WITH n AS ({_NAMES}), w AS (SELECT p_partkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(p_name), '\\w{{3,}}'))) AS w FROM part WHERE p_partkey < 20), h AS (SELECT query_id, file, min(id) AS node FROM w JOIN n ON contains(lower(name), w) GROUP BY 1, 2) SELECT query_id, file, node, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file) AS place FROM h) WHERE place <= 3")
 def _(spark, d):
-    q = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat("n_name", F.lit(" part")).alias("query"))
+    q = table(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
     return G.structural_context(q, table(spark, d, "part").selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS file"), 3)
 
 
