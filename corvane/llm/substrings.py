@@ -78,12 +78,28 @@ def span_names(edge: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray
 
 
 def sieve(values: DataFrame, column: str) -> np.ndarray:
-    """The table of a column of hashes: 2^SIEVE_BITS bits, whatever the input; Spark gathers it by words of 64 bits."""
+    """The table of a column of hashes: 2^SIEVE_BITS bits, whatever the input.
+
+    Spark ors them by words of 64 bits and puts 4096 words at most into a row, so the driver gets
+    the table itself and no rows for hashes.
+    """
     place = F.shiftrightunsigned(column, 64 - SIEVE_BITS)
     words = values.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b"))
+    pages = words.groupBy(F.shiftright("w", 12).alias("page")).agg(F.collect_list(F.struct(F.pmod("w", F.lit(4096)).alias("at"), "b")).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x in batch.column(1):
+                page = np.zeros(4096, np.int64)
+                page[x.values.field("at").to_numpy()] = x.values.field("b").to_numpy()
+                rows.append(page.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["page", "bits"])
+
     table = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
-    table[got["w"].to_numpy()] = got["b"].to_numpy()
+    for r in pages.mapInArrow(run, "page long, bits binary").toLocalIterator():
+        table[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], np.int64)
     return table
 
 
