@@ -275,9 +275,11 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     """A field from the rules' own finds, on about ``sample`` documents at most (chosen by hashed id and text).
 
     From each chosen document come the stretches of WINDOW tokens around rule matches, at most
-    eight, and from one in ten a stretch without. None if no secret was found; then only the rules work.
+    eight, and from about 2 000 of them a stretch without. None if no secret was found; then only
+    the rules work.
     """
     total = df.count()
+    every = max(1, min(total, sample) // 2_000)
     share = int(min(1.0, sample / max(total, 1)) * 1_000_000)
     text = F.coalesce(F.col(text_col), F.lit(""))
     chosen = df.select(text.alias("t"), F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.crc32(text), F.lit(seed)), F.lit(1_000_000)).alias("h")).where(F.col("h") < share)
@@ -292,8 +294,8 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 hits = np.flatnonzero(y == B)
                 pick = [max(0, int(h) - WINDOW // 2) for h in hits[:8]]
                 digest = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-                if not len(hits) and len(y) and digest % 10 == 0:
-                    pick = [(digest >> 8) % len(y)]
+                if not len(hits) and len(y) and digest % every == 0:
+                    pick = [(digest >> 16) % max(1, len(y) - WINDOW)]
                 for p in pick:
                     part = slice(p, min(p + WINDOW, len(y)))
                     bits.append(tokens.bits[lo + part.start : lo + part.stop].astype(np.int64).tolist())

@@ -98,7 +98,7 @@ def sieve(values: DataFrame, column: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["page", "bits"])
 
     table = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
-    for r in pages.mapInArrow(run, "page long, bits binary").toLocalIterator():
+    for r in pages.mapInArrow(run, "page long, bits binary").collect():
         table[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], np.int64)
     return table
 

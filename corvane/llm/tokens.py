@@ -51,6 +51,8 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
 
 def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values of ``encode_values``, by table lookup on the control bytes."""
+    if not n:
+        return np.zeros(0, np.uint32)
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     starts = np.cumsum(lengths, dtype=np.int64) - lengths
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
