@@ -16,7 +16,10 @@ def _ext(path: Column) -> Column:
 
 
 def scan_files(spark: SparkSession, root: str, exts: list[str], max_kb: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(files, rejects): readable files (path, length, content as text), and how many were left out for each reason."""
+    """(files, rejects): readable files (path, length, content as text), and how many were left out for each reason.
+
+    Spark's file scan passes over files of no bytes, so these are in neither table.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime", "content")
     folder = "|".join(x.replace(".", r"\.") for x in SKIPPED)
     magic = F.hex(F.substring("content", 1, 4))
@@ -25,7 +28,7 @@ def scan_files(spark: SparkSession, root: str, exts: list[str], max_kb: int = 51
         binary = binary | magic.startswith(m)
     reason = (
         F.when(F.col("path").rlike(f"/({folder})/"), "skipped_folder").when(~_ext(F.col("path")).isin(*exts), "extension")
-        .when(F.col("length") == 0, "empty").when(F.col("length") > max_kb * 1024, "too_large").when(binary, "binary")
+        .when(F.col("length") > max_kb * 1024, "too_large").when(binary, "binary")
     )
     marked = raw.withColumn("reason", reason)
     files = marked.where("reason IS NULL").select("path", "length", F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
