@@ -15,6 +15,7 @@ task is written again as a whole. ``part`` and ``block`` order them. Beside the
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -94,6 +95,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, keep: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -102,6 +104,8 @@ class Encoder:
         self.bytes_of = np.ones(max(names.values()) + 1, np.int64)
         for name, i in names.items():
             self.bytes_of[i] = len(name)  # byte-level: one sign for each byte
+        self.tokenizer.model._resize_cache(0)  # chunks are remembered here
+        self.part, self.feed = 1000, self._ids(["\n"])[0][0]
         self.keys, self.heads = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.starts, self.sizes, self.hits = (np.zeros(0, np.int64) for _ in range(3))
         self.pool = np.zeros(0, np.uint32)
@@ -115,7 +119,8 @@ class Encoder:
         words = [r for r, b in zip(raw, blank, strict=True) if not b]
         sizes, parts = np.zeros(len(raw), np.int64), {}
         if words:
-            got = np.array(self._ids([b"\n".join(words).decode("utf-8", "surrogatepass")])[0], np.int64)
+            texts = [b"\n".join(words[i : i + self.part]).decode("utf-8", "surrogatepass") for i in range(0, len(words), self.part)]
+            got = np.array([i for ids in self._ids(texts) for i in (*ids, self.feed)][:-1], np.int64)
             ends = np.cumsum(self.bytes_of[got])
             stops = np.cumsum([len(w) + 1 for w in words])
             last = np.searchsorted(ends, stops - 1)  # the token that ends with each word
