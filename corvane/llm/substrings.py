@@ -184,7 +184,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = cut(paths(docs, share(sieve(wanted, "anchor")), w, k), "paths")
     first = F.min(F.struct("key", "pos"))
     kinds = cut(found.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("copies"), first.alias("at")), "path_kinds")
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # written first, so that the rows of a common anchor meet it in a join of two plain shuffles, which can be split
+    mixed = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "mixed_anchors")
     open_ = cut(kinds.join(mixed, "anchor", "left_semi").select("at.key", "at.pos"), "open_paths")
     opened = cut(edges(docs, share(sieve(with_places(open_), "place")), w, k), "edges")
     each = opened.select("key", "anchor", F.col("pos").alias("from"), F.posexplode("names").alias("i", "name")).select("key", (F.col("from") + F.col("i")).alias("pos"), "anchor", "name")
