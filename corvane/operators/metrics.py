@@ -350,3 +350,8 @@ def audit_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("chunks"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("empty"), F.count_if(F.col("norm").isNull()).alias("no_vector"),
         F.count_if(F.abs(F.col("norm") - 1) > 0.01).alias("off_norm"), F.avg(F.length("text")).alias("mean_length"),
     )
+
+
+def issues(checks: dict[str, Column]) -> Column:
+    """Names of the checks that a row fails; a check that is null fails."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()]))

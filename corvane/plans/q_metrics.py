@@ -373,3 +373,9 @@ def _(spark, d):
 @query("a45_audit_chunks", "WITH v AS (SELECT vec_id, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings) SELECT count(*) AS chunks, count(*) FILTER (coalesce(text, '') = '') AS empty, count(*) FILTER (norm IS NULL) AS no_vector, count(*) FILTER (abs(norm - 1) > 0.01) AS off_norm, round(avg(length(text)), 6) AS mean_length FROM documents LEFT JOIN v ON doc_id = vec_id")
 def _(spark, d):
     return r6(M.audit_chunks(_chunks(spark, d), table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")), "mean_length")
+
+
+@query("f04_issues", "SELECT doc_id, concat_ws(',', CASE WHEN NOT length(text) >= 200 THEN 'short' END, CASE WHEN NOT contains(text, chr(10)) THEN 'one_line' END) AS issues FROM documents")
+def _(spark, d):
+    found = M.issues({"short": F.length("text") >= 200, "one_line": F.col("text").contains("\n")})
+    return table(spark, d, "documents").select("doc_id", F.array_join(found, ",").alias("issues"))
