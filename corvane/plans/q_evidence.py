@@ -116,7 +116,7 @@ CRED = f"""cr AS (SELECT *, CASE WHEN {YEAR} - y <= 0 THEN 1.0 WHEN {YEAR} - y =
  cs AS (SELECT *, round(least(1.0, 0.15 * currency + 0.3 * relevance + 0.2 * authority + 0.2 * accuracy + 0.15 * purpose), 4) AS composite FROM cr)"""
 
 
-@query("a29_credibility", f"WITH {PAPERS}, {CRED} SELECT paper_id, round(relevance, 4) AS relevance, round(authority, 4) AS authority, round(accuracy, 4) AS accuracy, round(purpose, 4) AS purpose, round(currency, 4) AS currency, composite FROM cs")
+@query("a29_credibility", f"WITH {PAPERS}, {CRED} SELECT paper_id, round(relevance, 4) AS relevance, round(authority, 4) AS authority, CAST(round(accuracy, 4) AS DOUBLE) AS accuracy, CAST(round(purpose, 4) AS DOUBLE) AS purpose, CAST(round(currency, 4) AS DOUBLE) AS currency, composite FROM cs")
 def _(spark, d):
     return _papers(spark, d).select("paper_id", E.credibility(F.lit(_ASK), YEAR).alias("s")).select("paper_id", "s.*")
 

@@ -248,7 +248,7 @@ _CW = f"list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9_]+')
     "r21_verify_claims",
     f"""WITH {SCORES}, c AS (SELECT query_id AS claim_id, coalesce(len(list_intersect({_CW.replace("{0}", "query")}, {_CW.replace("{0}", "text")})) / nullif(len({_CW.replace("{0}", "query")}), 0), 0.0) AS share FROM {top("s", 5)} JOIN asked USING (query_id) JOIN documents ON chunk_id = doc_id),
     n AS (SELECT claim_id, count(*) FILTER (share >= 0.4) AS supports, count(*) FILTER (share < 0.15) AS low_overlap FROM c GROUP BY 1)
-    SELECT claim_id, supports, low_overlap, round({clamp("CASE supports WHEN 0 THEN 0.0 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 ELSE 0.9 END - 0.15 * low_overlap")}, 6) AS confidence, supports >= 2 AND supports > low_overlap AS verified FROM n""",
+    SELECT claim_id, supports, low_overlap, CAST(round({clamp("CASE supports WHEN 0 THEN 0.0 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 ELSE 0.9 END - 0.15 * low_overlap")}, 6) AS DOUBLE) AS confidence, supports >= 2 AND supports > low_overlap AS verified FROM n""",
 )
 def _(spark, d):
     hits = R.bm25(_queries(spark, d), _index(spark, d), 5).join(_queries(spark, d), "query_id").join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id")

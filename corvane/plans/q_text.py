@@ -310,7 +310,7 @@ _AC = f"""CASE WHEN NOT regexp_matches(text, '\\S') THEN 0.0 ELSE least(1.0, gre
 
 @query(
     "p33_confidence",
-    f"SELECT conv_id, turn, round({_QC}, 6) AS complexity, round({_AC}, 6) AS confidence FROM (SELECT conv_id, turn, text, lower(text) AS l, len({WORDS.replace('{0}', 'text')}) AS n, len(regexp_extract_all(text, '```')) AS c, len(regexp_extract_all(text, '`')) AS k FROM conversations)",
+    f"SELECT conv_id, turn, CAST(round({_QC}, 6) AS DOUBLE) AS complexity, CAST(round({_AC}, 6) AS DOUBLE) AS confidence FROM (SELECT conv_id, turn, text, lower(text) AS l, len({WORDS.replace('{0}', 'text')}) AS n, len(regexp_extract_all(text, '```')) AS c, len(regexp_extract_all(text, '`')) AS k FROM conversations)",
 )
 def _(spark, d):
     t = F.col("text")
