@@ -61,11 +61,18 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(words).view("<u4").reshape(-1) & _MASKS[lengths - 1]
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[0x21:0x7F] = ~_ALNUM[0x21:0x7F]
+
+
 def chunks(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, documents) of the chunks of all texts, in order.
 
-    They are what `` ?\\S+|\\s+(?!\\S)|\\s+`` finds: a word with the one space before it, and the
-    white space that is left. The tokenizer's own rule splits at each of their borders.
+    They are what `` ?\\S+|\\s+(?!\\S)|\\s+`` finds, a word with the one space before it and the
+    white space that is left, with words cut wherever an ASCII sign follows an ASCII letter or
+    digit. The tokenizer's own rule splits at each of these borders.
     """
     starts, ends = word_edges(data)
     doc = np.searchsorted(begins, starts, "right") - 1
@@ -79,9 +86,15 @@ def chunks(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray
     tail = begins[:-1].copy()
     tail[doc] = ends  # the last word of each text wins
     rest = tail < begins[1:] - 1
-    s = np.concatenate([starts - spaced, before[long], starts[odd] - 1, tail[rest]])
-    e = np.concatenate([ends, starts[long] - 1, starts[odd], (begins[1:] - 1)[rest]])
-    d = np.concatenate([doc, doc[long], doc[odd], np.arange(n)[rest]])
+    cuts = np.flatnonzero(_ALNUM[data[:-1]] & _SIGN[data[1:]]) + 1
+    longs, afters = starts[long] - 1, starts[odd]
+    heads = starts - spaced
+    at = np.searchsorted(starts, cuts)  # cuts lie inside words
+    heads, ends = np.insert(heads, at, cuts), np.insert(ends, at - 1, cuts) if len(cuts) else ends
+    doc_of = np.insert(doc, at, doc[at - 1])
+    s = np.concatenate([heads, before[long], starts[odd] - 1, tail[rest]])
+    e = np.concatenate([ends, longs, afters, (begins[1:] - 1)[rest]])
+    d = np.concatenate([doc_of, doc[long], doc[odd], np.arange(n)[rest]])
     order = np.argsort(s, kind="stable")
     return s[order], e[order], d[order]
 
