@@ -61,6 +61,8 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(words).view("<u4").reshape(-1) & _MASKS[lengths - 1]
 
 
+_MAYBE_ODD = np.zeros(256, bool)  # first bytes of such white space
+_MAYBE_ODD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _SIGN = np.zeros(256, bool)
@@ -193,11 +195,10 @@ class Encoder:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end_id`` after it; how many of them end with each text)."""
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
-        plain = list(texts)
-        for i in odd:
-            plain[i] = ""
-        data, begins = joined(plain)
+        data, begins = joined(texts)
+        odd = [i for i, t in enumerate(texts) if _ODD.search(t)] if _MAYBE_ODD[data].any() else []
+        if odd:
+            data, begins = joined(["" if _ODD.search(t) else t for t in texts])
         s, e, doc = chunks(data, begins)
         place = self._places(data, s, e) if len(s) else np.zeros(0, np.int64)
         sizes = self.sizes[place]
@@ -253,11 +254,10 @@ def rank_table(tokens: DataFrame, kind: str = "<u4") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(raw, kind))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
+            if len(got) > len(total):
+                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+            total[: len(got)] += got
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
