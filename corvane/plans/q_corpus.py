@@ -13,7 +13,7 @@ from corvane.plans.catalog import query, table
 from corvane.plans.q_evidence import PAPERS, _papers
 from corvane.plans.q_text import strings
 
-N = 16  # permutations of the MinHash queries
+N = 16  # permutations in the SQL of the MinHash queries; the queries use 128, and exact sets for pairs
 
 
 def _docs(spark, d):
@@ -44,22 +44,22 @@ PAIRS = f"""{SIG}, rp AS (SELECT s, min(doc_id) AS rep FROM sg GROUP BY 1), cl A
 
 @query("d03_minhash", f"WITH {SIG} SELECT doc_id, array_to_string(s, ',') AS signature FROM sg")
 def _(spark, d):
-    return D.minhash(_docs(spark, d), N).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+    return D.minhash(_docs(spark, d)).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
 @query("d04_lsh_candidates", f"WITH {PAIRS} SELECT a, b FROM pr")
 def _(spark, d):
-    return D.lsh_candidates(D.cut(D.minhash(_docs(spark, d), N)), 0.8, N)
+    return D.near_candidates(D.cut(D.shingle_sets(_docs(spark, d))), 0.8)
 
 
 @query("d05_near_pairs", f"WITH {PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM np")
 def _(spark, d):
-    return D.near_pairs(D.cut(D.minhash(_docs(spark, d), N)), 0.8, N).withColumn("similarity", F.round("similarity", 6))
+    return D.near_pairs(D.cut(D.shingle_sets(_docs(spark, d))), 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("d06_dedup_first")
 def _(spark, d):
-    return D.dedup_near(_docs(spark, d), 0.8, N)
+    return D.dedup_near(_docs(spark, d), 0.8)
 
 
 COMP = "wk AS (SELECT rep AS x, rep AS y FROM rp UNION SELECT w.x, CASE WHEN n.a = w.y THEN n.b ELSE n.a END FROM wk w JOIN np n ON w.y = n.a OR w.y = n.b), cm AS (SELECT x, min(y) AS c FROM wk GROUP BY 1)"
@@ -67,19 +67,19 @@ COMP = "wk AS (SELECT rep AS x, rep AS y FROM rp UNION SELECT w.x, CASE WHEN n.a
 
 @query("d06_dedup_component", f"WITH RECURSIVE {PAIRS}, {COMP} SELECT doc_id, doc_id = rep AND c = rep AS kept FROM cl JOIN cm ON rep = x")
 def _(spark, d):
-    return D.dedup_near(_docs(spark, d), 0.8, N, mode="component")
+    return D.dedup_near(_docs(spark, d), 0.8, mode="component")
 
 
 @query("d07_dedup_against", f"WITH {SIG}, bo AS (SELECT doc_id, s, i, s[i * {_R} + 1:i * {_R} + {_R}] AS k FROM (SELECT doc_id, s, unnest(range(0, {_B})) AS i FROM sg)) SELECT doc_id FROM sg WHERE doc_id % 2 = 1 AND doc_id NOT IN (SELECT x.doc_id FROM bo x JOIN bo y ON x.i = y.i AND x.k = y.k AND y.doc_id % 2 = 0 WHERE len(list_filter(range(1, {N + 1}), lambda j: x.s[j] = y.s[j])) >= {0.8 * N})")
 def _(spark, d):
-    sig = D.cut(D.minhash(_docs(spark, d), N))
-    return D.dedup_against(sig.where("doc_id % 2 = 1"), sig.where("doc_id % 2 = 0"), 0.8, N).select("doc_id")
+    sets = D.cut(D.shingle_sets(_docs(spark, d)))
+    return D.dedup_against(sets.where("doc_id % 2 = 1"), sets.where("doc_id % 2 = 0"), 0.8).select("doc_id")
 
 
 @query("d08_dedup_stats", f"WITH RECURSIVE {PAIRS}, {COMP}, kp AS (SELECT doc_id, doc_id = rep AND c = rep AS kept FROM cl JOIN cm ON rep = x), f AS (SELECT min(doc_id) AS doc_id, true AS first FROM documents GROUP BY text) SELECT source, count(*) AS documents, count(*) FILTER (first IS NULL) AS exact, count(*) FILTER (first AND NOT kept) AS near, round(count(*) FILTER (first IS NULL OR NOT kept) / count(*), 6) AS share FROM documents LEFT JOIN f USING (doc_id) JOIN kp USING (doc_id) GROUP BY 1")
 def _(spark, d):
     docs = _docs(spark, d)
-    return D.dedup_stats(docs, D.dedup_near(docs, 0.8, N, mode="component"), "source").withColumn("share", F.round("share", 6))
+    return D.dedup_stats(docs, D.dedup_near(docs, 0.8, mode="component"), "source").withColumn("share", F.round("share", 6))
 
 
 @query("d09_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.8")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,42 @@ def test_band_shape(n, want):
     assert D.band_shape(n, 0.8) == want
 
 
+def near_texts():
+    """Texts of 1 to 600 signs with copies that differ in ever more places, and all their true Jaccard similarities."""
+    r = random.Random(4)
+    texts = ["", "a", "abcd", "abcde", "aaaaaaaa"]
+    for n in (6, 9, 14, 25, 60, 150, 600):
+        for _ in range(4):
+            first = "".join(r.choices("abcdefgh ", k=n)).strip() + "z"
+            texts.append(first)
+            for changes in (1, 1, 2, 3, 5, 8, 12):
+                x = list(first)
+                for i in r.sample(range(len(x)), min(changes, len(x))):
+                    x[i] = r.choice("ijkl")
+                texts.append("".join(x))
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    return texts, {(i, j): len(a & b) / len(a | b) for j, b in enumerate(sets) for i, a in enumerate(sets[:j])}
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.9])
+def test_near_pairs_by_brute_force(spark, threshold):
+    texts, similar = near_texts()
+    first = {j: min([i for i in range(j) if similar[i, j] == 1], default=j) for j in range(len(texts))}
+    sets = D.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {(r["a"], r["b"]): r["similarity"] for r in D.near_pairs(sets, threshold).collect()}
+    want = {p: s for p, s in similar.items() if threshold <= s < 1 and all(first[i] == i for i in p)}
+    assert len(want) > 20 and got == pytest.approx(want)
+
+
+def test_dedup_against_by_brute_force(spark):
+    texts, similar = near_texts()
+    sets = D.cut(D.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    new, old = sets.where("doc_id % 2 = 1"), sets.where("doc_id % 2 = 0")
+    got = {r["doc_id"] for r in D.dedup_against(new, old, 0.8).collect()}
+    apart = {i for i in range(1, len(texts), 2) if all(similar[min(i, j), max(i, j)] < 0.8 for j in range(0, len(texts), 2))}
+    assert got == apart and D.dedup_against(new, old.withColumn("k", F.lit(4)), 0.8).count() == new.count()
+
+
 def test_first_kept_is_lexicographic(spark):
     nodes = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
