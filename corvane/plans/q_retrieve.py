@@ -14,7 +14,7 @@ TECHNICAL = ["with", "them", "thereion"]
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 6).alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -204,6 +204,26 @@ def test_bm25_on_odd_texts(spark):
     assert {r["query_id"] for r in got} == {1} and {r["chunk_id"] for r in got} == {1, 4} and all(r["score"] > 0 for r in got)
 
 
+def test_items_ask_with_their_whole_text(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    items = [(1, "alpha bravo charlie delta echo foxtrot golf hotel india hotel"), (2, "kilo")]
+    texts = ["golf india lima", "hotel lima mike mike", "alpha lima", "kilo kilo november", "lima", "oscar papa", "quebec", "romeo", "sierra lima"]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, "src1", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in entry.queries()["bm25_top10"](spark, str(tmp_path)).collect()}
+    words, want = [t.split() for t in texts], {}
+    mean = sum(map(len, words)) / len(words)
+    for q, text in items:
+        for i, w in enumerate(words):
+            for term in text.split():
+                if term in w:
+                    df, tf = sum(term in x for x in words), w.count(term)
+                    part = max(1e-6, math.log((len(words) - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+                    want[q, i] = want.get((q, i), 0) + part
+    assert {c for q, c in got if q == 1} == {0, 1, 2} and got == pytest.approx(want, abs=1e-5)
+
+
 @pytest.mark.parametrize(("value", "want"), [("2024", 2024), ("NaN", 0), ("Infinity", 0), ("word", 0), (None, 0), ("12.9", 12), ("-3.5", -3)])
 def test_dirty_numbers(spark, value, want):
     assert one(spark, E.whole(lit(value))) == want
