@@ -54,9 +54,9 @@ def _(spark, d):
 
 @query("r18_graph_search")
 def _(spark, d):
-    nodes = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name")).where("id IN ('c5', 'c10', 'c25', 'c50')")
-    asked = table(spark, d, "nation").where("n_nationkey < 2").select(F.col("n_nationkey").alias("query_id"), F.lit("customer").alias("query"))
-    scores = G.ppr(_edges(spark, d), G.seeds(asked, nodes), rounds=4, every=2)
+    nodes = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"))
+    asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.lit("customer").alias("query"))
+    scores = G.ppr(_edges(spark, d), G.seeds(asked, nodes))
     from corvane.operators.joins import top_k
 
     return top_k(scores, ["query_id"], [F.round("score", 9).desc(), F.col("node")], 10, "rank").withColumn("score", F.round("score", 6))

@@ -96,7 +96,7 @@ PAPERS = f"""pp AS (SELECT doc_id AS paper_id, {pick(_TITLES, "doc_id % 4")} ||
 def _papers(spark, d):
     arr = lambda v, k: f"element_at(array({', '.join(repr(x) for x in v)}), cast({k} as int) + 1)"
     return table(spark, d, "documents").selectExpr(
-        "doc_id AS paper_id", f"concat({arr(_TITLES, 'doc_id % 4')}, ' ', substr(text, 1, 20)) AS title", "substr(text, 1, 300) AS abstract", f"{arr(['2026', '2024', 'x', '2021', 'NaN', '2025'], 'doc_id % 6')} AS year",
+        "doc_id AS paper_id", f"concat({arr(_TITLES, 'doc_id % 4')}, ' ', substr(text, 1, 20)) AS title", "text AS abstract", f"{arr(['2026', '2024', 'x', '2021', 'NaN', '2025'], 'doc_id % 6')} AS year",
         "CASE WHEN doc_id % 9 = 0 THEN 'Infinity' ELSE cast(doc_id * 7 % 1500 as string) END AS citation_count", f"{arr(_SOURCES, 'doc_id % 7')} AS source", f"{arr(_URLS, 'doc_id % 5')} AS url",
         "doc_id % 2 = 0 AS has_refs", "doc_id % 3 = 0 AS has_code", "doc_id % 4 = 0 AS peer_reviewed",
     )

@@ -224,7 +224,7 @@ def _(spark, d):
     e AS (SELECT term, count(*) AS uses, CAST(sum(novel) AS BIGINT) AS novel, avg(novel / greatest(1, fetched)) AS y FROM t GROUP BY 1) SELECT term, uses, novel, round(y, 6) AS "yield", round(y * least(uses, 5), 6) AS value FROM e""",
 )
 def _(spark, d):
-    log = table(spark, d, "conversations").selectExpr("substr(text, 1, 60) AS query", "turn % 4 AS novel", "turn % 6 AS fetched")
+    log = table(spark, d, "conversations").selectExpr("text AS query", "turn % 4 AS novel", "turn % 6 AS fetched")
     return r6(M.term_yield(log), "yield", "value")
 
 

@@ -79,7 +79,7 @@ def _(spark, d):
 
 
 _MD = r"'# ' || role || chr(10) || 'x `' || substr(text, 1, 20) || '` y' || chr(10) || '```Py' || chr(10) || substr(text, 1, 60) || '```' || ' <code>' || substr(text, 5, 30) || '</code>'"
-_MD_SPARK = "concat('# ', role, '\n', 'x `', substr(text, 1, 20), '` y', '\n', '```Py', '\n', substr(text, 1, 60), '```', ' <code>', substr(text, 5, 30), '</code>')"
+_MD_SPARK = "concat('# ', role, '\n', 'x `', substr(text, 1, 20), '` y', '\n', '```Py', '\n', text, '```', ' <code>', substr(text, 5, 30), '</code>')"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 

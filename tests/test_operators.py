@@ -224,6 +224,66 @@ def test_items_ask_with_their_whole_text(spark, tmp_path):
     assert {c for q, c in got if q == 1} == {0, 1, 2} and got == pytest.approx(want, abs=1e-5)
 
 
+def test_queries_take_all_rows(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def run(name):
+        return entry.queries()[name](spark, str(tmp_path)).collect()
+
+    r = random.Random(5)
+    events = [(i, r.randrange(60)) for i in range(90)]
+    put("events", events, "event_id long, user_id long")
+    group = {x: x for u, i in [(u, 1000 + i % 997) for i, u in events] for x in (u, i)}
+    for _ in group:
+        for i, u in events:
+            group[u] = group[1000 + i % 997] = min(group[u], group[1000 + i % 997])
+    assert {x["node"]: x["component"] for x in run("g06_components")} == group
+    depth = {7: 0}
+    for step in (1, 2, 3):
+        for i, u in events:
+            if depth.get(i % 150, 9) < step:
+                depth.setdefault(u, step)
+    assert len(depth) > 1 and {x["node"]: x["depth"] for x in run("g09_blast_radius")} == depth
+    assert {x["query_id"] for x in run("j10_nearest_niche")} == {i for i, _ in events}
+
+    put("part", [(i, f"word{i} name", "b") for i in range(30)], "p_partkey long, p_name string, p_brand string")
+    assert {x["query_id"] for x in run("g07_seeds")} == {x["query_id"] for x in run("g10_structural_context")} == set(range(30))
+
+    orders = [(i, i % 27) for i in range(81)]
+    lines = [(i, r.randrange(12)) for i, _ in orders]
+    put("orders", orders, "o_orderkey long, o_custkey long")
+    put("lineitem", lines, "l_orderkey long, l_partkey long")
+    near = {}
+    for (_, c), (_, p) in zip(orders, lines, strict=True):
+        near.setdefault(f"c{c}", set()).add(f"p{p}")
+        near.setdefault(f"p{p}", set()).add(f"c{c}")
+
+    def settled(start, rounds=20):
+        s = dict(start)
+        for _ in range(rounds):
+            s = {n: 0.15 * start.get(n, 0) + sum(0.85 * s.get(m, 0) / len(near[m]) for m in near[n]) for n in near}
+        return s
+
+    want = {(q, n): x for q, start in ((1, {"c5": 0.5, "c10": 0.5}), (2, {"c25": 1.0})) for n, x in settled(start).items() if x > 0}
+    assert {(x["query_id"], x["node"]): x["score"] for x in run("g05_ppr")} == pytest.approx(want, abs=2e-6)
+    customers = sorted({c for _, c in orders})
+    put("customer", [(c, f"Customer#{c}") for c in customers], "c_custkey long, c_name string")
+    put("nation", [(i,) for i in range(3)], "n_nationkey long")
+    best = sorted(settled({f"c{c}": 1 / len(customers) for c in customers}).items(), key=lambda x: (-round(x[1], 9), x[0]))[:10]
+    got = {(x["query_id"], x["node"]): x["score"] for x in run("r18_graph_search")}
+    assert got == pytest.approx({(q, n): x for q in range(3) for n, x in best}, abs=2e-6)
+
+    late = "x " * 300 + "marzipan cinnamon"
+    put("documents", [(i, f"{late} {i}", "s") for i in range(2)], "doc_id long, text string, source string")
+    assert {(x["a"], x["b"], x["common"]) for x in run("g12_see_also")} == {(0, 1, 2), (1, 0, 2)}
+    assert len({x["chunk_id"] for x in run("c04_chunk_headings") if x["nth"] == 2}) == 2
+    put("conversations", [(1, 0, late)], "conv_id long, turn long, text string")
+    assert {"marzipan", "cinnamon"} <= {x["term"] for x in run("a22_term_yield")}
+
+
 @pytest.mark.parametrize(("value", "want"), [("2024", 2024), ("NaN", 0), ("Infinity", 0), ("word", 0), (None, 0), ("12.9", 12), ("-3.5", -3)])
 def test_dirty_numbers(spark, value, want):
     assert one(spark, E.whole(lit(value))) == want
