@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.textbatch import mix, pieces, powers, span_hashes, texts_of
+from corvane.llm.textbatch import mix, pieces, span_hashes, texts_of
 
 MARK = 0x2581  # begins a word in the vocabulary
-#: Letters of a word that are scored as one; longer words are scored in parts of this length.
-LONGEST = 40
+#: Letters whose pieces are looked up at once; a longer word is walked through in strips of as many, with the same result.
+STRIP = 1 << 16
 #: Chance of a letter that no piece has.
 UNKNOWN = 1e-7
 
@@ -38,6 +38,21 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return letter, lower
 
 
+def chains(codes: np.ndarray, inside: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1, 2, ... ``longest`` letters: places with that many letters of their word up to them, and hashes of these letters, a new scramble for each.
+
+    ``inside`` counts the letters before each in its word.
+    """
+    h = letters = mix(codes.astype(np.uint64) + np.uint64(1))
+    at = np.arange(len(codes))
+    yield at, h
+    for d in range(1, longest):
+        at = at[inside[at] >= d]
+        h, before = np.zeros(len(codes), np.uint64), h
+        h[at] = mix(before[at - 1] * np.uint64(3) + letters[at])
+        yield at, h[at]
+
+
 class Vocabulary:
     """The pieces of letters of a sentencepiece model, found by hash."""
 
@@ -49,8 +64,12 @@ class Vocabulary:
         self.pieces = sorted(p for p in names if p.strip("▁").isalpha() and p == p.lower() and "▁" not in p[1:])
         self.longest = max(map(len, self.pieces))
         codes = np.concatenate([np.array([ord(c) for c in p], np.uint32) for p in self.pieces])
-        ends = np.cumsum([len(p) for p in self.pieces])
-        hashes = span_hashes(codes, np.concatenate([[0], ends[:-1]]), ends)
+        sizes = np.array([len(p) for p in self.pieces])
+        first, piece = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        hashes = np.zeros(len(sizes), np.uint64)
+        for d, (at, h) in enumerate(chains(codes, np.arange(len(codes)) - first[piece], self.longest), 1):
+            whole = at - first[piece[at]] == d - 1
+            hashes[piece[at[whole]]] = h[whole]  # the last to come is the whole piece
         # two hash tables of single places; what fits in neither is in a short sorted list
         self.tables, left = [], np.arange(len(hashes))
         for shift in (44, 20):
@@ -83,87 +102,137 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(letters, starts, ends, documents): all runs of letters, lower-cased, in parts of LONGEST at most."""
+    """(letters, starts, ends, documents): all runs of letters, lower-cased."""
     letter, lower = _letters()
     lengths = np.array([len(t) + 1 for t in texts])
     codes = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = np.concatenate([[False], letter[codes]])
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = turns[0::2], turns[1::2]
-    if len(starts) and (ends - starts).max() > LONGEST:
-        parts = -(-(ends - starts) // LONGEST)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, ends = np.repeat(starts, parts) + nth * LONGEST, np.repeat(ends, parts)
-        ends = np.minimum(ends, starts + LONGEST)
     return lower[codes], starts, ends, np.searchsorted(np.cumsum(lengths), starts, "right")
 
 
-def _grid(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> dict[tuple[int, int], np.ndarray]:
-    """For words of one length: the piece at [i, j) of the marked word, for all i < j."""
-    n, size = len(starts), int(ends[0] - starts[0]) + 1
-    rows = np.full((n, size), MARK, np.uint32)
-    rows[:, 1:] = codes[starts[:, None] + np.arange(size - 1)]
-    up, down = powers(size + 1)
-    run = np.zeros((n, size + 1), np.uint64)
-    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * up[:size], axis=1, out=run[:, 1:])
-    return {(i, j): vocab.find(mix((run[:, j] - run[:, i]) * down[i] + np.uint64(j - i))) for j in range(1, size + 1) for i in range(max(0, j - vocab.longest), j)}
-
-
-def forward(grid: dict[tuple[int, int], np.ndarray], size: int, chance: np.ndarray) -> np.ndarray:
-    """alpha[t]: the chance of the first t letters, summed over segmentations; chance has a row for each piece and one for none."""
-    n, k = len(grid[0, 1]), chance.shape[1]
-    alpha = np.zeros((size + 1, n, k))
-    alpha[0] = 1
-    for (i, j), piece in sorted(grid.items(), key=lambda x: x[0][1]):
-        hit = np.flatnonzero(piece >= 0)
-        if len(hit):
-            alpha[j, hit] += alpha[i, hit] * chance[piece[hit]]
-        if j == i + 1 and len(hit) < n:
-            miss = np.flatnonzero(piece < 0)
-            alpha[j, miss] += alpha[i, miss] * UNKNOWN
-    return alpha
-
-
-def by_length(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(first, inverse, groups): different words, the word of each occurrence, and the different words by length."""
-    _, first, inverse = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
-    size = (ends - starts)[first]
-    order = np.argsort(size, kind="stable")
-    return first, inverse, np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else []
+class Words:
+    """Different words, longest first, each with its mark; letter x of ``flat`` is letter x - off[w] of word w."""
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary):
+        self.vocab, n = vocab, len(starts)
+        self.size = ends - starts + 1
+        self.off = np.cumsum(self.size) - self.size
+        self.word = np.repeat(np.arange(n), self.size)
+        self.flat = np.full(len(self.word), MARK, np.uint32)
+        letter = np.ones(len(self.flat), bool)
+        letter[self.off] = False
+        self.flat[letter] = codes[(np.arange(len(self.flat)) - self.off[self.word] - 1 + starts[self.word])[letter]]
+        self.lo = self.hi = 0
+
+    def _look_up(self, lo: int, hi: int) -> None:
+        """Puts into ``table`` which piece the 1, 2, ... letters are that end with each letter from lo to hi: its number, V for none, V + 1 for a single letter without."""
+        longest, none = self.vocab.longest, len(self.vocab.pieces)
+        lead = max(0, lo - longest)
+        inside = np.arange(lead, hi) - self.off[self.word[lead:hi]]
+        table = np.full((hi - lo, longest), none, np.int32)
+        for d, (at, h) in enumerate(chains(self.flat[lead:hi], inside, longest)):
+            own = at >= lo - lead
+            found = self.vocab.find(h[own])
+            ok = found >= 0
+            table[at[own][ok] - (lo - lead), d] = found[ok]
+        table[table[:, 0] == none, 0] = none + 1
+        self.lo, self.hi, self.table = lo, hi, table
+
+    def _have(self, lo: int, hi: int) -> None:
+        if lo < self.lo or hi > self.hi:
+            whole = len(self.flat) <= STRIP
+            self._look_up(0 if whole else max(0, lo - STRIP // 2), len(self.flat) if whole else min(len(self.flat), hi + STRIP // 2))
+
+    def ending(self, x: np.ndarray) -> np.ndarray:
+        """The pieces that end with each letter x, by length."""
+        self._have(int(x.min()), int(x.max()) + 1)
+        return self.table[x - self.lo]
+
+    def beginning(self, x: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The pieces that begin with each letter x of a word that ends before ``end``."""
+        steps = np.arange(self.vocab.longest)
+        at = x[:, None] + steps
+        self._have(int(x.min()), int(min(at.max() + 1, len(self.flat))))
+        found = self.table[np.minimum(at, len(self.flat) - 1) - self.lo, steps]
+        return np.where(at < end[:, None], found, len(self.vocab.pieces))
+
+    def walk(self, chance: np.ndarray, backward: bool = False, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(log chance of each word, log chances up to every place or None), summed over all segmentations.
+
+        What was summed up to the last ``longest`` letters is all that a step needs. Every
+        ``longest`` steps it is divided by the newest sum, so words of any length stay within
+        range. Places number off[w] + w + t after t letters of word w; backward, what follows the
+        place is summed.
+        """
+        n, k, longest = len(self.size), chance.shape[1], self.vocab.longest
+        rows = np.concatenate([chance, np.zeros((1, k)), np.full((1, k), UNKNOWN)])
+        band, logs = np.zeros((longest + 1, n, k)), np.zeros((n, k))  # sums by t mod (longest + 1)
+        band[0] = 1
+        flat = band.reshape(-1, k)
+        places = np.zeros((len(self.flat) + n, k)) if keep else None
+        end = np.zeros((n, k))
+        alive = np.searchsorted(-self.size, -np.arange(1, int(self.size[0]) + 1), "right")
+        for t, m in enumerate(alive.tolist(), 1):
+            off, size = self.off[:m], self.size[:m]
+            piece = self.beginning(off + size - t, off + size) if backward else self.ending(off + t - 1)
+            hit = np.flatnonzero(piece != len(chance))  # a single letter always counts, so no word is without
+            w, d = np.divmod(hit, longest)
+            parts = flat[(t - 1 - d) % (longest + 1) * n + w] * rows[piece.reshape(-1)[hit]]
+            new = np.add.reduceat(parts, np.searchsorted(w, np.arange(m)))
+            band[t % (longest + 1), :m] = new
+            done = slice(int(alive[t]) if t < len(alive) else 0, m)  # words that end here
+            end[done] = logs[done] + np.log(new[done])
+            if places is not None:
+                places[off + np.arange(m) + (size - t if backward else t)] = logs[:m] + np.log(new)
+            if t % longest == 0:
+                band[:, :m] /= new
+                logs[:m] += np.log(new)
+        return end, places
+
+
+def different(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an occurrence of each different word, longest first; the word of each occurrence)."""
+    _, first, inverse = np.unique(span_hashes(np.ascontiguousarray(codes).view(np.uint8), 4 * starts, 4 * ends), return_index=True, return_inverse=True)
+    order = np.argsort(starts[first] - ends[first], kind="stable")
+    place = np.zeros(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return first[order], place[inverse]
+
+
+def _groups(sizes: np.ndarray) -> list[np.ndarray]:
+    """Words in groups of about STRIP letters at most; a longer word comes alone."""
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // STRIP)) + 1) if len(sizes) else []
 
 
 def log_chances(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary, chance: np.ndarray) -> np.ndarray:
-    """The log chance of each word under each language."""
-    first, inverse, groups = by_length(codes, starts, ends)
+    """The log chance of each word under each language; chance has a row for each piece."""
+    first, inverse = different(codes, starts, ends)
     out = np.zeros((len(first), chance.shape[1]))
-    for group in groups:
-        at = first[group]
-        size = int(ends[at[0]] - starts[at[0]]) + 1
-        out[group] = np.log(np.maximum(forward(_grid(codes, starts[at], ends[at], vocab), size, chance)[size], 1e-300))
+    for group in _groups((ends - starts)[first] + 1):
+        out[group] = Words(codes, starts[first[group]], ends[first[group]], vocab).walk(chance)[0]
     return out[inverse]
 
 
 def expected_counts(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary, chance: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """How often each piece is expected in the words, for each column of ``weights`` (words x languages)."""
-    first, inverse, groups = by_length(codes, starts, ends)
+    """How often each piece is expected in the words, for each column of ``weights`` (words x languages); chance has one column."""
+    first, inverse = different(codes, starts, ends)
     total = np.stack([np.bincount(inverse, weights[:, k], len(first)) for k in range(weights.shape[1])], 1)
-    out = np.zeros((len(vocab.pieces), weights.shape[1]))
-    for group in groups:
-        at = first[group]
-        size = int(ends[at[0]] - starts[at[0]]) + 1
-        grid = _grid(codes, starts[at], ends[at], vocab)
-        alpha = forward(grid, size, chance)[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[size] = 1
-        for (i, j), piece in sorted(grid.items(), key=lambda x: -x[0][0]):
-            step = np.where(piece >= 0, chance[piece, 0], UNKNOWN if j == i + 1 else 0.0)
-            beta[i] += step * beta[j]
-        whole = np.maximum(alpha[size], 1e-300)
-        for (i, j), piece in grid.items():
-            hit = np.flatnonzero(piece >= 0)
-            share = alpha[i, hit] * chance[piece[hit], 0] * beta[j, hit] / whole[hit]
-            for k in range(weights.shape[1]):
-                out[:, k] += np.bincount(piece[hit], share * total[group[hit], k], len(vocab.pieces))
+    log_piece, out = np.log(chance[:, 0]), np.zeros((len(vocab.pieces), weights.shape[1]))
+    for group in _groups((ends - starts)[first] + 1):
+        words = Words(codes, starts[first[group]], ends[first[group]], vocab)
+        whole, before = words.walk(chance, keep=True)
+        _, after = words.walk(chance, backward=True, keep=True)
+        for lo in range(0, len(words.flat), STRIP):
+            x = np.arange(lo, min(lo + STRIP, len(words.flat)))
+            pieces_, of = words.ending(x), words.word[x]
+            for d in range(vocab.longest):
+                hit = np.flatnonzero(pieces_[:, d] < len(vocab.pieces))
+                piece, w, place = pieces_[hit, d], of[hit], x[hit] + of[hit] + 1
+                share = np.exp(before[place - d - 1, 0] + log_piece[piece] + after[place, 0] - whole[w, 0])
+                for k in range(weights.shape[1]):
+                    out[:, k] += np.bincount(piece, share * total[group[w], k], len(vocab.pieces))
     return out
 
 

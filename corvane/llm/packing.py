@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.plans.ranking import global_rank
+from corvane.plans.scratch import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,12 +68,12 @@ def pack(df: DataFrame, k: int = 8, budget: int = 16_384, id_col: str = "doc_id"
     longer than the budget is a batch of its own. Only the id and the length are sorted, by range,
     so a bucket that holds a third of all rows is spread over tasks.
 
-    ``length`` defaults to the words of ``text`` plus one end token. Null and empty texts have
+    ``length`` defaults to the words of ``text``, which stand for its tokens, plus one end token; give the counts of a tokenizer where there are any. Null and empty texts have
     length 1. Rows alike in length and id (null ids first) share their places in any order. An
     empty table stays empty. Columns: id_col, n_tokens, bucket, bucket_len, batch, slot, pad.
     """
     length = word_count(F.col("text")) if length is None else length
-    sized = df.select(F.col(id_col), length.cast("long").alias("n_tokens"))
+    sized = cut(df.select(F.col(id_col), length.cast("long").alias("n_tokens")), "lengths")  # texts are read once
     histogram = sorted((r["n_tokens"], r["n"]) for r in sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect())
     bounds = best_boundaries([x for x, _ in histogram], [n for _, n in histogram], k)
     return batches(sized, bounds, budget, id_col)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.textbatch import joined, pieces, texts_of, word_edges
+from corvane.plans.scratch import cut
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -87,6 +88,16 @@ class Tokens:
     doc: np.ndarray
     bits: np.ndarray  # one uint64 a token
 
+    def places(self, doc: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Where in the bytes the code points of texts lie."""
+        at = np.flatnonzero((self.data & 0xC0) != 0x80)
+        return at[np.searchsorted(at, self.begins[doc]) + points]
+
+    def within(self, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first token, and the one after the last, that lie at least in part in each span of code points."""
+        first = np.searchsorted(self.ends, self.places(doc, start), "right")
+        return first, np.searchsorted(self.starts, self.places(doc, end), "left")
+
 
 def tokens_of(texts: list[str]) -> Tokens:
     data, begins = joined(texts)
@@ -172,36 +183,36 @@ class Field:
 
 
 def _objective(x: np.ndarray, tags: np.ndarray, real: np.ndarray, weights: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of the mean log likelihood: observed less expected counts, by forward-backward in logs."""
-    n, t, _ = x.shape
-    e = x @ weights
-    lse = lambda v, axis: (m := v.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis))
-    alpha, beta = np.zeros((n, t, 3)), np.zeros((n, t, 3))
-    alpha[:, 0] = e[:, 0] + steps[O]
+    """Gradient of the mean log likelihood: observed less expected counts, by forward-backward with sums scaled to one."""
+    n, t, f = x.shape
+    e = (x.reshape(-1, f) @ weights).reshape(n, t, 3)
+    e = np.exp(e - e.max(2, keepdims=True))
+    step = np.exp(steps - steps.max())
+    one = lambda v: v / v.sum(-1, keepdims=True)
+    alpha, beta = np.zeros((n, t, 3)), np.ones((n, t, 3))
+    alpha[:, 0] = one(e[:, 0] * step[O])
     for j in range(1, t):
-        new = lse(alpha[:, j - 1, :, None] + steps[None], 1) + e[:, j]
-        alpha[:, j] = np.where(real[:, j, None], new, alpha[:, j - 1])
+        alpha[:, j] = np.where(real[:, j, None], one(alpha[:, j - 1] @ step * e[:, j]), alpha[:, j - 1])
     for j in range(t - 2, -1, -1):
-        new = lse(steps[None] + (e[:, j + 1] + beta[:, j + 1])[:, None, :], 2)
-        beta[:, j] = np.where(real[:, j + 1, None], new, beta[:, j + 1])
-    z = lse(alpha[:, -1], 1)
-    p = np.exp(alpha + beta - z[:, None, None]) * real[:, :, None]
+        beta[:, j] = np.where(real[:, j + 1, None], one((beta[:, j + 1] * e[:, j + 1]) @ step.T), beta[:, j + 1])
+    p = one(alpha * beta) * real[:, :, None]
     seen = np.eye(3)[tags] * real[:, :, None]
-    g_w = np.einsum("ntf,ntk->fk", x, seen - p) / n
-    g_s = np.zeros((3, 3))
+    g_w = x.reshape(-1, f).T @ (seen - p).reshape(-1, 3) / n
     both = real[:, 1:]
-    pair = np.exp(alpha[:, :-1, :, None] + steps[None, None] + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-    g_s += (np.einsum("nta,ntb->ab", seen[:, :-1] * both[:, :, None], seen[:, 1:]) - pair.sum((0, 1))) / n
+    pair = alpha[:, :-1, :, None] * step * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
+    pair *= (both / pair.sum((2, 3)))[:, :, None, None]
+    g_s = (np.einsum("nta,ntb->ab", seen[:, :-1] * both[:, :, None], seen[:, 1:]) - pair.sum((0, 1))) / n
     g_s[O] += (seen[:, 0] - p[:, 0]).sum(0) / n
     return g_w, g_s
 
 
 def train(windows: list[tuple[list[int], list[int]]], steps: int = 200, penalty: float = 0.0002, seed: int = 5) -> Field:
-    """Maximum likelihood with an L2 penalty, by Adam on the whole sample.
+    """Maximum likelihood with an L2 penalty, by Adam on all windows, of which ``learn`` gives no more than its bounds.
 
-    Each window with a secret is used three times: as it is, without its hints, so that shape and
-    place count by themselves, and with the secret in letters of both cases after a plain blank, so
-    that the field knows more alphabets and signs than the rules' finds show.
+    Each window with a secret is used four times: as it is and with the secret in letters of both
+    cases after a plain blank, so that the field knows more alphabets and signs than the rules'
+    finds show, and both of these without hints, so that shape and place count by themselves. Every
+    second one of the changed ones has a short secret, as its hint tells.
     """
     bit = {f: 1 << i for i, f in enumerate(FEATURES)}
     hints = sum(b for f, b in bit.items() if "hint" in f)
@@ -209,7 +220,10 @@ def train(windows: list[tuple[list[int], list[int]]], steps: int = 200, penalty:
     put = sum(bit[f] for f in ("upper", "lower", "digit", "three_groups", "many_turns", "after_blank"))
     secret = [(bits, tags) for bits, tags in windows if any(tags)]
     sample = list(windows) + [([b & ~hints for b in bits], tags) for bits, tags in secret]
-    sample += [([b & ~clear | put if t else b for b, t in zip(bits, tags, strict=True)], tags) for bits, tags in secret]
+    sizes = sum(b for f, b in bit.items() if f.startswith("len_") or f == "long_mixed")
+    mixed = [([b & ~clear | put if t else b for b, t in zip(bits, tags, strict=True)], tags) for bits, tags in secret]
+    brief = [([b & ~sizes | bit["len_8"] if t else b for b, t in zip(bits, tags, strict=True)], tags) for bits, tags in mixed[::2]]
+    sample += mixed[1::2] + brief + [([b & ~hints for b in bits], tags) for bits, tags in mixed]
     n, t = len(sample), max(len(b) for b, _ in sample)
     x, tags, real = np.zeros((n, t, len(FEATURES))), np.zeros((n, t), int), np.zeros((n, t), bool)
     for i, (bits, y) in enumerate(sample):
@@ -256,30 +270,29 @@ def decode(tokens: Tokens, field: Field) -> np.ndarray:
     return tags
 
 
-def weak_tags(tokens: Tokens, doc: int, spans: list[tuple[int, int, int, int]], text: str) -> tuple[int, np.ndarray]:
-    """(first token of a text, tags of its tokens): begin and inside where a rule found a secret."""
-    lo, hi = np.searchsorted(tokens.doc, [doc, doc + 1])
-    tags = np.zeros(hi - lo, int)
-    for _, _, end, secret in spans:
-        a, b = (len(text[:p].encode("utf-8", "surrogatepass")) + int(tokens.begins[doc]) for p in (secret, end))
-        hit = np.flatnonzero((tokens.starts[lo:hi] < b) & (tokens.ends[lo:hi] > a) & (tags == O))
-        tags[hit] = I
-        tags[hit[:1]] = B
-    return int(lo), tags
-
-
-WINDOW = 24
+def weak_tags(tokens: Tokens, spans: list[list[tuple[int, int, int, int]]]) -> np.ndarray:
+    """Tags of all tokens: begin and inside where a rule found a secret."""
+    tags = np.zeros(len(tokens.starts), np.int8)
+    flat = np.array([(doc, secret, end) for doc, found in enumerate(spans) for _, _, end, secret in found], np.int64).reshape(-1, 3)
+    for a, b in zip(*(x.tolist() for x in tokens.within(*flat.T)), strict=True):
+        free = a + np.flatnonzero(tags[a:b] == O)
+        tags[free] = I
+        tags[free[:1]] = B
+    return tags
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, seed: int = 3) -> Field | None:
+def learn(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, windows: int = 1_500, plain: int = 1_000, per_text: int = 8, width: int = 24, seed: int = 3
+) -> Field | None:
     """A field from the rules' own finds, on about ``sample`` documents at most (chosen by hashed id and text).
 
-    From each chosen document come the stretches of WINDOW tokens around rule matches, at most
-    eight, and from about 2 000 of them a stretch without. None if no secret was found; then only
-    the rules work.
+    From each chosen document come at most ``per_text`` stretches of ``width`` tokens around rule
+    matches, and one from anywhere in a document without. Of all different stretches, ``windows``
+    with a secret and ``plain`` ones without are taken at most, by a hash of their features; these
+    are the only rows that reach the driver, about 300 bytes each. None if no secret was found; then
+    only the rules work.
     """
     total = df.count()
-    every = max(1, min(total, sample) // 2_000)
     share = int(min(1.0, sample / max(total, 1)) * 1_000_000)
     text = F.coalesce(F.col(text_col), F.lit(""))
     chosen = df.select(text.alias("t"), F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.crc32(text), F.lit(seed)), F.lit(1_000_000)).alias("h")).where(F.col("h") < share)
@@ -288,27 +301,38 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         for piece in pieces(batches, "t"):
             texts = texts_of(piece, "t")
             tokens = tokens_of(texts)
-            bits, tags = [], []
-            for doc, text in enumerate(texts):
-                lo, y = weak_tags(tokens, doc, base_spans(text), text)
-                hits = np.flatnonzero(y == B)
-                pick = [max(0, int(h) - WINDOW // 2) for h in hits[:8]]
-                digest = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-                if not len(hits) and len(y) and digest % every == 0:
-                    pick = [(digest >> 16) % max(1, len(y) - WINDOW)]
-                for p in pick:
-                    part = slice(p, min(p + WINDOW, len(y)))
-                    bits.append(tokens.bits[lo + part.start : lo + part.stop].astype(np.int64).tolist())
-                    tags.append(y[part].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.list_(pa.int64())), pa.array(tags, pa.list_(pa.int64()))], ["bits", "tags"])
-
-    rows = chosen.select("t").mapInArrow(run, "bits array<bigint>, tags array<bigint>").collect()
-    windows = sorted((list(r["bits"]), list(r["tags"])) for r in rows)
-    return train(windows) if any(any(t) for _, t in windows) else None
+            tags = weak_tags(tokens, [base_spans(t) for t in texts])
+            edges = np.searchsorted(tokens.doc, np.arange(len(texts) + 1)).tolist()
+            rows = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                hits = lo + np.flatnonzero(tags[lo:hi] == B)
+                if len(hits):
+                    starts = np.maximum(hits - width // 2, lo).tolist()
+                elif hi > lo:
+                    starts = [lo + int(tokens.bits[lo:hi].sum() % np.uint64(max(1, hi - lo - width)))]
+                else:
+                    starts = []
+                found = []
+                for a in starts:
+                    bits, y = tokens.bits[a : min(a + width, hi)], tags[a : min(a + width, hi)]
+                    digest = hashlib.blake2b(bits.tobytes() + y.tobytes(), digest_size=8).digest()
+                    found.append((int.from_bytes(digest, "little", signed=True), bool(len(hits)), bits.astype(np.int64).tolist(), y.tolist()))
+                rows += sorted(found)[:per_text]
+            h, secret, bits, y = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(secret, pa.bool_()), pa.array(bits, pa.list_(pa.int64())), pa.array(y, pa.list_(pa.int64()))], ["h", "secret", "bits", "tags"])
+
+    made = chosen.select("t").mapInArrow(run, "h long, secret boolean, bits array<bigint>, tags array<bigint>")
+    made = cut(made.dropDuplicates(["secret", "h"]), "windows")
+    rows = [r for kind, n in (("secret", windows), ("NOT secret", plain)) for r in made.where(kind).orderBy("h").limit(n).collect()]
+    return train([(list(r["bits"]), list(r["tags"])) for r in rows]) if any(r["secret"] for r in rows) else None
 
 
 def find(texts: list[str], field: Field | None) -> list[list[Span]]:
-    """All spans (kind, start, end) of each text in code points, by start and kind; the field's own don't touch the rules'."""
+    """All spans (kind, start, end) of each text in code points, by start and kind.
+
+    Of what the field tags, tokens that a rule's span touches belong to the rule; the rest of a run
+    makes spans of its own.
+    """
     tokens = tokens_of(texts)
     hs, he = word_edges(tokens.data, _NOT_HEX)
     with_hex = set((np.searchsorted(tokens.begins, hs[he - hs >= 24], "right") - 1).tolist())
@@ -316,18 +340,21 @@ def find(texts: list[str], field: Field | None) -> list[list[Span]]:
     if field is None or not len(tokens.starts):
         return out
     tags = decode(tokens, field)
+    flat = np.array([(doc, start, end) for doc, spans in enumerate(out) for _, start, end in spans], np.int64).reshape(-1, 3)
+    for a, b in zip(*(x.tolist() for x in tokens.within(*flat.T)), strict=True):
+        tags[a:b] = O
     at = np.flatnonzero(tags)
     if not len(at):
         return out
     points = np.concatenate([[0], np.cumsum((tokens.data & 0xC0) != 0x80)])
     begins = (tags[at] == B) | np.concatenate([[True], (np.diff(at) > 1) | (np.diff(tokens.doc[at]) > 0)])
-    for run in np.split(at, np.flatnonzero(begins)[1:]):
-        doc = int(tokens.doc[run[0]])
-        zero = points[tokens.begins[doc]]
-        start, end = int(points[tokens.starts[run[0]]] - zero), int(points[tokens.ends[run[-1]]] - zero)
-        if not any(s < end and start < e for k, s, e in out[doc] if k < 3):
-            out[doc].append((3, start, end))
-    return [sorted(spans, key=lambda s: (s[1], s[0])) for spans in out]
+    first, last = at[begins], at[np.append(np.flatnonzero(begins)[1:], len(at)) - 1]
+    doc, zero = tokens.doc[first], points[tokens.begins[tokens.doc[first]]]
+    for d, start, end in zip(doc.tolist(), (points[tokens.starts[first]] - zero).tolist(), (points[tokens.ends[last]] - zero).tolist(), strict=True):
+        out[d].append((3, start, end))
+    for d in set(doc.tolist()):
+        out[d].sort(key=lambda s: (s[1], s[0]))
+    return out
 
 
 def listed(spans: list[Span]) -> str:
@@ -335,7 +362,10 @@ def listed(spans: list[Span]) -> str:
 
 
 def scan(df: DataFrame, field: Field | None, keep: list[str | Column], text_col: str = "text") -> DataFrame:
-    """``keep``, n_assign, n_access, n_hex, base_sha256 and spans of every row; null and empty texts have no spans."""
+    """``keep``, n_assign, n_access, n_hex, base_sha256 and spans of every row; null and empty texts have no spans.
+
+    A text of any length is worked on whole, with about 100 bytes for each of its bytes.
+    """
     source = df.select(*keep, F.col(text_col).alias("_text"))
     names = source.columns[:-1]
 

@@ -17,6 +17,8 @@ from corvane.plans.scratch import cut
 RADIUS = 3
 #: Fingerprints of a tile; a tile with more is cut into chunks.
 TILE = 4096
+#: Shingles of a text that are hashed at once.
+STRIP = 1 << 16
 #: The three parts of a fingerprint whose population counts place it in a tile.
 MASKS = (0x1FFFFF, 0x1FFFFF << 21, 0x3FFFFF << 42)
 
@@ -32,12 +34,13 @@ def fingerprint(raw: bytes, k: int = 3) -> int:
     starts = [0, *(gaps + 1).tolist()]
     ends = [*gaps.tolist(), len(text)]
     if len(starts) <= k:
-        hashes = [xxh64_intdigest(text, 42)]
-    else:
-        hashes = [xxh64_intdigest(text[a:b], 42) for a, b in zip(starts, ends[k - 1 :], strict=False)]
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = bits.sum(0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(over, bitorder="little").view("<u8")[0])
+        starts, ends = [0], [len(text)] * k
+    ends, total = ends[k - 1 :], np.zeros(64, np.int64)
+    for at in range(0, len(ends), STRIP):
+        hashes = [xxh64_intdigest(text[a:b], 42) for a, b in zip(starts[at : at + STRIP], ends[at : at + STRIP], strict=False)]
+        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(ends), bitorder="little").view("<u8")[0])
 
 
 def with_fingerprints(df: DataFrame, keep: list[str | Column], text_col: str = "text") -> DataFrame:

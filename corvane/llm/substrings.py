@@ -10,8 +10,10 @@ compact into equal paths, except at their two ends. Spark joins then find
 - paths that occur once though their anchor doesn't: these are opened again into edges, and so is
   one copy of each repeated path with such an anchor; edges that occur more than once are repeated.
 
-Paths and edges are named by two independent 64-bit hashes. What is removed goes back to the
-documents by coordinates, and every span is checked against the words there before it counts.
+Paths and edges are named by a BLAKE2b digest of their words and grouped by anchor and name. Each
+repeated one then gets proofs from its sources: the coordinates of its first and of its last place
+lead back to the words there, of which 128-bit digests are taken. The first place counts only if
+its own words have the digest of the last one's, every other only if they have the first one's.
 """
 
 from __future__ import annotations
@@ -24,32 +26,53 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.textbatch import joined, mix, pieces, shingle_hashes, span_hashes, texts_of, word_edges
+from corvane.llm.textbatch import BLANK, joined_column, mix, pieces, shingle_hashes, span_hashes, word_edges
 from corvane.plans.scratch import cut
 
 W = 35
 K = 8
 #: Bits of a sieve: a table of hashes that lets through all that are wanted and some more.
 SIEVE_BITS = 27
-_OTHER = 0xD1342543DE82EF95 | 1  # base of the second hash
 
 
-class Paths:
-    """The paths of several texts: document, first word in it, edges, anchor and name; ``edge`` names every window."""
+class Words:
+    """The words of several texts: bytes with one blank between words, where each word lies, and the document of each."""
 
-    def __init__(self, texts: list[str], w: int = W, k: int = K):
-        data, begins = joined(texts)
+    def __init__(self, data: np.ndarray, begins: np.ndarray):
         starts, ends = word_edges(data)
-        self.words = len(starts)
-        doc = np.searchsorted(begins, starts, "right") - 1
-        self.first_word = np.searchsorted(doc, np.arange(len(texts)))
-        hashes = span_hashes(data, starts, ends)
-        self.edge = shingle_hashes(hashes, w, _OTHER)
-        n = len(self.edge)
-        at = np.flatnonzero(doc[:n] == doc[w - 1 :]) if n else np.zeros(0, np.int64)
+        self.doc = np.searchsorted(begins, starts, "right") - 1
+        self.first = np.searchsorted(self.doc, np.arange(len(begins)))
+        blank = BLANK[data]
+        keep = ~blank
+        keep[1:] |= ~blank[:-1]
+        self.data = np.where(blank, np.uint8(0x20), data)[keep]
+        stops = np.cumsum(ends - starts + 1)
+        self.starts, self.ends = stops - (ends - starts + 1), stops - 1
+
+    def hashes(self) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends)
+
+    def digests(self, word: np.ndarray, n: np.ndarray, size: int = 16) -> list[bytes]:
+        """A digest of n words from each word."""
+        raw = memoryview(self.data.tobytes())
+        return [hashlib.blake2b(raw[a:b], digest_size=size).digest() for a, b in zip(self.starts[word].tolist(), self.ends[word + n - 1].tolist(), strict=True)]
+
+    def names(self, word: np.ndarray, n: np.ndarray) -> pa.Array:
+        """``digests`` of eight bytes as integers."""
+        return pa.array(np.frombuffer(b"".join(self.digests(word, n, 8)), np.int64))
+
+
+class Paths:
+    """The paths of several texts: document, first word (in all texts and in its own), number of edges and anchor."""
+
+    def __init__(self, words: Words, w: int = W, k: int = K):
+        self.words, doc = words, words.doc
+        hashes = words.hashes()
+        n = max(0, len(doc) - w + 1)
+        self.windows = at = np.flatnonzero(doc[:n] == doc[w - 1 :]) if n else np.zeros(0, np.int64)
         if not len(at):
             self.doc = self.pos = self.n = np.zeros(0, np.int64)
-            self.anchor = self.name = np.zeros(0, np.uint64)
+            self.anchor = np.zeros(0, np.uint64)
             self.start = np.zeros(0, np.int64)
             return
         small = shingle_hashes(hashes, k)
@@ -67,14 +90,8 @@ class Paths:
         self.n = np.diff(np.append(head, len(at)))
         self.start = at[head]
         self.doc = doc[self.start]
-        self.pos = self.start - self.first_word[self.doc]
+        self.pos = self.start - words.first[self.doc]
         self.anchor = small[place[head]]
-        self.name = span_names(self.edge, self.start, self.n)
-
-
-def span_names(edge: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A hash of n edges from ``start``: their first and last hold all words, as a path has fewer than W edges."""
-    return mix(edge[start] * np.uint64(3) + edge[start + n - 1] * np.uint64(5) + n.astype(np.uint64))
 
 
 def sieve(values: DataFrame, column: str) -> np.ndarray:
@@ -108,9 +125,9 @@ def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def occurrence(key: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """A hash of a place: the key of a document and a word of it."""
-    return mix(key.view(np.uint64) ^ mix(pos.astype(np.uint64) + np.uint64(1)))
+def occurrence(key: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of a place: the key of a document, a word of it, and how many edges begin there."""
+    return mix(key.view(np.uint64) ^ mix(pos.astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -123,12 +140,16 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
 
 
+def paths_of(piece: pa.RecordBatch, w: int, k: int) -> Paths:
+    return Paths(Words(*joined_column(piece.column("text"))), w, k)
+
+
 def anchors(docs: DataFrame, w: int, k: int) -> DataFrame:
     """(anchor, n): all anchors and how many paths have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            values, n = np.unique(Paths(texts_of(piece), w, k).anchor, return_counts=True)
+            values, n = np.unique(paths_of(piece, w, k).anchor, return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(values), pa.array(n)], ["anchor", "n"])
 
     return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
@@ -139,10 +160,11 @@ def paths(docs: DataFrame, table, w: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            p = Paths(texts_of(piece), w, k)
+            p = paths_of(piece, w, k)
             on = passes(table.value, p.anchor)
             key = piece.column("key").to_numpy()[p.doc[on]]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p.pos[on].astype(np.int32)), pa.array(p.n[on].astype(np.int32)), _signed(p.anchor[on]), _signed(p.name[on])], ["key", "pos", "n", "anchor", "name"])
+            names = p.words.names(p.start[on], p.n[on] + w - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p.pos[on].astype(np.int32)), pa.array(p.n[on].astype(np.int32)), _signed(p.anchor[on]), names], ["key", "pos", "n", "anchor", "name"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, pos int, n int, anchor long, name long")
 
@@ -152,47 +174,76 @@ def edges(docs: DataFrame, table, w: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            p = Paths(texts_of(piece), w, k)
+            p = paths_of(piece, w, k)
             key = piece.column("key").to_numpy()[p.doc] if len(p.doc) else np.zeros(0, np.int64)
-            on = np.flatnonzero(passes(table.value, occurrence(key, p.pos)))
+            on = np.flatnonzero(passes(table.value, occurrence(key, p.pos, p.n)))
             n = p.n[on]
             ends = np.cumsum(n)
             at = np.repeat(p.start[on] - (ends - n), n) + np.arange(n.sum())
-            names = span_names(p.edge, at, np.ones(len(at), np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), _signed(names))
+            names = p.words.names(at, np.full(len(at), w))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), names)
             yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(p.pos[on].astype(np.int32)), _signed(p.anchor[on]), lists], ["key", "pos", "anchor", "names"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, pos int, anchor long, names array<bigint>")
 
 
 def with_places(rows: DataFrame) -> DataFrame:
-    """(place) of rows with key and pos, as ``occurrence`` has it."""
+    """(place) of rows with key, pos and n, as ``occurrence`` has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([_signed(occurrence(b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)))], ["place"])
+            yield pa.RecordBatch.from_arrays([_signed(occurrence(*(b.column(i).to_numpy().astype(np.int64) for i in range(3))))], ["place"])
+
+    return rows.select("key", "pos", "n").mapInArrow(run, "place long")
+
+
+def proofs(docs: DataFrame, table, w: int, k: int) -> DataFrame:
+    """(key, pos, n, proof): a digest of the words of every path and every window whose place passes the sieve."""
 
-    return rows.select("key", "pos").mapInArrow(run, "place long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            p = paths_of(piece, w, k)
+            keys = piece.column("key").to_numpy()
+            for start, n in ((p.start, p.n), (p.windows, np.ones(len(p.windows), np.int64))):
+                doc = p.words.doc[start]
+                key, pos = keys[doc], start - p.words.first[doc]
+                on = np.flatnonzero(passes(table.value, occurrence(key, pos, n)))
+                made = pa.array(p.words.digests(start[on], n[on] + w - 1), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(pos[on].astype(np.int32)), pa.array(n[on].astype(np.int32)), made], ["key", "pos", "n", "proof"])
+
+    # a path of one edge is a window too; rows alike in id and text have the same places
+    return docs.select("key", "text").mapInArrow(run, "key long, pos int, n int, proof binary").groupBy("key", "pos", "n").agg(F.min("proof").alias("proof"))
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w: int = W, k: int = K) -> DataFrame:
-    """(key, pos, n, name): runs of n windows from word ``pos`` that all occur elsewhere too; keys as in ``keyed``."""
+    """(key, pos, n, proof): runs of n windows from word ``pos`` that all occur elsewhere too, and a digest of the words at another of their places.
+
+    Keys are as in ``keyed``; places are ordered by key and word. Rows of a common anchor or name
+    meet in joins of two plain shuffles, which adaptive execution can split.
+    """
     spark = df.sparkSession
     docs = keyed(df, id_col, text_col)
     share = spark.sparkContext.broadcast
     wanted = anchors(docs, w, k).where("n > 1")
     found = cut(paths(docs, share(sieve(wanted, "anchor")), w, k), "paths")
-    first = F.min(F.struct("key", "pos"))
-    kinds = cut(found.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("copies"), first.alias("at")), "path_kinds")
-    # written first, so that the rows of a common anchor meet it in a join of two plain shuffles, which can be split
+    place = F.struct("key", "pos")
+    sums = [F.count(F.lit(1)).alias("copies"), F.min(place).alias("from"), F.max(place).alias("to")]
+    kinds = cut(found.groupBy("anchor", "name").agg(F.min("n").alias("n"), *sums), "path_kinds")
     mixed = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "mixed_anchors")
-    open_ = cut(kinds.join(mixed, "anchor", "left_semi").select("at.key", "at.pos"), "open_paths")
+    open_ = cut(kinds.join(mixed, "anchor", "left_semi").select("from.key", "from.pos", "n"), "open_paths")
     opened = cut(edges(docs, share(sieve(with_places(open_), "place")), w, k), "edges")
-    each = opened.select("key", "anchor", F.col("pos").alias("from"), F.posexplode("names").alias("i", "name")).select("key", (F.col("from") + F.col("i")).alias("pos"), "anchor", "name")
-    again = cut(each.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("anchor", "name"), "repeated_edges")
-    whole = cut(kinds.where("copies > 1").select("anchor", "name"), "repeated_paths")
-    long = found.join(whole, ["anchor", "name"]).select("key", "pos", "n", "name")
-    short = each.join(again, ["anchor", "name"]).select("key", "pos", F.lit(1).alias("n"), "name")
+    each = opened.select("key", "anchor", F.col("pos").alias("at"), F.posexplode("names").alias("i", "name")).select("key", (F.col("at") + F.col("i")).alias("pos"), "anchor", "name")
+    again = each.groupBy("anchor", "name").agg(F.lit(1).alias("n"), *sums)
+    # a path of one edge and a window of another path may be alike, so a name can be here twice
+    repeated = cut(kinds.unionByName(again).where("copies > 1").drop("copies"), "repeated")
+    ends = repeated.select("anchor", "name", "n", "from", F.explode(F.array("from", "to")).alias("end")).select("anchor", "name", "n", "from", "end.key", "end.pos")
+    proved = proofs(docs, share(sieve(with_places(ends.select("key", "pos", "n").distinct()), "place")), w, k)
+    last = F.max_by("proof", F.struct("key", "pos")).alias("last")
+    sources = ends.join(proved, ["key", "pos", "n"]).groupBy("anchor", "name").agg(F.min("from").alias("from"), F.min_by("proof", F.struct("key", "pos")).alias("first"), last)
+    sources = cut(sources, "sources")
+    proof = F.when(place == F.col("from"), F.col("last")).otherwise(F.col("first")).alias("proof")
+    long = found.join(sources, ["anchor", "name"]).select("key", "pos", "n", proof)
+    short = each.join(sources, ["anchor", "name"]).select("key", "pos", F.lit(1).alias("n"), proof)
     return long.unionByName(short)
 
 
@@ -203,10 +254,12 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
     at another place too, in any document, is removed; the windows of the input count. The words
     kept are joined by single spaces. Texts of fewer than ``w`` words, null ones (no words) among
     them, lose nothing. Rows that repeat whole lose everything, from ``w`` words on. Null ids are
-    ids like others. An empty table gives an empty one.
+    ids like others. An empty table gives an empty one. One text is held with about 40 bytes for
+    each of its words and its bytes three times over; nothing grows with the number of its copies.
     """
     spans = repeated_spans(df, id_col, text_col, w, k)
-    packed = spans.groupBy("key").agg(F.collect_list(F.struct("pos", "n", "name")).alias("spans"))  # at most one for each word of a text
+    # as a set, so that rows alike in id and text, which share a key, add nothing: at most two spans for each word of one text
+    packed = spans.groupBy("key").agg(F.collect_set(F.struct("pos", "n", "proof")).alias("spans"))
     packed = cut(packed.select(F.col("key").alias("_spans_key"), "spans"), "spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = df.select(*keep, text.alias("_text"), F.xxhash64(F.col(id_col), text).alias("_key"))
@@ -216,15 +269,18 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "_text"):
-            texts = texts_of(piece, "_text")
-            marks = removed(texts, piece.column("spans"), w)
+            words = Words(*joined_column(piece.column("_text")))
+            raw = words.data.tobytes()
             total, gone, sums, kept = [], [], [], []
-            for raw, mark in zip(texts, marks, strict=True):
-                words = raw.encode("utf-8", "surrogatepass").split()
-                left = words if mark is None else [x for x, m in zip(words, mark.tolist(), strict=True) if not m]
-                body = b" ".join(left)
-                total.append(len(words))
-                gone.append(len(words) - len(left))
+            for i, mark in enumerate(removed(words, piece.column("spans"), w)):
+                lo, hi = int(words.first[i]), int(words.first[i + 1])
+                if mark is None or not mark.any():
+                    left, body = hi - lo, raw[words.starts[lo] : words.ends[hi - 1]] if hi > lo else b""
+                else:
+                    stay = lo + np.flatnonzero(~mark)
+                    left, body = len(stay), b" ".join([raw[a:b] for a, b in zip(words.starts[stay].tolist(), words.ends[stay].tolist(), strict=True)])
+                total.append(hi - lo)
+                gone.append(hi - lo - left)
                 sums.append(hashlib.sha256(body).hexdigest())
                 kept.append(body.decode("utf-8", "surrogatepass") if with_text else None)
             columns = [*[piece.column(i) for i in range(len(names))], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums)]
@@ -234,26 +290,19 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
     return joined_.mapInArrow(run, f"{ddl}, n_words long, n_removed long, kept_sha256 string{extra}")
 
 
-def removed(texts: list[str], spans: pa.Array, w: int) -> list[np.ndarray | None]:
-    """For each text which words go; None if none does. Spans whose name isn't that of the words there don't count."""
-    data, begins = joined(texts)
-    starts, ends = word_edges(data)
-    doc = np.searchsorted(begins, starts, "right") - 1
-    first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    edge = shingle_hashes(span_hashes(data, starts, ends), w, _OTHER)
-    out: list[np.ndarray | None] = []
+def removed(words: Words, spans: pa.Array, w: int) -> Iterator[np.ndarray | None]:
+    """For each text which words go; None if no span is given. A span counts if the words there have the digest of its source's words."""
     for i, s in enumerate(spans):
         if not s.is_valid or not len(s.values):
-            out.append(None)
+            yield None
             continue
-        pos, n, name = (s.values.field(f).to_numpy().astype(np.int64) for f in ("pos", "n", "name"))
-        size = first[i + 1] - first[i]
-        ok = (pos >= 0) & (pos + n + w - 1 <= size)
-        pos, n, name = pos[ok], n[ok], name[ok]
-        ok = span_names(edge, first[i] + pos, n).view(np.int64) == name
+        pos, n = (s.values.field(f).to_numpy().astype(np.int64) for f in ("pos", "n"))
+        size = int(words.first[i + 1] - words.first[i])
+        ok = np.flatnonzero((pos >= 0) & (pos + n + w - 1 <= size))
+        proof = s.values.field("proof").take(pa.array(ok)).to_pylist()
+        own = words.digests(words.first[i] + pos[ok], n[ok] + w - 1)
+        ok = ok[np.array([a == b for a, b in zip(own, proof, strict=True)], bool)] if len(ok) else ok
         steps = np.zeros(size + 1, np.int64)
         np.add.at(steps, pos[ok], 1)
         np.add.at(steps, pos[ok] + n[ok] + w - 1, -1)
-        mark = np.cumsum(steps[:-1]) > 0
-        out.append(mark if mark.any() else None)
-    return out
+        yield np.cumsum(steps[:-1]) > 0

@@ -24,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.textbatch import joined, pieces, span_hashes, texts_of, word_edges
+from corvane.llm.textbatch import Lanes, joined, joined_column, mix, pieces, word_edges
 from corvane.plans.scratch import cut, scratch_path
 
 #: Ids of a block, unless one document has more.
 BLOCK = 1 << 18
 
-#: White space beyond ASCII, or on which regular expression engines disagree; texts with it are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+# White space beyond ASCII, or on which regular expression engines disagree, in UTF-8; texts with it are encoded whole.
+_ODD_TWO = (0xC285, 0xC2A0)
+_ODD_THREE = (0xE19A80, 0xE1A08E, *range(0xE28080, 0xE2808C), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080, 0xEFBBBF)
 
 # Decoding tables: for each control byte the lengths of its four values and their sum.
 _LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -101,12 +102,81 @@ def chunks(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[order], e[order], d[order]
 
 
+def odd_texts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The numbers of the texts with odd white space."""
+    at = np.flatnonzero(_MAYBE_ODD[data[:-2]])
+    if not len(at):
+        return at
+    code = data[at].astype(np.int64) << 16 | data[at + 1].astype(np.int64) << 8 | data[at + 2]
+    odd = (code < 0x200000) | np.isin(code >> 8, _ODD_TWO) | np.isin(code, _ODD_THREE)
+    return np.unique(np.searchsorted(begins, at[odd], "right") - 1)
+
+
+class Chunks:
+    """Numbers of chunks that were met before, told apart by all their bytes.
+
+    A chunk of up to 15 bytes is the pair of integers that its bytes and its length make; pairs are
+    looked up in two tables of single places. Chunks that are longer, or that fit in neither table,
+    are in a dictionary.
+    """
+
+    BITS = 20
+
+    def __init__(self):
+        self.n, self.rest = 0, {}
+        places = 1 << self.BITS
+        self.tables = [(np.uint64(shift), np.zeros(places, np.uint64), np.zeros(places, np.uint64), np.full(places, -1, np.int32)) for shift in (64 - self.BITS, 64 - 2 * self.BITS)]
+
+    @staticmethod
+    def _pairs(lanes: Lanes, s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.where(size >= 8, lanes.take(s, np.full(len(s), 8)), np.uint64(0))
+        tail = np.where(size >= 8, size - 8, size)
+        return first, lanes.take(s + (size - tail), tail) | size.astype(np.uint64) << np.uint64(56)
+
+    def find(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """(number of each chunk, the new ones in the order of their numbers)."""
+        out, size = np.full(len(s), -1, np.int32), e - s
+        short = np.flatnonzero(size < 16)
+        a, b = self._pairs(Lanes(data), s[short], size[short])
+        spread, mask = mix(a + mix(b)), np.uint64((1 << self.BITS) - 1)
+        left = np.arange(len(short))
+        for shift, first, tail, number in self.tables:
+            slot = (spread[left] >> shift & mask).astype(np.int64)
+            hit = (first[slot] == a[left]) & (tail[slot] == b[left]) & (number[slot] >= 0)
+            out[short[left[hit]]] = number[slot[hit]]
+            left = left[~hit]
+        miss = np.flatnonzero(out < 0)
+        if not len(miss):
+            return out, []
+        raw, new, found = data.tobytes(), {}, []
+        held, put = self.rest.get, new.setdefault
+        for i, j in zip(s[miss].tolist(), e[miss].tolist(), strict=True):
+            chunk = raw[i:j]
+            k = held(chunk)
+            found.append(put(chunk, self.n + len(new)) if k is None else k)
+        out[miss] = found
+        chunks = list(new)
+        fresh = left[out[short[left]] >= self.n]
+        placed = np.zeros(len(chunks), bool)
+        for shift, first, tail, number in self.tables:
+            slot = (spread[fresh] >> shift & mask).astype(np.int64)
+            free = np.flatnonzero(number[slot] < 0)
+            taken, which = np.unique(slot[free], return_index=True)
+            one = fresh[free[which]]
+            first[taken], tail[taken], number[taken] = a[one], b[one], out[short[one]]
+            placed[out[short[one]] - self.n] = True
+            fresh = fresh[~placed[out[short[fresh]] - self.n]]
+        for i in np.flatnonzero(~placed).tolist():
+            self.rest[chunks[i]] = self.n + i
+        self.n += len(chunks)
+        return out, chunks
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which sees each chunk once as long as it is remembered.
 
-    Chunks are known by a 64-bit hash with their length and by their first eight bytes. New ones
-    are encoded together, a line feed between them: the tokenizer's rule makes that a token of its
-    own. When more than ``keep`` are held, those met once are dropped, then the rarest.
+    New chunks are encoded together, a line feed between them: the tokenizer's rule makes that a
+    token of its own. Beyond ``keep`` chunks, or 16 times as many ids, all are forgotten.
     """
 
     def __init__(self, path: str, keep: int = 1_000_000):
@@ -114,16 +184,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.tokenizer.encode_special_tokens = True
         names = self.tokenizer.get_vocab()
         self.bytes_of = np.ones(max(names.values()) + 1, np.int64)
         for name, i in names.items():
             self.bytes_of[i] = len(name)  # byte-level: one sign for each byte
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.tokenizer.model._resize_cache(0)  # chunks are remembered here
         self.part, self.feed = 1000, self._ids(["\n"])[0][0]
-        self.keys, self.heads = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.starts, self.sizes, self.hits = (np.zeros(0, np.int64) for _ in range(3))
-        self.pool = np.zeros(0, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks = Chunks()
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -155,67 +228,51 @@ class Encoder:
             out[~owner] = parts["words"]
         return out, sizes
 
-    def _drop(self) -> None:
-        floor = max(2, int(np.sort(self.hits)[-self.keep // 2]))
-        kept = np.flatnonzero(self.hits >= floor)
-        sizes = self.sizes[kept]
-        ends = np.cumsum(sizes)
-        self.pool = self.pool[np.repeat(self.starts[kept] - (ends - sizes), sizes) + np.arange(sizes.sum())]
-        self.starts, self.sizes, self.hits = ends - sizes, sizes, self.hits[kept]
-        self.keys, self.heads = self.keys[kept], self.heads[kept]
-
     def _places(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Where the ids of each chunk are held."""
-        keys, first, inverse, counts = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True, return_counts=True)
-        s, e = s[first], e[first]
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[s]).view("<u8").reshape(-1)
-        heads = heads & np.where(e - s >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << ((e - s).astype(np.uint64) * np.uint64(8) & np.uint64(63))) - np.uint64(1))
-        if len(self.keys) > self.keep:
-            self._drop()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            at = np.minimum(at, len(self.keys) - 1)
-            known = (self.keys[at] == keys) & (self.heads[at] == heads)
-        new = np.flatnonzero(~known)
-        if len(new):
-            view = data.tobytes()
-            ids, sizes = self._encode_new([view[a:b] for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
-            starts = len(self.pool) + np.cumsum(sizes) - sizes
-            self.pool = np.concatenate([self.pool, ids])
-            where = np.searchsorted(self.keys, keys[new])
-            for name, value in (("keys", keys[new]), ("heads", heads[new]), ("starts", starts), ("sizes", sizes), ("hits", np.zeros(len(new), np.int64))):
-                setattr(self, name, np.insert(getattr(self, name), where, value))
-            at = np.searchsorted(self.keys, keys)
-            clash = self.heads[at] != heads  # two chunks of one hash: the new one stands before the old
-            at[clash] += 1
-        self.hits[at] += counts
-        return at[inverse]
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each with ``end_id`` after it; how many of them end with each text)."""
-        data, begins = joined(texts)
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t)] if _MAYBE_ODD[data].any() else []
-        if odd:
-            data, begins = joined(["" if _ODD.search(t) else t for t in texts])
+        """Which of the held chunks each one is."""
+        if len(self.starts) > self.keep or len(self.pool) > 16 * self.keep:
+            self._forget()
+        place, new = self.chunks.find(data, s, e)
+        if new:
+            ids, sizes = self._encode_new(new)
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+        return place
+
+    def _whole(self, data: np.ndarray, begins: np.ndarray) -> list[int]:
+        """Texts that the library gets as they are: with odd white space, or with what is a token of its own wherever it stands."""
+        out = set(odd_texts(data, begins).tolist())
+        if self.added:
+            found = [m.start() for m in self.added.finditer(data.tobytes())]
+            out |= set((np.searchsorted(begins, found, "right") - 1).tolist())
+        return sorted(i for i in out if 0 <= i < len(begins) - 1)
+
+    def encode(self, data: np.ndarray, begins: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of ``joined``, each with ``end_id`` after it; how many of them end with each text)."""
+        texts = {i: data[begins[i] : begins[i + 1] - 1].tobytes().decode("utf-8", "surrogatepass") for i in self._whole(data, begins)}
+        whole = {i: np.array(ids, np.uint32) for i, ids in zip(texts, self._ids(list(texts.values())), strict=True)}
+        if whole:
+            data = data.copy()
+            for i in whole:
+                data[begins[i] : begins[i + 1] - 1] = 0x20
         s, e, doc = chunks(data, begins)
+        if whole:
+            plain = ~np.isin(doc, list(whole))
+            s, e, doc = s[plain], e[plain], doc[plain]
         place = self._places(data, s, e) if len(s) else np.zeros(0, np.int64)
         sizes = self.sizes[place]
-        lengths = np.bincount(doc, sizes, len(texts)).astype(np.int64) + 1
-        whole = {i: np.array(self._ids([texts[i]])[0], np.uint32) for i in odd}
-        for i in odd:
-            lengths[i] += len(whole[i])
+        lengths = np.bincount(doc, sizes, len(begins) - 1).astype(np.int64) + 1
+        for i, ids in whole.items():
+            lengths[i] += len(ids)
         ends = np.cumsum(lengths)
         out = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.uint32)
-        if len(s):
-            stops = np.cumsum(sizes)
-            flat = self.pool[np.repeat(self.starts[place] - (stops - sizes), sizes) + np.arange(sizes.sum())]
-            text = np.repeat(doc, sizes)
-            per = np.bincount(text, minlength=len(texts))
-            out[np.arange(len(flat)) + (ends - lengths - (np.cumsum(per) - per))[text]] = flat
-        for i in odd:
-            out[ends[i] - lengths[i] : ends[i] - 1] = whole[i]
+        mine = np.ones(len(out), bool)
+        mine[ends - 1] = False
+        for i, ids in whole.items():
+            place_of = slice(ends[i] - lengths[i], ends[i] - 1)
+            out[place_of], mine[place_of] = ids, False
+        stops = np.cumsum(sizes)
+        out[mine] = self.pool[np.repeat(self.starts[place] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
         return out, ends
 
 
@@ -235,7 +292,7 @@ def tokenize(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, Encoder(vocabulary))
         for piece in pieces(batches, "t"):
-            ids, ends = encoder.encode(texts_of(piece, "t"), end_id)
+            ids, ends = encoder.encode(*joined_column(piece.column("t")), end_id)
             raw = ids.astype(kind)
             offsets = np.concatenate([[0], ends * raw.itemsize]).astype(np.int32)
             rows = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])

@@ -91,10 +91,11 @@ def compare(a: np.ndarray, b: np.ndarray, weight_a: np.ndarray, weight_b: np.nda
     part = slice(edges[block], edges[block + 1])
     pa_, pb = ra[:, part], rb[:, part]
     na, nb = (pa_ * pa_).sum(1), (pb * pb).sum(1)
+    gaps = lambda x, y, upto: np.add.reduceat((ra[x, : edges[upto]] - rb[y, : edges[upto]]) ** 2, edges[:upto], axis=1) <= limit[:upto]
     links_a, links_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     off, label = (0 if same else len(a)), np.arange(len(a) if same else len(a) + len(b))
     for lo in range(0, len(a), 256):
-        near = na[lo : lo + 256, None] + nb[None, :] - 2 * pa_[lo : lo + 256] @ pb.T <= limit[block] + 1e-12
+        near = na[lo : lo + 256, None] + nb[None, :] - 2 * pa_[lo : lo + 256] @ pb.T <= limit[block] + 1e-9  # some more than the budget; ``gaps`` decides
         i, j = np.nonzero(near)
         i += lo
         if same:
@@ -104,9 +105,9 @@ def compare(a: np.ndarray, b: np.ndarray, weight_a: np.ndarray, weight_b: np.nda
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
             ok = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
             x, y = x[ok], y[ok]
-            if block and len(x):
-                gap = np.add.reduceat((ra[x] - rb[y]) ** 2, edges[:-1], axis=1)
-                ok = ~(gap[:, :block] <= limit[:block]).any(1)
+            if len(x):
+                fits = gaps(x, y, block + 1)  # one formula for this block and those before it
+                ok = fits[:, block] & ~fits[:, :block].any(1)
                 x, y = x[ok], y[ok]
             if len(x):
                 links_a += np.bincount(x, weight_b[y], len(a)).astype(np.int64)

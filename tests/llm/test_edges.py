@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import contamination, language, packing, quality, secrets, sharding, simhash, substrings, tokens, vectors
+from corvane.llm.textbatch import joined
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the quick brown fox jumps over a lazy dog while seven small birds sing on old walls".split()
@@ -122,7 +123,6 @@ def test_tokens(docs, none, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCAB)
-    t.encode_special_tokens = True
     got = sorted(rows(tokens.roundtrip(docs, VOCAB)), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got if r["doc_id"] is not None] == sorted(r[0] for r in ROWS if r[0] is not None)
     want = Counter((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, text, *_ in ROWS for ids in [[*t.encode(text or "", add_special_tokens=False).ids, 0]])
@@ -138,16 +138,29 @@ def test_value_coding():
         assert (tokens.decode_values(*tokens.encode_values(v), n) == v).all()
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters that every polynomial hash modulo 2^64 confuses, for n from 2048 on."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def test_encoder_equals_library():
-    e = tokens.Encoder(VOCAB, keep=40)
+    from tokenizers import Tokenizer
+
+    library, e = Tokenizer.from_file(VOCAB), tokens.Encoder(VOCAB, keep=40)
     rng = np.random.default_rng(5)
-    signs = [" ", "  ", "\n", "a", "b'll", "é", "9", "!", "\t", "Z", "日", " ", "\x1c", "'s"]
-    texts = ["".join(rng.choice(signs, rng.integers(0, 25))) for _ in range(300)]
-    ids, ends = e.encode(texts, 0)
-    begin = 0
-    for text, end in zip(texts, ends, strict=True):
-        assert ids[begin:end].tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 0], repr(text)
-        begin = end
+    signs = [" ", "  ", "\n", "a", "b'll", "é", "9", "!", "\t", "Z", "日", "\u3000", "\x1c", "'s", "<|endoftext|>", "—", "supercalifragilistic", "\x00"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 25))) for _ in range(600)]
+    texts += [*thue_morse(2048), *thue_morse(4096), *thue_morse(16), " ".join(thue_morse(2048)), "x <|endoftext|> y"]
+    for lo in range(0, len(texts), 100):
+        part = texts[lo : lo + 100]
+        ids, ends = e.encode(*joined(part), 0)
+        begin = 0
+        for text, end in zip(part, ends, strict=True):
+            assert ids[begin:end].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], repr(text)
+            begin = end
 
 
 def test_quality(docs, none, spark):
