@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from corvane.llm.textbatch import Lanes, joined, joined_column, mix, pieces, word_edges
+from corvane.llm.textbatch import BLANK, Lanes, joined_column, mix, pieces
 from corvane.plans.scratch import cut, scratch_path
 
 #: Ids of a block, unless one document has more.
@@ -70,6 +71,10 @@ _SIGN = np.zeros(256, bool)
 _SIGN[0x21:0x7F] = ~_ALNUM[0x21:0x7F]
 
 
+# ASCII letters and U+00C0 to U+00FF in UTF-8, without the two signs among these.
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
 def chunks(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, documents) of the chunks of all texts, in order.
 
@@ -77,29 +82,20 @@ def chunks(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray
     white space that is left, with words cut wherever an ASCII sign follows an ASCII letter or
     digit. The tokenizer's own rule splits at each of these borders.
     """
-    starts, ends = word_edges(data)
-    doc = np.searchsorted(begins, starts, "right") - 1
-    n = len(begins) - 1
-    first = np.ones(len(doc), bool)
-    first[1:] = doc[1:] != doc[:-1]
-    before = np.where(first, begins[doc], np.concatenate([[0], ends[:-1]])) if len(doc) else starts
-    gap = starts - before
-    spaced = (gap > 0) & (data[starts - 1] == 0x20)
-    long, odd = gap > 1, (gap > 0) & ~spaced
-    tail = begins[:-1].copy()
-    tail[doc] = ends  # the last word of each text wins
-    rest = tail < begins[1:] - 1
-    cuts = np.flatnonzero(_ALNUM[data[:-1]] & _SIGN[data[1:]]) + 1
-    longs, afters = starts[long] - 1, starts[odd]
-    heads = starts - spaced
-    at = np.searchsorted(starts, cuts)  # cuts lie inside words
-    heads, ends = np.insert(heads, at, cuts), np.insert(ends, at - 1, cuts) if len(cuts) else ends
-    doc_of = np.insert(doc, at, doc[at - 1])
-    s = np.concatenate([heads, before[long], starts[odd] - 1, tail[rest]])
-    e = np.concatenate([ends, longs, afters, (begins[1:] - 1)[rest]])
-    d = np.concatenate([doc_of, doc[long], doc[odd], np.arange(n)[rest]])
-    order = np.argsort(s, kind="stable")
-    return s[order], e[order], d[order]
+    between = np.zeros(len(data), bool)  # the blanks around the texts
+    between[0] = between[begins[1:] - 1] = True
+    blank = BLANK[data]
+    word = ~blank
+    word[1:] &= blank[:-1]
+    at = np.flatnonzero(word)  # where words begin
+    start = between | word
+    start[1:] |= _ALNUM[data[:-1]] & _SIGN[data[1:]]
+    start[1:] |= blank[1:] & (between[:-1] | ~blank[:-1])  # where white space begins
+    start[at - 1] = True  # its last sign: with the word if it's a space, else alone
+    start[at[(data[at - 1] == 0x20) & ~between[at - 1]]] = False
+    s = np.flatnonzero(start)
+    own = ~between[s]
+    return s[own], np.append(s[1:], len(data))[own], (np.cumsum(~own) - 1)[own]
 
 
 def odd_texts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -129,8 +125,10 @@ class Chunks:
 
     @staticmethod
     def _pairs(lanes: Lanes, s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = np.where(size >= 8, lanes.take(s, np.full(len(s), 8)), np.uint64(0))
-        tail = np.where(size >= 8, size - 8, size)
+        first, tail = np.zeros(len(s), np.uint64), size.copy()
+        full = np.flatnonzero(size >= 8)
+        first[full] = lanes.take(s[full], size[full])
+        tail[full] -= 8
         return first, lanes.take(s + (size - tail), tail) | size.astype(np.uint64) << np.uint64(56)
 
     def find(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -182,6 +180,7 @@ class Encoder:
     def __init__(self, path: str, keep: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         names = self.tokenizer.get_vocab()
@@ -190,7 +189,11 @@ class Encoder:
             self.bytes_of[i] = len(name)  # byte-level: one sign for each byte
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
-        self.tokenizer.model._resize_cache(0)  # chunks are remembered here
+        # letters alone, with a space before them or not, are one word of the tokenizer's rule and need no rule
+        self.letters = Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = Sequence([Split("\n", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        for t in (self.tokenizer, self.letters):
+            t.model._resize_cache(0)  # chunks are remembered here
         self.part, self.feed = 1000, self._ids(["\n"])[0][0]
         self._forget()
 
@@ -201,32 +204,46 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[bytes], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them belong to each word), encoded in parts with a line feed between words."""
+        texts = [b"\n".join(words[i : i + self.part]).decode("utf-8", "surrogatepass") for i in range(0, len(words), self.part)]
+        stops = np.cumsum([len(w) for w in words])
+        if letters:
+            got = np.concatenate([np.array(e.ids, np.int64) for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)])
+        else:
+            got = np.concatenate([np.array([*ids, self.feed], np.int64) for ids in self._ids(texts)])
+            stops += np.arange(len(words))  # the line feeds before
+        ends = np.cumsum(self.bytes_of[got])
+        last = np.searchsorted(ends, stops)  # the token that ends with each word
+        if not (ends[last] == stops).all():
+            raise ValueError("the tokenizer joined chunks; it isn't byte-level with the usual rule")
+        heads = np.concatenate([[0], last[:-1] + (1 if letters else 2)])
+        n = last + 1 - heads
+        return got[np.repeat(heads - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
     def _encode_new(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of them belong to each chunk)."""
+        letters = np.array([_LETTERS.fullmatch(r) is not None for r in raw], bool)
         blank = np.array([not r.strip() for r in raw], bool)
-        words = [r for r, b in zip(raw, blank, strict=True) if not b]
-        sizes, parts = np.zeros(len(raw), np.int64), {}
-        if words:
-            texts = [b"\n".join(words[i : i + self.part]).decode("utf-8", "surrogatepass") for i in range(0, len(words), self.part)]
-            got = np.array([i for ids in self._ids(texts) for i in (*ids, self.feed)][:-1], np.int64)
-            ends = np.cumsum(self.bytes_of[got])
-            stops = np.cumsum([len(w) + 1 for w in words])
-            last = np.searchsorted(ends, stops - 1)  # the token that ends with each word
-            if len(got) and not (ends[last] == stops - 1).all():
-                raise ValueError("the tokenizer joined chunks; it isn't byte-level with the usual rule")
-            heads = np.concatenate([[0], last[:-1] + 2])
-            sizes[~blank] = last + 1 - heads
-            parts = {"words": got[np.repeat(heads - (np.cumsum(sizes[~blank]) - sizes[~blank]), sizes[~blank]) + np.arange(sizes.sum())]}
-        if not blank.any():
-            return parts["words"].astype(np.uint32), sizes
-        lists = self._ids([r.decode() for r in raw if not r.strip()])
-        sizes[blank] = [len(x) for x in lists]
-        out = np.zeros(int(sizes.sum()), np.uint32)
-        owner = np.repeat(blank, sizes)
-        out[owner] = [i for x in lists for i in x]
-        if words:
-            out[~owner] = parts["words"]
-        return out, sizes
+        sizes, order, parts = np.zeros(len(raw), np.int64), [], []
+        for which in (letters, blank, ~letters & ~blank):
+            at = np.flatnonzero(which)
+            if not len(at):
+                continue
+            chosen = [raw[i] for i in at.tolist()]
+            if which is blank:
+                lists = self._ids([r.decode() for r in chosen])
+                ids, n = np.array([i for x in lists for i in x], np.int64), np.array([len(x) for x in lists])
+            else:
+                ids, n = self._encode_words(chosen, which is letters)
+            sizes[at] = n
+            order.append(at)
+            parts.append(ids)
+        # ids stand in the order of the groups: bring them into that of the chunks
+        at, ids = np.concatenate(order), np.concatenate(parts)
+        starts = np.zeros(len(raw), np.int64)
+        starts[at] = np.cumsum(sizes[at]) - sizes[at]
+        return ids[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())].astype(np.uint32), sizes
 
     def _places(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """Which of the held chunks each one is."""
@@ -286,39 +303,55 @@ def id_type(vocabulary: str, end_id: int = 0) -> str:
     return "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def tokenize(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", kind: str = "<u4") -> DataFrame:
-    """(id_col, ids): the ids of each whole text with ``end_id`` after them, as unsigned integers of the type ``kind``."""
+def tokenize(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", kind: str = "<u4", counted: bool = False) -> DataFrame:
+    """(id_col, ids): the ids of each whole text with ``end_id`` after them, as unsigned integers of the type ``kind``.
+
+    With ``counted`` there is a third column, ``counts``, and a row more for each task, in which it
+    alone is set: how often each id occurs in the rows of the task, as long integers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, Encoder(vocabulary))
+        total = np.zeros(0, np.int64)
         for piece in pieces(batches, "t"):
             ids, ends = encoder.encode(*joined_column(piece.column("t")), end_id)
             raw = ids.astype(kind)
             offsets = np.concatenate([[0], ends * raw.itemsize]).astype(np.int32)
-            rows = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([piece.column("i"), rows], ["i", "ids"])
+            columns = [piece.column("i"), pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])]
+            if counted:
+                total = _added(total, np.bincount(ids))
+                columns.append(pa.nulls(len(ends), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["i", "ids", "counts"][: len(columns)])
+        if counted:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, to_arrow_type(id_type_)), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["i", "ids", "counts"])
+
+    id_type_ = df.schema[id_col].dataType
+    ddl = f"i {id_type_.simpleString()}, ids binary{', counts binary' * counted}"
+    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, ddl).withColumnRenamed("i", id_col)
+
 
-    sql_type = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"i {sql_type}, ids binary").withColumnRenamed("i", id_col)
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros(max(len(a), len(b)), np.int64)
+    out[: len(a)] += a
+    out[: len(b)] += b
+    return out
 
 
-def rank_table(tokens: DataFrame, kind: str = "<u4") -> np.ndarray:
-    """Ids of a table of ``tokenize`` from the most frequent to the rarest (ties: smaller id first), with all counts taken.
+def rank_table(tokens: DataFrame) -> np.ndarray:
+    """Ids of a counted table of ``tokenize`` from the most frequent to the rarest (ties: smaller id first), with all counts taken.
 
     What reaches the driver is one count for each id of the vocabulary.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
-            if len(got) > len(total):
-                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-            total[: len(got)] += got
+            for raw in batch.column(0).to_pylist():
+                total = _added(total, np.frombuffer(raw, np.int64))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    counts = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(add_up, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.collect()
     rows.sort(key=lambda r: (-r["n"], r["id"]))
     return np.array([r["id"] for r in rows], np.uint32)
@@ -362,13 +395,15 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_
     Texts are encoded once; their ids go to the shared folder in a column of two-byte integers
     where the vocabulary allows. Rows are range-partitioned by id, so files follow each other in
     id order. Null and empty texts hold the end id alone; null ids come first; rows with one id
-    follow each other in the order of a checksum of their ids. An empty table gives an empty corpus.
+    follow each other in the order of a checksum of their ids. Ids must be whole numbers, or text
+    that is one; other ids raise an error. An empty table gives an empty corpus. A text of any
+    length is encoded whole, with about 60 bytes for each of its chunks.
     """
     spark = df.sparkSession
     kind = id_type(vocabulary, end_id)
-    tokens = cut(tokenize(df, vocabulary, end_id, id_col, text_col, kind), "ids", "zstd")
-    ranks = rank_table(tokens, kind)
-    ordered = tokens.select(F.col(id_col).cast("long").alias("id"), "ids").orderBy(F.col("id").asc_nulls_first(), F.crc32("ids"))
+    tokens = cut(tokenize(df, vocabulary, end_id, id_col, text_col, kind, counted=True), "ids", "zstd")
+    ranks = rank_table(tokens)
+    ordered = tokens.where("counts IS NULL").select(F.col(id_col).cast("long").alias("id"), "ids").orderBy(F.col("id").asc_nulls_first(), F.crc32("ids"))
     ordered.mapInArrow(_blocks(ranks, size, kind), BLOCK_DDL).write.parquet(f"{path}/blocks")
     rows = spark.createDataFrame(pa.table({"rank": pa.array(np.arange(len(ranks), dtype=np.int64)), "id": pa.array(ranks.astype(np.int64))}))
     rows.coalesce(1).write.parquet(f"{path}/ranks")
