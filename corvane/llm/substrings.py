@@ -10,10 +10,11 @@ compact into equal paths, except at their two ends. Spark joins then find
 - paths that occur once though their anchor doesn't: these are opened again into edges, and so is
   one copy of each repeated path with such an anchor; edges that occur more than once are repeated.
 
-Paths and edges are named by a BLAKE2b digest of their words and grouped by anchor and name. Each
-repeated one then gets proofs from its sources: the coordinates of its first and of its last place
-lead back to the words there, of which 128-bit digests are taken. The first place counts only if
-its own words have the digest of the last one's, every other only if they have the first one's.
+Paths and edges are named by halves of 128-bit BLAKE2b digests of their words. Edges are alike if
+both halves agree. Paths, the long spans, are grouped by one half and get the other from their
+sources: the coordinates of a path's first and of its last place lead back to the words there. The
+first place counts only if its words have the last one's digest, every other only if they have the
+first one's. Before a word goes, the digest of the span around it is taken once more in its text.
 """
 
 from __future__ import annotations
@@ -52,14 +53,11 @@ class Words:
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends)
 
-    def digests(self, word: np.ndarray, n: np.ndarray, size: int = 16) -> list[bytes]:
-        """A digest of n words from each word."""
+    def digests(self, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A digest of n words from each word, as two integers."""
         raw = memoryview(self.data.tobytes())
-        return [hashlib.blake2b(raw[a:b], digest_size=size).digest() for a, b in zip(self.starts[word].tolist(), self.ends[word + n - 1].tolist(), strict=True)]
-
-    def names(self, word: np.ndarray, n: np.ndarray) -> pa.Array:
-        """``digests`` of eight bytes as integers."""
-        return pa.array(np.frombuffer(b"".join(self.digests(word, n, 8)), np.int64))
+        made = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(self.starts[word].tolist(), self.ends[word + n - 1].tolist(), strict=True)]
+        return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
 
 
 class Paths:
@@ -163,14 +161,14 @@ def paths(docs: DataFrame, table, w: int, k: int) -> DataFrame:
             p = paths_of(piece, w, k)
             on = passes(table.value, p.anchor)
             key = piece.column("key").to_numpy()[p.doc[on]]
-            names = p.words.names(p.start[on], p.n[on] + w - 1)
+            names = pa.array(p.words.digests(p.start[on], p.n[on] + w - 1)[:, 0])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p.pos[on].astype(np.int32)), pa.array(p.n[on].astype(np.int32)), _signed(p.anchor[on]), names], ["key", "pos", "n", "anchor", "name"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, pos int, n int, anchor long, name long")
 
 
 def edges(docs: DataFrame, table, w: int, k: int) -> DataFrame:
-    """(key, pos, anchor, names): the edges of all paths whose place passes the sieve."""
+    """(key, pos, anchor, names, checks): the edges of all paths whose place passes the sieve, with both halves of their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -180,11 +178,11 @@ def edges(docs: DataFrame, table, w: int, k: int) -> DataFrame:
             n = p.n[on]
             ends = np.cumsum(n)
             at = np.repeat(p.start[on] - (ends - n), n) + np.arange(n.sum())
-            names = p.words.names(at, np.full(len(at), w))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), names)
-            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(p.pos[on].astype(np.int32)), _signed(p.anchor[on]), lists], ["key", "pos", "anchor", "names"])
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            names, checks = (pa.ListArray.from_arrays(offsets, pa.array(half)) for half in p.words.digests(at, np.full(len(at), w)).T)
+            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(p.pos[on].astype(np.int32)), _signed(p.anchor[on]), names, checks], ["key", "pos", "anchor", "names", "checks"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, pos int, anchor long, names array<bigint>")
+    return docs.select("key", "text").mapInArrow(run, "key long, pos int, anchor long, names array<bigint>, checks array<bigint>")
 
 
 def with_places(rows: DataFrame) -> DataFrame:
@@ -198,25 +196,22 @@ def with_places(rows: DataFrame) -> DataFrame:
 
 
 def proofs(docs: DataFrame, table, w: int, k: int) -> DataFrame:
-    """(key, pos, n, proof): a digest of the words of every path and every window whose place passes the sieve."""
+    """(key, pos, check): the second half of the digest of every path whose place passes the sieve, read from its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             p = paths_of(piece, w, k)
-            keys = piece.column("key").to_numpy()
-            for start, n in ((p.start, p.n), (p.windows, np.ones(len(p.windows), np.int64))):
-                doc = p.words.doc[start]
-                key, pos = keys[doc], start - p.words.first[doc]
-                on = np.flatnonzero(passes(table.value, occurrence(key, pos, n)))
-                made = pa.array(p.words.digests(start[on], n[on] + w - 1), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(pos[on].astype(np.int32)), pa.array(n[on].astype(np.int32)), made], ["key", "pos", "n", "proof"])
+            key = piece.column("key").to_numpy()[p.doc] if len(p.doc) else np.zeros(0, np.int64)
+            on = np.flatnonzero(passes(table.value, occurrence(key, p.pos, p.n)))
+            checks = p.words.digests(p.start[on], p.n[on] + w - 1)[:, 1]
+            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(p.pos[on].astype(np.int32)), pa.array(checks)], ["key", "pos", "check"])
 
-    # a path of one edge is a window too; rows alike in id and text have the same places
-    return docs.select("key", "text").mapInArrow(run, "key long, pos int, n int, proof binary").groupBy("key", "pos", "n").agg(F.min("proof").alias("proof"))
+    # rows alike in id and text have the same places
+    return docs.select("key", "text").mapInArrow(run, "key long, pos int, check long").groupBy("key", "pos").agg(F.min("check").alias("check"))
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w: int = W, k: int = K) -> DataFrame:
-    """(key, pos, n, proof): runs of n windows from word ``pos`` that all occur elsewhere too, and a digest of the words at another of their places.
+    """(key, pos, n, name, check): runs of n windows from word ``pos`` that all occur elsewhere too, and the digest of the words at another of their places.
 
     Keys are as in ``keyed``; places are ordered by key and word. Rows of a common anchor or name
     meet in joins of two plain shuffles, which adaptive execution can split.
@@ -227,23 +222,21 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = anchors(docs, w, k).where("n > 1")
     found = cut(paths(docs, share(sieve(wanted, "anchor")), w, k), "paths")
     place = F.struct("key", "pos")
-    sums = [F.count(F.lit(1)).alias("copies"), F.min(place).alias("from"), F.max(place).alias("to")]
-    kinds = cut(found.groupBy("anchor", "name").agg(F.min("n").alias("n"), *sums), "path_kinds")
+    kinds = found.groupBy("anchor", "name").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min(place).alias("from"), F.max(place).alias("to"))
+    kinds = cut(kinds.withColumn("to", F.when(F.col("copies") > 1, F.col("to"))), "path_kinds")
     mixed = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "mixed_anchors")
     open_ = cut(kinds.join(mixed, "anchor", "left_semi").select("from.key", "from.pos", "n"), "open_paths")
     opened = cut(edges(docs, share(sieve(with_places(open_), "place")), w, k), "edges")
-    each = opened.select("key", "anchor", F.col("pos").alias("at"), F.posexplode("names").alias("i", "name")).select("key", (F.col("at") + F.col("i")).alias("pos"), "anchor", "name")
-    again = each.groupBy("anchor", "name").agg(F.lit(1).alias("n"), *sums)
-    # a path of one edge and a window of another path may be alike, so a name can be here twice
-    repeated = cut(kinds.unionByName(again).where("copies > 1").drop("copies"), "repeated")
-    ends = repeated.select("anchor", "name", "n", "from", F.explode(F.array("from", "to")).alias("end")).select("anchor", "name", "n", "from", "end.key", "end.pos")
-    proved = proofs(docs, share(sieve(with_places(ends.select("key", "pos", "n").distinct()), "place")), w, k)
-    last = F.max_by("proof", F.struct("key", "pos")).alias("last")
-    sources = ends.join(proved, ["key", "pos", "n"]).groupBy("anchor", "name").agg(F.min("from").alias("from"), F.min_by("proof", F.struct("key", "pos")).alias("first"), last)
+    each = opened.select("key", "anchor", F.col("pos").alias("at"), F.posexplode(F.arrays_zip("names", "checks")).alias("i", "d"))
+    each = each.select("key", (F.col("at") + F.col("i")).alias("pos"), "anchor", F.col("d.names").alias("name"), F.col("d.checks").alias("check"))
+    again = cut(each.groupBy("anchor", "name", "check").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "repeated_edges")
+    ends = kinds.where("copies > 1").select("anchor", "name", "n", F.explode(F.array("from", "to")).alias("end")).select("anchor", "name", "n", "end.key", "end.pos")
+    proved = proofs(docs, share(sieve(with_places(ends), "place")), w, k)
+    sources = ends.join(proved, ["key", "pos"]).groupBy("anchor", "name").agg(F.min(place).alias("from"), F.min_by("check", place).alias("first"), F.max_by("check", place).alias("last"))
     sources = cut(sources, "sources")
-    proof = F.when(place == F.col("from"), F.col("last")).otherwise(F.col("first")).alias("proof")
-    long = found.join(sources, ["anchor", "name"]).select("key", "pos", "n", proof)
-    short = each.join(sources, ["anchor", "name"]).select("key", "pos", F.lit(1).alias("n"), proof)
+    check = F.when(place == F.col("from"), F.col("last")).otherwise(F.col("first")).alias("check")
+    long = found.join(sources, ["anchor", "name"]).select("key", "pos", "n", "name", check)
+    short = each.join(again, ["anchor", "name", "check"]).select("key", "pos", F.lit(1).alias("n"), "name", "check")
     return long.unionByName(short)
 
 
@@ -259,7 +252,7 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
     """
     spans = repeated_spans(df, id_col, text_col, w, k)
     # as a set, so that rows alike in id and text, which share a key, add nothing: at most two spans for each word of one text
-    packed = spans.groupBy("key").agg(F.collect_set(F.struct("pos", "n", "proof")).alias("spans"))
+    packed = spans.groupBy("key").agg(F.collect_set(F.struct("pos", "n", "name", "check")).alias("spans"))
     packed = cut(packed.select(F.col("key").alias("_spans_key"), "spans"), "spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = df.select(*keep, text.alias("_text"), F.xxhash64(F.col(id_col), text).alias("_key"))
@@ -299,9 +292,8 @@ def removed(words: Words, spans: pa.Array, w: int) -> Iterator[np.ndarray | None
         pos, n = (s.values.field(f).to_numpy().astype(np.int64) for f in ("pos", "n"))
         size = int(words.first[i + 1] - words.first[i])
         ok = np.flatnonzero((pos >= 0) & (pos + n + w - 1 <= size))
-        proof = s.values.field("proof").take(pa.array(ok)).to_pylist()
         own = words.digests(words.first[i] + pos[ok], n[ok] + w - 1)
-        ok = ok[np.array([a == b for a, b in zip(own, proof, strict=True)], bool)] if len(ok) else ok
+        ok = ok[(own[:, 0] == s.values.field("name").to_numpy()[ok]) & (own[:, 1] == s.values.field("check").to_numpy()[ok])]
         steps = np.zeros(size + 1, np.int64)
         np.add.at(steps, pos[ok], 1)
         np.add.at(steps, pos[ok] + n[ok] + w - 1, -1)
