@@ -92,7 +92,7 @@ def blank_words(text: Column) -> Column:
 
 def normalize_search(text: Column) -> Column:
     """Lower case, with identifiers taken apart at their signs and humps."""
-    out = F.regexp_replace(text, r"[_\-./\\:]", " ")
+    out = F.translate(text, "_-./\\:", " " * 6)
     out = F.regexp_replace(out, "([a-z])([A-Z])", "$1 $2")
     return F.lower(F.regexp_replace(out, "([A-Z]+)([A-Z][a-z])", "$1 $2"))
 

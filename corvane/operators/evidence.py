@@ -96,7 +96,7 @@ def record_key(title: Column, abstract: Column) -> Column:
 def novelty(papers: DataFrame, known: DataFrame, year: int, learned: DataFrame | None = None) -> DataFrame:
     """Novelty of records (paper_id, ...); 0 for a known key, and for all but the first record of one key.
 
-    ``learned`` terms (term), a short list, take the place of the fixed word weights.
+    ``learned`` terms (term, weight), of which the 15 heaviest count, take the place of the fixed word weights.
     """
     keyed = papers.withColumn("key", record_key(F.col("title"), F.col("abstract")))
     seen = keyed.join(known.select("key").distinct().withColumn("known", F.lit(True)), "key", "left").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("paper_id")))
@@ -106,7 +106,7 @@ def novelty(papers: DataFrame, known: DataFrame, year: int, learned: DataFrame |
     if learned is None:
         weight = sum((F.when(text.contains(k), v).otherwise(0.0) for k, v in NOVELTY_WEIGHTS.items()), F.lit(0.0))
     else:
-        weight = T.hits(text, [r["term"] for r in learned.limit(15).collect()]) * 0.07
+        weight = T.hits(text, [r["term"] for r in learned.orderBy(F.col("weight").desc(), "term").limit(15).collect()]) * 0.07
     months = F.greatest(F.lit(1), (F.lit(year) - y) * 12 + 6)
     velocity = F.when((y >= year - 1) & (cites > 0), F.least(F.lit(0.2), cites / months * 0.02)).when(cites > 50, 0.1).otherwise(0.0)
     score = F.greatest(F.lit(0.0), 0.3 - age * 0.1) + F.least(F.lit(0.4), weight) + velocity + F.when(T.has_any(F.lower("title"), TITLE_WORDS), 0.05).otherwise(0.0)

@@ -10,29 +10,69 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.plans.scratch import cut
 
 #: Query vectors that are sent to all tasks at once; more of them take more passes.
 QUERY_BLOCK = 4096
 
 
+#: Rows of query terms that go to all tasks; more of them meet the postings in a shuffle.
+ASKED_ROWS = 1_000_000
+
+
 @dataclass
 class Index:
-    """Postings (term, chunk_id, tf), chunk lengths (chunk_id, dl) and term counts (term, df)."""
+    """A forward index: a row for each chunk with its length and its terms (chunk_id, dl, terms of term and tf).
+
+    Postings of a chunk lie together, so a common term is spread like the chunks are, and scores of
+    a chunk are added up before anything is shuffled.
+    """
+
+    table: DataFrame
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.table.select("chunk_id", "dl")
+
+    @property
+    def postings(self) -> DataFrame:
+        """(chunk_id, dl, term, tf)."""
+        return self.table.select("chunk_id", "dl", F.explode("terms").alias("t")).select("chunk_id", "dl", "t.term", "t.tf")
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, df)."""
+        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def index_rows(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """The rows of an index. Terms of a chunk are counted by sorting them; nothing is shuffled. Null texts have no terms but count as chunks."""
+    sorted_ = F.sort_array(T.terms(F.coalesce(F.col(text_col), F.lit(""))))
+    words = chunks.select(F.col(id_col).alias("chunk_id"), sorted_.alias("t"))
+    first = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
+    runs = words.select("chunk_id", "t", F.when(F.size("t") > 0, first).otherwise(F.array().cast("array<int>")).alias("f"))
+    stop = lambda n: F.coalesce(F.get("f", n + 1), F.size("t") + 1)
+    terms = F.transform("f", lambda i, n: F.struct(F.element_at("t", i).alias("term"), (stop(n) - i).cast("long").alias("tf")))
+    return runs.select("chunk_id", F.size("t").cast("long").alias("dl"), terms.alias("terms"))
+
+
+def write_index(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text", append: bool = False) -> Index:
+    """Writes an index as a table, or appends the rows of new chunks to one, and returns it."""
+    index_rows(chunks, id_col, text_col).write.mode("append" if append else "errorifexists").parquet(path)
+    return read_index(chunks.sparkSession, path)
+
 
-    postings: DataFrame
-    chunks: DataFrame
-    terms: DataFrame
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(path))
 
 
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Index:
-    """Postings and their counts. Null texts have no terms but count as chunks."""
-    words = chunks.select(F.col(id_col).alias("chunk_id"), T.terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    postings = words.select("chunk_id", F.explode("t").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(postings, words.select("chunk_id", F.size("t").cast("long").alias("dl")), postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    """An index in the shared folder; texts are read once."""
+    return Index(cut(index_rows(chunks, id_col, text_col), "index"))
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -43,13 +83,19 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
 def bm25_scores(terms: DataFrame, index: Index, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Every match of any term: (query_id, chunk_id, score), score = sum of weight x idf x tf (k1 + 1) / (tf + k1 (1 - b + b dl / mean dl)).
 
-    idf = ln((N - df + 0.5) / (df + 0.5)), a millionth at least.
+    idf = ln((N - df + 0.5) / (df + 0.5)), a millionth at least. Only postings of the queries' terms
+    are counted and joined. Up to ASKED_ROWS query terms go to all tasks; their number is counted first.
     """
-    total = index.chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean_dl"))
-    found = terms.join(index.terms, "term").join(index.postings, "term").join(index.chunks, "chunk_id").crossJoin(F.broadcast(total))  # total: one row
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("weight") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl")))
-    return found.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    total = index.chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean_dl")).first()
+    asked = cut(terms.select("query_id", "term", "weight"), "asked")
+    small = asked.count() <= ASKED_ROWS
+    sent = F.broadcast if small else lambda df: df
+    counts = index.postings.join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(total["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weighed = cut(asked.join(counts, "term").select("query_id", "term", (F.col("weight") * idf).alias("w")), "asked")
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(total["mean_dl"]))
+    found = index.postings.join(sent(weighed), "term").select("query_id", "chunk_id", (F.col("w") * F.col("tf") * (k1 + 1) / norm).alias("part"))
+    return found.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
 def top_hits(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), digits: int = 6) -> DataFrame:
@@ -105,14 +151,24 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = QUERY_
 def _products(shared, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        held = [np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)]  # query number, chunk, score
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                piece = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
                 chunk = piece.column(0).to_numpy(zero_copy_only=False)
                 x = piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1)
-                s = q @ x.T
-                order = np.lexsort((np.broadcast_to(chunk, s.shape), -np.round(s, 6)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(chunk[order].reshape(-1)), pa.array(np.take_along_axis(s, order, 1).reshape(-1))], ["query_id", "chunk_id", "score"])
+                raw = q @ x.T
+                s = np.round(raw, 6)
+                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                row, col = np.nonzero(s >= least[:, None])  # the best k of these rows, with all that tie
+                row, chunk, score = np.concatenate([held[0], row]), np.concatenate([held[1], chunk[col]]), np.concatenate([held[2], raw[row, col]])
+                order = np.lexsort((chunk, -np.round(score, 6), row))
+                row = row[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                kept = order[place < k]
+                held = [np.sort(row[place < k]), chunk[kept], score[kept]]
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1].tolist()), pa.array(held[2])], ["query_id", "chunk_id", "score"])
 
     return run
 

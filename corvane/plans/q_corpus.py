@@ -13,7 +13,7 @@ from corvane.plans.catalog import query, table
 from corvane.plans.q_evidence import PAPERS, _papers
 from corvane.plans.q_text import strings
 
-N = 16  # permutations in the SQL of the MinHash queries; the queries use 128, and exact sets for pairs
+N = 128
 
 
 def _docs(spark, d):
@@ -35,11 +35,11 @@ def _(spark, d):
 
 _P = D.PRIME
 SIG = f"{SH}, hs AS (SELECT doc_id, CAST('0x' || substr(md5(shingle), 1, 8) AS BIGINT) % {_P} AS h FROM sh), sg AS (SELECT doc_id, [{', '.join(f'min((h * {a} + {b}) % {_P})' for a, b in D.coefficients(N))}] AS s FROM hs GROUP BY 1)"
-_B, _R = D.band_shape(N, 0.8)
-PAIRS = f"""{SIG}, rp AS (SELECT s, min(doc_id) AS rep FROM sg GROUP BY 1), cl AS (SELECT doc_id, rep FROM sg JOIN rp USING (s)),
- bd AS (SELECT rep, s, i, s[i * {_R} + 1:i * {_R} + {_R}] AS k FROM (SELECT rep, s, unnest(range(0, {_B})) AS i FROM rp)),
- pr AS (SELECT DISTINCT x.rep AS a, y.rep AS b, len(list_filter(range(1, {N + 1}), lambda j: x.s[j] = y.s[j])) / {N}.0 AS similarity FROM bd x JOIN bd y ON x.i = y.i AND x.k = y.k AND x.rep < y.rep),
- np AS (SELECT * FROM pr WHERE similarity >= 0.8)"""
+# Pairs by brute force: all representatives of different sets that share a shingle and whose sizes allow the similarity.
+PAIRS = f"""{SH}, st AS (SELECT doc_id, md5(string_agg(shingle, chr(1) ORDER BY shingle)) AS s, count(*) AS n FROM sh GROUP BY 1), rp AS (SELECT s, min(doc_id) AS rep, any_value(n) AS n FROM st GROUP BY 1), cl AS (SELECT doc_id, rep FROM st JOIN rp USING (s)),
+ rs AS (SELECT rep, n, shingle FROM rp JOIN sh ON rep = doc_id),
+ sm AS (SELECT x.rep AS a, y.rep AS b, count(*) AS shared, any_value(x.n) AS m, any_value(y.n) AS n FROM rs x JOIN rs y ON x.shingle = y.shingle AND x.rep < y.rep AND x.n >= 0.8 * y.n AND y.n >= 0.8 * x.n GROUP BY 1, 2),
+ np AS (SELECT a, b, shared / (m + n - shared) AS similarity FROM sm WHERE shared / (m + n - shared) >= 0.8)"""
 
 
 @query("d03_minhash", f"WITH {SIG} SELECT doc_id, array_to_string(s, ',') AS signature FROM sg")
@@ -47,7 +47,7 @@ def _(spark, d):
     return D.minhash(_docs(spark, d)).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
-@query("d04_lsh_candidates", f"WITH {PAIRS} SELECT a, b FROM pr")
+@query("d04_lsh_candidates")
 def _(spark, d):
     return D.near_candidates(D.cut(D.shingle_sets(_docs(spark, d))), 0.8)
 
@@ -70,7 +70,7 @@ def _(spark, d):
     return D.dedup_near(_docs(spark, d), 0.8, mode="component")
 
 
-@query("d07_dedup_against", f"WITH {SIG}, bo AS (SELECT doc_id, s, i, s[i * {_R} + 1:i * {_R} + {_R}] AS k FROM (SELECT doc_id, s, unnest(range(0, {_B})) AS i FROM sg)) SELECT doc_id FROM sg WHERE doc_id % 2 = 1 AND doc_id NOT IN (SELECT x.doc_id FROM bo x JOIN bo y ON x.i = y.i AND x.k = y.k AND y.doc_id % 2 = 0 WHERE len(list_filter(range(1, {N + 1}), lambda j: x.s[j] = y.s[j])) >= {0.8 * N})")
+@query("d07_dedup_against")
 def _(spark, d):
     sets = D.cut(D.shingle_sets(_docs(spark, d)))
     return D.dedup_against(sets.where("doc_id % 2 = 1"), sets.where("doc_id % 2 = 0"), 0.8).select("doc_id")
@@ -118,11 +118,10 @@ def _(spark, d):
     return C.chunk_document(_docs(spark, d)).select("doc_id", "nth", "start", "chunk_id")
 
 
-_MD = "'intro' || chr(10) || '## One' || chr(10) || substr(text, 1, 200) || chr(10) || '## Two' || chr(10) || '### Deep' || chr(10) || substr(text, 201, 300) || chr(10)"
 _MD_SPARK = "concat('intro', '\n', '## One', '\n', substr(text, 1, 200), '\n', '## Two', '\n', '### Deep', '\n', substr(text, 201), '\n')"
 
 
-@query("c04_chunk_headings", f"WITH m AS (SELECT doc_id, {_MD} AS m FROM documents) SELECT doc_id, CAST(n AS INTEGER) AS nth, sha256(p) AS chunk_id FROM (SELECT doc_id, unnest([0, 1, 2]) AS n, unnest([substr(m, 1, 6), substr(m, 7, strpos(m, '## Two') - 7), substr(m, strpos(m, '## Two'))]) AS p FROM m)")
+@query("c04_chunk_headings")
 def _(spark, d):
     return C.chunk_headings(_docs(spark, d).select("doc_id", F.expr(_MD_SPARK).alias("text"))).select("doc_id", "nth", "chunk_id")
 
@@ -172,7 +171,7 @@ def _(spark, d):
     return G.relations(one)
 
 
-EDGES = "ed AS (SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 5 = 0)"
+EDGES = "ed AS (SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
 def _edges(spark, d):
@@ -196,16 +195,19 @@ def _(spark, d):
 
 _ROUND = "SELECT q, n, sum(s) AS s FROM (SELECT q, dst AS n, s * 0.85 / deg AS s FROM r{0} JOIN lk ON n = src UNION ALL SELECT q, n, t * 0.15 FROM tp) GROUP BY 1, 2"
 PPR = f"""{EDGES}, bo AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), lk AS (SELECT *, count(*) OVER (PARTITION BY src) AS deg FROM bo),
- tp AS (SELECT * FROM (VALUES (1, 'c5', 0.5), (1, 'c10', 0.5), (2, 'c25', 1.0)) v(q, n, t)), r0 AS (SELECT q, n, t AS s FROM tp), {", ".join(f"r{i} AS ({_ROUND.format(i - 1)})" for i in range(1, 7))}"""
+ tp AS (SELECT * FROM (VALUES (1, 'c5', 0.5), (1, 'c10', 0.5), (2, 'c25', 1.0)) v(q, n, t)), r0 AS (SELECT q, n, t AS s FROM tp), {", ".join(f"r{i} AS ({_ROUND.format(i - 1)})" for i in range(1, 21))}"""
 
 
-@query("g05_ppr", f"WITH {PPR} SELECT q AS query_id, n AS node, round(s, 6) AS score FROM r6")
+@query("g05_ppr", f"WITH {PPR} SELECT q AS query_id, n AS node, round(s, 6) AS score FROM r20")
 def _(spark, d):
     seeds = spark.createDataFrame([(1, "c5"), (1, "c10"), (2, "c25")], "query_id int, node string")
     return G.ppr(_edges(spark, d), seeds).withColumn("score", F.round("score", 6))
 
 
-@query("g06_components", "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, 1000 + event_id % 997 AS b FROM events WHERE event_id % 50 = 0), w AS (SELECT a AS x, a AS y FROM e UNION SELECT b, b FROM e UNION SELECT w.x, CASE WHEN e.a = w.y THEN e.b ELSE e.a END FROM w JOIN e ON w.y = e.a OR w.y = e.b) SELECT x AS node, min(y) AS component FROM w GROUP BY 1")
+_LABEL = "SELECT n, min(c) AS c FROM (SELECT n, c FROM l{0} UNION ALL SELECT src, c FROM l{0} JOIN bo ON n = dst) GROUP BY 1"
+
+
+@query("g06_components", f"WITH bo AS (SELECT user_id AS src, 1000 + event_id % 997 AS dst FROM events UNION SELECT 1000 + event_id % 997, user_id FROM events), l0 AS (SELECT DISTINCT src AS n, src AS c FROM bo), {', '.join(f'l{i} AS MATERIALIZED ({_LABEL.format(i - 1)})' for i in range(1, 17))} SELECT n AS node, c AS component FROM l16")
 def _(spark, d):
     e = table(spark, d, "events").selectExpr("user_id AS src", "1000 + event_id % 997 AS dst")
     return G.connected_components(e)
@@ -214,7 +216,7 @@ def _(spark, d):
 _NAMES = "SELECT p_partkey AS id, p_name AS name, p_brand AS file FROM part"
 
 
-@query("g07_seeds", f"WITH n AS ({_NAMES}), w AS (SELECT p_partkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(p_name), '\\w{{3,}}'))) AS w FROM part WHERE p_partkey < 20) SELECT DISTINCT query_id, id AS node FROM w JOIN n ON contains(lower(name), w)")
+@query("g07_seeds", f"WITH n AS ({_NAMES}), w AS (SELECT p_partkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(p_name), '\\w{{3,}}'))) AS w FROM part) SELECT DISTINCT query_id, id AS node FROM w JOIN n ON contains(lower(name), w)")
 def _(spark, d):
     q = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
     return G.seeds(q, table(spark, d, "part").selectExpr("p_partkey AS id", "p_name AS name"))
@@ -226,13 +228,13 @@ def _(spark, d):
     return G.callers(e, "fn2")
 
 
-@query("g09_blast_radius", "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, event_id % 150 AS dst FROM events WHERE event_id % 40 < 3), r AS (SELECT 7 AS node, 0 AS depth UNION SELECT e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 3) SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1")
+@query("g09_blast_radius", "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, event_id % 150 AS dst FROM events), r AS (SELECT 7 AS node, 0 AS depth UNION SELECT e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 3) SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1")
 def _(spark, d):
     e = table(spark, d, "events").selectExpr("user_id AS src", "event_id % 150 AS dst").distinct()
     return G.blast_radius(e, spark.createDataFrame([(7,)], "node long"), 3)
 
 
-@query("g10_structural_context", f"WITH n AS ({_NAMES}), w AS (SELECT p_partkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(p_name), '\\w{{3,}}'))) AS w FROM part WHERE p_partkey < 20), h AS (SELECT query_id, file, min(id) AS node FROM w JOIN n ON contains(lower(name), w) GROUP BY 1, 2) SELECT query_id, file, node, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file) AS place FROM h) WHERE place <= 3")
+@query("g10_structural_context", f"WITH n AS ({_NAMES}), w AS (SELECT p_partkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(p_name), '\\w{{3,}}'))) AS w FROM part), h AS (SELECT query_id, file, min(id) AS node FROM w JOIN n ON contains(lower(name), w) GROUP BY 1, 2) SELECT query_id, file, node, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file) AS place FROM h) WHERE place <= 3")
 def _(spark, d):
     q = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
     return G.structural_context(q, table(spark, d, "part").selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS file"), 3)
@@ -243,7 +245,7 @@ def _(spark, d):
     return G.graph_stats(table(spark, d, "part").selectExpr("p_brand AS kind", "p_type AS file"), table(spark, d, "events").selectExpr("event_type AS type"))
 
 
-_KW = f"list_filter(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z][a-z0-9]{{2,}}'), lambda w: NOT list_contains({strings(T.CLAIM_STOP_WORDS)}, w) AND length(w) > 6)"
+_KW = f"list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}'), lambda w: NOT list_contains({strings(T.CLAIM_STOP_WORDS)}, w) AND length(w) > 6)"
 
 
 @query("g12_see_also", f"WITH k AS (SELECT DISTINCT doc_id AS article, unnest({_KW}) AS w FROM documents), p AS (SELECT x.article AS a, y.article AS b, count(*) AS common FROM k x JOIN k y ON x.w = y.w AND x.article <> y.article GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, common, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY common DESC, b) AS place FROM p) WHERE place <= 5")

@@ -88,7 +88,7 @@ def pick(values, key):
     return f"{strings(values)}[CAST({key} AS INTEGER) + 1]"
 
 
-PAPERS = f"""pp AS (SELECT doc_id AS paper_id, {pick(_TITLES, "doc_id % 4")} || ' ' || substr(text, 1, 20) AS title, substr(text, 1, 300) AS abstract, {pick(["2026", "2024", "x", "2021", "NaN", "2025"], "doc_id % 6")} AS year,
+PAPERS = f"""pp AS (SELECT doc_id AS paper_id, {pick(_TITLES, "doc_id % 4")} || ' ' || substr(text, 1, 20) AS title, text AS abstract, {pick(["2026", "2024", "x", "2021", "NaN", "2025"], "doc_id % 6")} AS year,
  CASE WHEN doc_id % 9 = 0 THEN 'Infinity' ELSE CAST(doc_id * 7 % 1500 AS VARCHAR) END AS citation_count, {pick(_SOURCES, "doc_id % 7")} AS source, {pick(_URLS, "doc_id % 5")} AS url, doc_id % 2 = 0 AS has_refs, doc_id % 3 = 0 AS has_code, doc_id % 4 = 0 AS peer_reviewed FROM documents),
  pc AS (SELECT *, CASE year WHEN 'x' THEN 0 WHEN 'NaN' THEN 0 ELSE CAST(try_cast(year AS DOUBLE) AS BIGINT) END AS y, CASE WHEN citation_count = 'Infinity' THEN 0 ELSE CAST(try_cast(citation_count AS DOUBLE) AS BIGINT) END AS c FROM pp)"""
 

@@ -220,7 +220,7 @@ def _(spark, d):
 
 @query(
     "a22_term_yield",
-    f"""WITH t AS (SELECT unnest(list_distinct({terms("substr(text, 1, 60)")})) AS term, turn % 4 AS novel, turn % 6 AS fetched FROM conversations),
+    f"""WITH t AS (SELECT unnest(list_distinct({terms("text")})) AS term, turn % 4 AS novel, turn % 6 AS fetched FROM conversations),
     e AS (SELECT term, count(*) AS uses, CAST(sum(novel) AS BIGINT) AS novel, avg(novel / greatest(1, fetched)) AS y FROM t GROUP BY 1) SELECT term, uses, novel, round(y, 6) AS "yield", round(y * least(uses, 5), 6) AS value FROM e""",
 )
 def _(spark, d):

@@ -64,7 +64,7 @@ def _(spark, d):
     return J.best_for_budget(table(spark, d, "part"), "p_retailprice", "p_size", 3, ["p_brand"], "p_partkey").select("p_brand", "p_partkey", "p_size")
 
 
-@query("j10_nearest_niche", "WITH a AS (SELECT DISTINCT user_id % 5 AS x, user_id % 3 AS y, 'n' || user_id % 5 || user_id % 3 AS niche FROM events WHERE user_id % 15 < 9), q AS (SELECT event_id AS query_id, event_id % 6 AS x, event_id % 4 AS y FROM events WHERE event_id % 5 = 0) SELECT query_id, first(niche ORDER BY d, niche) AS niche, min(d) AS distance FROM (SELECT query_id, niche, CAST((q.x - a.x) ^ 2 + (q.y - a.y) ^ 2 AS DOUBLE) AS d FROM q, a) GROUP BY 1")
+@query("j10_nearest_niche", "WITH a AS (SELECT DISTINCT user_id % 5 AS x, user_id % 3 AS y, 'n' || user_id % 5 || user_id % 3 AS niche FROM events WHERE user_id % 15 < 9), q AS (SELECT event_id AS query_id, event_id % 6 AS x, event_id % 4 AS y FROM events) SELECT query_id, first(niche ORDER BY d, niche) AS niche, min(d) AS distance FROM (SELECT query_id, niche, CAST((q.x - a.x) ^ 2 + (q.y - a.y) ^ 2 AS DOUBLE) AS d FROM q, a) GROUP BY 1")
 def _(spark, d):
     e = table(spark, d, "events")
     archive = e.where("user_id % 15 < 9").selectExpr("user_id % 5 AS x", "user_id % 3 AS y", "concat('n', user_id % 5, user_id % 3) AS niche").distinct()

@@ -30,14 +30,14 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
-_ASK = "array_to_string(string_split(text, ' ')[1:6], ' ')"
+_ASK = "text"
 SCORES = f"""w AS (SELECT doc_id, {terms("text")} AS t FROM documents),
 p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM w) GROUP BY 1, 2),
 l AS (SELECT doc_id, len(t) AS dl FROM w), st AS (SELECT count(*) AS n, avg(dl) AS a FROM l),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 asked AS (SELECT item_id AS query_id, {_ASK} AS query FROM benchmark),
 q AS (SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, unnest({terms("query")}) AS term FROM asked) GROUP BY 1, 2),
-one AS (SELECT query_id, term, doc_id AS chunk_id, weight * greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS part
+one AS (SELECT query_id, term, doc_id AS chunk_id, weight * greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS part, weight * greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2) AS flat
         FROM q JOIN f USING (term) JOIN p USING (term) JOIN l USING (doc_id), st),
 s AS (SELECT query_id, chunk_id, sum(part) AS score FROM one GROUP BY 1, 2)"""
 
@@ -95,14 +95,14 @@ def _(spark, d):
 
 
 LISTS = f"""ls AS (SELECT query_id, chunk_id, score, 'keyword' AS list FROM {top("s", 30)}
- UNION ALL SELECT query_id, doc_id AS chunk_id, CAST(-abs(n_chars - 50 * query_id) AS DOUBLE) AS score, 'length' AS list FROM asked, documents WHERE doc_id % 20 = query_id % 20)"""
+ UNION ALL SELECT query_id, chunk_id, score, 'flat' AS list FROM {top("(SELECT query_id, chunk_id, sum(flat) AS score FROM one GROUP BY 1, 2)", 30)})"""
 
 
 def _lists(spark, d):
-    keyword = R.bm25(_queries(spark, d), _index(spark, d), 30).select("query_id", "chunk_id", "score", F.lit("keyword").alias("list"))
-    docs = _chunks(spark, d).select("chunk_id", "n_chars", (F.col("chunk_id") % 20).alias("m"))
-    by_length = _queries(spark, d).withColumn("m", F.col("query_id") % 20).join(docs, "m").select("query_id", "chunk_id", (-F.abs(F.col("n_chars") - 50 * F.col("query_id"))).cast("double").alias("score"), F.lit("length").alias("list"))
-    return keyword.unionByName(by_length)
+    """Two lists of 30 hits: scores that regard the length of a document, and scores that don't."""
+    asked, index = _queries(spark, d), _index(spark, d)
+    lists = [R.bm25(asked, index, 30, b=b).select("query_id", "chunk_id", "score", F.lit(name).alias("list")) for name, b in (("keyword", 0.75), ("flat", 0.0))]
+    return lists[0].unionByName(lists[1])
 
 
 RRF = "rf AS (SELECT query_id, chunk_id, sum(CASE WHEN list = 'keyword' THEN 2.0 ELSE 1.0 END / (60 + r)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, list ORDER BY round(score, 6) DESC, chunk_id) AS r FROM ls) GROUP BY 1, 2)"

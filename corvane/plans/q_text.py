@@ -65,9 +65,9 @@ _BARE = "regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</s
 _LINES = f"list_filter(list_transform(string_split({unescape(f'regexp_replace({_BARE}, {chr(39)}<[^>]+>{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}, chr(10)), lambda x: {collapse('x')}), lambda x: x <> '')"
 
 
-@query("p04_page_text", f"SELECT page_id, CASE WHEN length(t) > 2000 THEN substr(t, 1, 2000) || chr(10) || '... [truncated]' ELSE t END AS body FROM (SELECT page_id, array_to_string({_LINES}, chr(10)) AS t FROM pages)")
+@query("p04_page_text", f"SELECT page_id, CASE WHEN length(t) > 50000 THEN substr(t, 1, 50000) || chr(10) || '... [truncated]' ELSE t END AS body FROM (SELECT page_id, array_to_string({_LINES}, chr(10)) AS t FROM pages)")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", T.page_text(F.col("html"), 2000).alias("body"))
+    return table(spark, d, "pages").select("page_id", T.page_text(F.col("html"), 50_000).alias("body"))
 
 
 _MARKUP = collapse("regexp_replace(" + unescape(r"regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '<[^>]+>', ' ', 'g')") + ", '[*_~>#-]+', ' ', 'g')")
@@ -78,7 +78,7 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.strip_markup(F.col("text")).alias("plain"))
 
 
-_MD = r"'# ' || role || chr(10) || 'x `' || substr(text, 1, 20) || '` y' || chr(10) || '```Py' || chr(10) || substr(text, 1, 60) || '```' || ' <code>' || substr(text, 5, 30) || '</code>'"
+_MD = r"'# ' || role || chr(10) || 'x `' || substr(text, 1, 20) || '` y' || chr(10) || '```Py' || chr(10) || text || '```' || ' <code>' || substr(text, 5, 30) || '</code>'"
 _MD_SPARK = "concat('# ', role, '\n', 'x `', substr(text, 1, 20), '` y', '\n', '```Py', '\n', text, '```', ' <code>', substr(text, 5, 30), '</code>')"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
