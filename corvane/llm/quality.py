@@ -70,16 +70,10 @@ def statistics(texts: list[str]) -> np.ndarray:
     _, different = _repeats(doc, hashes, n)
     same = doc[1:] == doc[:-1]
     pairs, different_pairs = _repeats(doc[1:][same], mix(hashes[:-1] * np.uint64(3) + hashes[1:])[same], n)
-    ls, le = word_edges(data, _LINE)
-    # a line may run over the blank between two texts: cut it there
-    cuts = np.unique(np.concatenate([ls, begins[:-1][np.diff(begins) > 1]]))
-    stops = np.unique(np.concatenate([le, begins[1:] - 1]))
-    stop_of = stops[np.minimum(np.searchsorted(stops, cuts, "right"), len(stops) - 1)]
-    ok = stop_of > cuts
-    cuts, stop_of = cuts[ok], stop_of[ok]
-    line_doc = np.searchsorted(begins, cuts, "right") - 1
-    good = (line_doc >= 0) & (line_doc < n)
-    lines, different_lines = _repeats(line_doc[good], span_hashes(data, cuts[good], stop_of[good]), n)
+    rows = data.copy()
+    rows[0] = rows[begins[1:] - 1] = 0x0A  # lines end with their texts
+    ls, le = word_edges(rows, _LINE)
+    lines, different_lines = _repeats(np.searchsorted(begins, ls, "right") - 1, span_hashes(rows, ls, le), n)
     stop = by_byte[:, ord(".")] + by_byte[:, ord("?")]
     columns = [
         np.log1p(words), np.log((size + 1) / (words + 1)), np.log1p(spread), *[_share(kinds[:, k], size) for k in (0, 1, 2, 4, 5, 6, 7, 8)],
