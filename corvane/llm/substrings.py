@@ -168,7 +168,7 @@ def paths(docs: DataFrame, table, w: int, k: int) -> DataFrame:
 
 
 def edges(docs: DataFrame, table, w: int, k: int) -> DataFrame:
-    """(key, pos, anchor, names, checks): the edges of all paths whose place passes the sieve, with both halves of their digests."""
+    """(key, pos, names, checks): the edges of all paths whose place passes the sieve, with both halves of their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -180,9 +180,9 @@ def edges(docs: DataFrame, table, w: int, k: int) -> DataFrame:
             at = np.repeat(p.start[on] - (ends - n), n) + np.arange(n.sum())
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             names, checks = (pa.ListArray.from_arrays(offsets, pa.array(half)) for half in p.words.digests(at, np.full(len(at), w)).T)
-            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(p.pos[on].astype(np.int32)), _signed(p.anchor[on]), names, checks], ["key", "pos", "anchor", "names", "checks"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(p.pos[on].astype(np.int32)), names, checks], ["key", "pos", "names", "checks"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, pos int, anchor long, names array<bigint>, checks array<bigint>")
+    return docs.select("key", "text").mapInArrow(run, "key long, pos int, names array<bigint>, checks array<bigint>")
 
 
 def with_places(rows: DataFrame) -> DataFrame:
@@ -227,16 +227,16 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mixed = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "mixed_anchors")
     open_ = cut(kinds.join(mixed, "anchor", "left_semi").select("from.key", "from.pos", "n"), "open_paths")
     opened = cut(edges(docs, share(sieve(with_places(open_), "place")), w, k), "edges")
-    each = opened.select("key", "anchor", F.col("pos").alias("at"), F.posexplode(F.arrays_zip("names", "checks")).alias("i", "d"))
-    each = each.select("key", (F.col("at") + F.col("i")).alias("pos"), "anchor", F.col("d.names").alias("name"), F.col("d.checks").alias("check"))
-    again = cut(each.groupBy("anchor", "name", "check").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "repeated_edges")
+    each = opened.select("key", F.col("pos").alias("at"), F.posexplode(F.arrays_zip("names", "checks")).alias("i", "d"))
+    each = each.select("key", (F.col("at") + F.col("i")).alias("pos"), F.col("d.names").alias("name"), F.col("d.checks").alias("check"))
+    again = cut(each.groupBy("name", "check").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "repeated_edges")
     ends = kinds.where("copies > 1").select("anchor", "name", "n", F.explode(F.array("from", "to")).alias("end")).select("anchor", "name", "n", "end.key", "end.pos")
     proved = proofs(docs, share(sieve(with_places(ends), "place")), w, k)
     sources = ends.join(proved, ["key", "pos"]).groupBy("anchor", "name").agg(F.min(place).alias("from"), F.min_by("check", place).alias("first"), F.max_by("check", place).alias("last"))
     sources = cut(sources, "sources")
     check = F.when(place == F.col("from"), F.col("last")).otherwise(F.col("first")).alias("check")
     long = found.join(sources, ["anchor", "name"]).select("key", "pos", "n", "name", check)
-    short = each.join(again, ["anchor", "name", "check"]).select("key", "pos", F.lit(1).alias("n"), "name", "check")
+    short = each.join(again, ["name", "check"]).select("key", "pos", F.lit(1).alias("n"), "name", "check")
     return long.unionByName(short)
 
 
