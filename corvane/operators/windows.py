@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.plans.ranking import global_rank
+
 
 def latest(df: DataFrame, key: list[str], ts: str, tie: str) -> DataFrame:
     """The row of each key with the largest (ts, tie)."""
@@ -39,18 +41,37 @@ def accelerating(rounds: DataFrame, by: str) -> DataFrame:
     return agg.withColumn("accelerating", F.col("recent") > F.col("earlier"))
 
 
-def _ordered(df: DataFrame, by: str, value: str) -> DataFrame:
-    return df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ts", "id", value))).alias("h"))
+#: Rows of a key that are walked through at once.
+STRETCH = 65_536
 
 
-def ladder(rounds: DataFrame, by: str, start: int = 1) -> DataFrame:
+def ladder(rounds: DataFrame, by: str, start: int = 1, stretch: int = STRETCH) -> DataFrame:
     """Level of each key after its rounds: up from a score over 0.8, down under 0.5, within 1 and 10, with its peak.
 
-    A key's history is a walk over its own rounds, bounded by nature.
+    Rounds are ranked over the whole table. Each stretch of a key's rounds is walked from all ten
+    levels, which gives where it leads from each and how high it gets; then stretches are joined in
+    their order. So a list holds ``stretch`` rounds, or one entry for each stretch of a key.
     """
-    step = lambda a, x: F.least(F.lit(10), F.greatest(F.lit(1), a["level"] + F.when(x["score"] > 0.8, 1).when(x["score"] < 0.5, -1).otherwise(0)))
-    walk = F.aggregate("h", F.struct(F.lit(start).alias("level"), F.lit(start).alias("peak")), lambda a, x: F.struct(step(a, x).alias("level"), F.greatest(a["peak"], step(a, x)).alias("peak")))
-    return _ordered(rounds, by, "score").select(by, walk.alias("w")).select(by, "w.level", "w.peak")
+    ranked = global_rank(rounds.select(by, "ts", "id", "score"), [F.col("ts"), F.col("id")], "_r", [by])
+    move = F.when(F.col("score") > 0.8, 1).when(F.col("score") < 0.5, -1).otherwise(0)
+    steps = ranked.groupBy(by, F.floor(F.col("_r") / stretch).alias("_s")).agg(F.array_sort(F.collect_list(F.struct("_r", move.alias("m")))).alias("h"))
+
+    def walked(level):
+        def step(a, x):
+            new = F.least(F.lit(10), F.greatest(F.lit(1), a["level"] + x["m"]))
+            return F.struct(new.alias("level"), F.greatest(a["peak"], new).alias("peak"))
+
+        return F.aggregate("h", F.struct(level.cast("int").alias("level"), level.cast("int").alias("peak")), step)
+
+    led = steps.select(by, "_s", F.transform(F.sequence(F.lit(1), F.lit(10)), walked).alias("to"))
+    chain = led.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_s", "to"))).alias("c"))
+
+    def follow(a, x):
+        to = F.element_at(x["to"], a["level"])
+        return F.struct(to["level"].alias("level"), F.greatest(a["peak"], to["peak"]).alias("peak"))
+
+    end = F.aggregate("c", F.struct(F.lit(start).alias("level"), F.lit(start).alias("peak")), follow)
+    return chain.select(by, end.alias("w")).select(by, "w.level", "w.peak")
 
 
 def running_mean(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -58,8 +79,18 @@ def running_mean(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def ema(df: DataFrame, by: str, value: str, rate: float = 0.2, start: float = 0.5) -> DataFrame:
-    """q <- q + rate (value - q) over each key's rows in order."""
-    return _ordered(df, by, value).select(by, F.aggregate("h", F.lit(start), lambda q, x: q + rate * (x[value] - q)).alias("q"))
+    """q <- q + rate (value - q) over each key's rows in order.
+
+    Written out, a row that k others follow counts with rate (1 - rate)^k, so rows are ranked over
+    the whole table and added up; no history is gathered. Null values count as rows that change nothing.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(by, "ts", "id", F.col(value).cast("double").alias("_v"))
+    ranked = global_rank(rows, [F.col("ts"), F.col("id")], "_r", [by])
+    sizes = ranked.groupBy(F.col(by).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    part = rate * F.pow(F.lit(1 - rate), F.col("_n") - F.col("_r") - 1) * F.col("_v")
+    summed = ranked.join(sizes, F.col(by).eqNullSafe(F.col("_k"))).groupBy(by).agg((F.sum(part) + start * F.pow(F.lit(1 - rate), F.max("_n"))).alias("_q"))
+    every = df.select(F.col(by).alias("_b")).distinct()
+    return every.join(summed, F.col("_b").eqNullSafe(F.col(by)), "left").select(F.col("_b").alias(by), F.coalesce("_q", F.lit(start)).alias("q"))
 
 
 def champions(results: DataFrame, baseline: str) -> DataFrame:
