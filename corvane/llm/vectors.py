@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from corvane.operators.graph import connected_components
 from corvane.plans.scratch import cut
 
-#: Dimensions of a block.
-BLOCK = 8
-#: Vectors of a tile; a tile with more is cut into chunks.
-TILE = 1024
+#: Dimensions of a block; vectors shorter than two blocks are halved.
+BLOCK = 16
+#: Width of a cell of the range join, in radii of its block.
+WIDE = 2
+#: Vectors that meet as many others in one task; longer ones than 128 dimensions are fewer in proportion.
+TILE = 4096
+# Roles of a vector in a square of the grid of a cell: row strip, column strip, guest from the cell below.
+ROW, COLUMN, GUEST = 0, 1, 2
 
 
 def rotation(d: int, seed: int = 17) -> np.ndarray:
@@ -24,14 +28,18 @@ def rotation(d: int, seed: int = 17) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def edges(d: int) -> list[int]:
+    """Where the blocks of d dimensions begin, and d."""
+    return [*range(0, d, min(BLOCK, -(-d // 2))), d]
+
+
 def budgets(d: int, threshold: float) -> np.ndarray:
     """Squared distance that each block may have, in proportion to its dimensions.
 
     Unit vectors with cosine c are 2 (1 - c) apart, squared. Blocks' squared distances add up to
     that, so in one block at least they are within its part. A grain is added for rounding.
     """
-    sizes = np.diff([*range(0, d, BLOCK), d])
-    return 2 * (1 - threshold) * sizes / d + 1e-9
+    return 2 * (1 - threshold) * np.diff(edges(d)) / d + 1e-9
 
 
 def unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -56,23 +64,32 @@ def with_keys(df: DataFrame, id_col: str, label_col: str, vec_col: str) -> DataF
 
 
 def with_cells(groups: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """``groups`` with ``d`` and ``cells``: in each block, the first coordinate in steps of the block's radius."""
+    """``groups`` with ``d`` and ``cells``: for each block (cell, reaches).
+
+    A cell is a stretch of the block's first coordinate, ``WIDE`` radii long; a vector reaches the
+    next cell if it lies within a radius of it. The radius has a grain more than the budget, so
+    rounding parts no pair that is within it.
+    """
     size = np.dtype(kind).itemsize
+    place = pa.struct([("cell", pa.int64()), ("reaches", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("key").to_pylist()
-            dims = np.array([len(r) // size for r in raw])
+            dims = np.array([len(r) // size for r in raw], np.int64)
             cells: list = [None] * len(raw)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                x = unit([raw[i] for i in at], kind) @ rotation(int(d))[:, ::BLOCK]
-                for i, c in zip(at, np.floor(x / np.sqrt(budgets(int(d), threshold))).astype(int).tolist(), strict=True):
-                    cells[i] = c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], [*batch.schema.names, "d", "cells"])
+                x = unit([raw[i] for i in at], kind) @ rotation(int(d))[:, edges(int(d))[:-1]]
+                x /= WIDE * np.sqrt(budgets(int(d), threshold) + 1e-9)
+                home = np.floor(x)
+                reaches = x - home >= 1 - 1 / WIDE
+                for i, c, r in zip(at, home.astype(int).tolist(), reaches.tolist(), strict=True):
+                    cells[i] = [{"cell": p, "reaches": q} for p, q in zip(c, r, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int64()), pa.array(cells, pa.list_(place))], [*batch.schema.names, "d", "cells"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema)
-    return groups.mapInArrow(run, f"{ddl}, d long, cells array<bigint>")
+    return groups.mapInArrow(run, f"{ddl}, d long, cells array<struct<cell: bigint, reaches: boolean>>")
 
 
 def compare(a: np.ndarray, b: np.ndarray, weight_a: np.ndarray, weight_b: np.ndarray, block: int, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,12 +103,12 @@ def compare(a: np.ndarray, b: np.ndarray, weight_a: np.ndarray, weight_b: np.nda
 
     d = a.shape[1]
     limit, turn = budgets(d, threshold), rotation(d)
-    edges = [*range(0, d, BLOCK), d]
+    starts = edges(d)
     ra, rb = a @ turn, b @ turn
-    part = slice(edges[block], edges[block + 1])
+    part = slice(starts[block], starts[block + 1])
     pa_, pb = ra[:, part], rb[:, part]
     na, nb = (pa_ * pa_).sum(1), (pb * pb).sum(1)
-    gaps = lambda x, y, upto: np.add.reduceat((ra[x, : edges[upto]] - rb[y, : edges[upto]]) ** 2, edges[:upto], axis=1) <= limit[:upto]
+    gaps = lambda x, y, upto: np.add.reduceat((ra[x, : starts[upto]] - rb[y, : starts[upto]]) ** 2, starts[:upto], axis=1) <= limit[:upto]
     links_a, links_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     off, label = (0 if same else len(a)), np.arange(len(a) if same else len(a) + len(b))
     for lo in range(0, len(a), 256):
@@ -117,36 +134,50 @@ def compare(a: np.ndarray, b: np.ndarray, weight_a: np.ndarray, weight_b: np.nda
     return links_a, links_b, at, label[at]
 
 
-def tile_pairs(cells: DataFrame, tile: int) -> DataFrame:
-    """Rows of two tiles (a, b), each a list of (gid, n, key), that may hold candidates of a block."""
+def squares(cells: DataFrame, tile: int) -> DataFrame:
+    """(label, d, block, cell, i, j, role, gid, n, key): the vectors of each square of work.
+
+    Pairs to test in a cell are those of its own vectors, and of these with the guests that reach
+    it from the cell below. Both are cut into strips of about ``tile`` vectors; the pairs of row
+    strip i with column strip j, and of guest strip i with column strip j, are a square, so no
+    task holds more than three strips however full a cell is. In a cell of one strip each vector
+    is there once.
+    """
     keys = ["label", "d", "block", "cell"]
-    placed = cells.select("label", "d", "gid", "n", "key", F.posexplode("cells").alias("block", "cell"))
-    sizes = cut(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), "tile_sizes")
-    chunk = F.pmod(F.xxhash64("gid"), F.ceil(F.col("rows") / F.lit(tile))).cast("int")
-    tiles = placed.join(sizes, keys).groupBy(*keys, chunk.alias("chunk")).agg(F.collect_list(F.struct("gid", "n", "key")).alias("b"))
-    tiles = cut(tiles, "tiles")
-    left = tiles.select("label", "d", "block", F.col("cell").alias("from"), F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"), F.col("chunk").alias("left_chunk"), F.col("b").alias("a"))
-    pairs = left.join(tiles, keys).where((F.col("from") != F.col("cell")) | (F.col("left_chunk") <= F.col("chunk")))
-    return pairs.select("a", "b", "block", ((F.col("from") == F.col("cell")) & (F.col("left_chunk") == F.col("chunk"))).alias("same"))
+    placed = cells.select("label", "d", "gid", "n", "key", F.posexplode("cells").alias("block", "at"))
+    both = F.array(F.struct(F.col("at.cell").alias("cell"), F.lit(False).alias("guest")), F.struct((F.col("at.cell") + 1).alias("cell"), F.lit(True).alias("guest")))
+    stays = F.slice(both, 1, F.when(F.col("at.reaches"), 2).otherwise(1))
+    placed = placed.select("label", "d", "block", "gid", "n", "key", F.explode(stays).alias("at")).select("label", "d", "block", "gid", "n", "key", "at.cell", "at.guest")
+    strips = lambda rows: F.ceil(rows * F.greatest(F.col("d"), F.lit(128)) / F.lit(128 * tile)).cast("int")
+    sizes = placed.groupBy(*keys).agg(strips(F.count_if(~F.col("guest"))).alias("homes"), strips(F.count_if("guest")).alias("guests"))
+    sizes = cut(sizes.where("homes > 0"), "cell_sizes")
+    strip = F.pmod(F.xxhash64("gid"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))).cast("int")
+    places = F.expr(f"""CASE WHEN guest THEN transform(sequence(0, homes - 1), j -> struct(strip AS i, j AS j, {GUEST} AS role))
+        ELSE concat(transform(filter(sequence(0, homes - 1), j -> j > strip), j -> struct(strip AS i, j AS j, {ROW} AS role)),
+                    transform(sequence(0, greatest(strip, guests - 1)), i -> struct(i AS i, strip AS j, {COLUMN} AS role))) END""")
+    dealt = placed.join(sizes, keys).withColumn("strip", strip).select(*keys, "gid", "n", "key", F.explode(places).alias("to"))
+    return dealt.select(*keys, "to.i", "to.j", "to.role", "gid", "n", "key")
 
 
 def _found(kind: str, threshold: float):
-    def side(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = x.values
-        return rows.field("gid").to_numpy(), rows.field("n").to_numpy(), unit(rows.field("key").to_pylist(), kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, block, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                (ga, wa, xa), (gb, wb, xb) = side(a), side(b)
-                la, lb, node, root = compare(xa, xb, wa, wb, block, same, threshold)
-                gids = ga if same else np.concatenate([ga, gb])
-                counts = la if same else np.concatenate([la, lb])
-                hit = np.flatnonzero(counts)
-                n = len(node) + len(hit)
-                src, dst, links = np.concatenate([gids[node], gids[hit]]), np.concatenate([gids[root], np.zeros(len(hit), np.int64)]), np.concatenate([np.zeros(len(node), np.int64), counts[hit]])
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(links)], ["src", "dst", "links"])
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        block, i, j = (key[at].as_py() for at in (2, 4, 5))
+        role, gid, n = (rows.column(c).to_numpy() for c in ("role", "gid", "n"))
+        x = unit(rows.column("key").to_pylist(), kind)
+        column = np.flatnonzero(role == COLUMN)
+        work = [(np.flatnonzero(role == r), False) for r in (ROW, GUEST)] + ([(column, True)] if i == j else [])
+        src, dst, links = [], [], []
+        for at, same in work:
+            if not len(at) or not len(column):
+                continue
+            la, lb, node, root = compare(x[at], x[column], n[at], n[column], block, same, threshold)
+            gids, counts = (gid[at], la) if same else (np.concatenate([gid[at], gid[column]]), np.concatenate([la, lb]))
+            hit = np.flatnonzero(counts)
+            src += [gids[node], gids[hit]]
+            dst += [gids[root], np.zeros(len(hit), np.int64)]
+            links += [np.zeros(len(node), np.int64), counts[hit]]
+        none = [np.zeros(0, np.int64)]
+        return pa.table({name: np.concatenate(none + part) for name, part in (("src", src), ("dst", dst), ("links", links))})
 
     return run
 
@@ -156,9 +187,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
 
     Rows link if their labels are equal and the cosine of their vectors is ``threshold`` or more.
     Equal vectors of a label are one node with a weight, so copies of any number are never paired.
-    Nodes are rotated and cut into blocks of eight dimensions; in each block a range join on its
-    first coordinate, in steps of the block's radius, brings together tiles that may hold pairs
-    within the block's budget. Tasks get two chunks of a tile at most and return counts and stars.
+    Nodes are rotated and cut into blocks of ``BLOCK`` dimensions; in each block a range join on its
+    first coordinate brings together what may be within the block's budget: a cell's own vectors,
+    and those within a radius below it. Full cells are dealt to a grid of tasks (``squares``);
+    tasks return counts and stars, never pairs.
 
     Null labels and vectors that are null, empty, zero or hold null, NaN or infinite components
     link with nothing: n_links 0, their own component. So do rows with a null id, whose component
@@ -170,7 +202,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     able = F.col("label").isNotNull() & F.col("key").isNotNull() & F.col("id").isNotNull()
     groups = rows.where(able).groupBy("label", "key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     groups = cut(groups.withColumn("gid", F.monotonically_increasing_id()), "vector_groups")
-    found = cut(tile_pairs(with_cells(groups.select("label", "gid", "n", "key"), threshold, kind), tile).mapInArrow(_found(kind, threshold), "src long, dst long, links long"), "vector_links")
+    work = squares(with_cells(groups.select("label", "gid", "n", "key"), threshold, kind), tile).groupBy("label", "d", "block", "cell", "i", "j")
+    found = cut(work.applyInArrow(_found(kind, threshold), "src long, dst long, links long"), "vector_links")
     counts = found.where("links > 0").groupBy(F.col("src").alias("c_gid")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("links = 0").select("src", "dst"))
     linked = cut(groups.select("gid", "first").join(parts, F.col("gid") == F.col("node")).select("gid", "first", "component"), "vector_parts")

@@ -366,4 +366,20 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_full_cell_is_dealt_to_many_squares(spark):
+    """A cell with many vectors: no square holds more than three strips, and each pair meets exactly once."""
+    rows_ = [(0, 4, g, 1, b"", [(5, g % 2 == 0)]) for g in range(60)] + [(0, 4, g, 1, b"", [(6, False)]) for g in range(60, 100)]
+    cells = spark.createDataFrame(rows_, "label int, d long, gid long, n long, key binary, cells array<struct<cell: bigint, reaches: boolean>>")
+    met, work = Counter(), {}
+    for r in vectors.squares(cells, 8).collect():
+        work.setdefault((r["cell"], r["i"], r["j"]), {0: [], 1: [], 2: []})[r["role"]].append(r["gid"])
+    for (_cell, i, j), has in work.items():
+        assert max(map(len, has.values())) < 24
+        met.update(tuple(sorted((x, y))) for x in has[0] + has[2] for y in has[1])
+        met.update((x, y) for x in has[1] for y in has[1] if i == j and x < y)
+    home = lambda g: 5 if g < 60 else 6
+    assert met == Counter((x, y) for x in range(100) for y in range(x + 1, 100) if home(x) == home(y) or x % 2 == 0)
+    assert len(work) > 20
+
+
 _ = T
