@@ -12,6 +12,18 @@ from corvane.sources import files as S
 from corvane.sources import sinks as K
 
 
+@query("s01_scan_files", "SELECT count(*) AS lines, CAST(sum(length(text) - length(replace(text, 'a', ''))) AS BIGINT) AS n_a FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM benchmark)")
+def _(spark, d):
+    """A tree of small text files, with a skipped folder and files of another type beside them."""
+    root = scratch_path(spark, "tree")
+    lines = table(spark, d, "benchmark").select(F.explode(F.split("text", "\n")).alias("value"))
+    for folder in ("src/notes", "node_modules/notes"):
+        lines.write.option("maxRecordsPerFile", 1000).text(f"{root}/{folder}")
+    lines.write.json(f"{root}/src/rows")
+    files, _ = S.scan_files(spark, root, ["txt"])
+    return files.agg(F.sum(F.regexp_count("text", F.lit("\n"))).alias("lines"), F.sum(F.regexp_count("text", F.lit("a"))).alias("n_a"))
+
+
 @query("s02_scan_text", "SELECT count(*) AS lines, CAST(sum(length(text) - length(replace(text, 'a', ''))) AS BIGINT) AS n_a FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM benchmark)")
 def _(spark, d):
     path = scratch_path(spark, "texts")
