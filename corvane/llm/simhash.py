@@ -108,15 +108,20 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     parts of a fingerprint; a tile meets only those whose counts differ by the radius at most.
     """
     keyed = prints.select("fp", *[F.bit_count(F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))).cast("int").alias(f"p{i}") for i, m in enumerate(MASKS)])
-    sizes = keyed.groupBy("p0", "p1", "p2").agg(F.count(F.lit(1)).alias("n"))  # 22 x 22 x 23 rows at most
-    chunk = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / F.lit(tile))).cast("int")
-    tiles = cut(keyed.join(F.broadcast(sizes), ["p0", "p1", "p2"]).withColumn("chunk", chunk).groupBy("p0", "p1", "p2", "chunk").agg(F.collect_list("fp").alias("fps")), "tiles")
+    keys = ["p0", "p1", "p2"]
+    sizes = keyed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("chunks"))  # 22 x 22 x 23 rows at most
+    sizes = F.broadcast(cut(sizes, "tile_sizes"))
+    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    tiles = cut(keyed.join(sizes, keys).withColumn("chunk", chunk).groupBy(*keys, "chunk").agg(F.collect_list("fp").alias("fps")), "tiles")
     offsets = F.array(*[F.struct(*[F.lit(x).alias(f"d{i}") for i, x in enumerate(d)]) for d in steps(radius)])
     left = tiles.withColumn("d", F.explode(offsets)).select(
         *[(F.col(f"p{i}") + F.col(f"d.d{i}")).alias(f"p{i}") for i in range(3)], F.col("chunk").alias("left_chunk"), F.col("fps").alias("a"),
         ((F.col("d.d0") == 0) & (F.col("d.d1") == 0) & (F.col("d.d2") == 0)).alias("own"),
     )
-    pairs = left.join(tiles.withColumnRenamed("fps", "b"), ["p0", "p1", "p2"]).where(~F.col("own") | (F.col("left_chunk") <= F.col("chunk")))
+    # A tile goes to each chunk that it meets, so the pairs of a full tile's chunks meet under as many keys as it has chunks.
+    first = F.when(F.col("own"), F.col("left_chunk")).otherwise(0)
+    left = left.join(sizes, keys).withColumn("chunk", F.explode(F.sequence(first, F.col("chunks") - 1))).drop("chunks")
+    pairs = left.join(tiles.withColumnRenamed("fps", "b"), [*keys, "chunk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -274,13 +274,14 @@ def test_simhash(docs, none):
     assert kept == sorted(i for i, _, c in got if i is not None and c == i)
 
 
-def test_tiles_find_all_links(spark):
+@pytest.mark.parametrize("tile", [8, 1])  # 1: every tile is cut into chunks
+def test_tiles_find_all_links(spark, tile):
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = np.array([b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 6), replace=False))) for b in np.repeat(base, 4)], np.uint64)
     fps = np.unique(np.concatenate([base, near]))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    links = {(r["src"], r["dst"]) for r in simhash.links(df, tile=8).collect()}
+    links = {(r["src"], r["dst"]) for r in simhash.links(df, tile=tile).collect()}
     parent = {int(x): int(x) for x in fps.view(np.int64)}
 
     def root(p, x):
