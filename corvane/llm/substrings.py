@@ -249,6 +249,7 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
     them, lose nothing. Rows that repeat whole lose everything, from ``w`` words on. Null ids are
     ids like others. An empty table gives an empty one. One text is held with about 40 bytes for
     each of its words and its bytes three times over; nothing grows with the number of its copies.
+    Texts that can't have a repeated span, as a sieve of the keys with spans tells, stay where they are.
     """
     spans = repeated_spans(df, id_col, text_col, w, k)
     # as a set, so that rows alike in id and text, which share a key, add nothing: at most two spans for each word of one text
@@ -257,7 +258,17 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = df.select(*keep, text.alias("_text"), F.xxhash64(F.col(id_col), text).alias("_key"))
     names = source.columns[:-2]
-    joined_ = source.join(packed, F.col("_key") == F.col("_spans_key"), "left").select(*names, "_text", "spans")
+    gate = df.sparkSession.sparkContext.broadcast(sieve(packed, "_spans_key"))
+    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in source.columns)
+
+    def gated(batches: Iterator[pa.RecordBatch], on: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = passes(gate.value, batch.column("_key").to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(at == on))
+
+    # only texts that may have spans travel to them; a full sieve sends all
+    met = source.mapInArrow(lambda batches: gated(batches, True), schema)
+    met = met.join(packed, F.col("_key") == F.col("_spans_key"), "left").select(*names, "_text", "spans")
     extra = ", kept_text string" if with_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +291,9 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept)] * with_text, [*names, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
 
     ddl = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names)
-    return joined_.mapInArrow(run, f"{ddl}, n_words long, n_removed long, kept_sha256 string{extra}")
+    result = f"{ddl}, n_words long, n_removed long, kept_sha256 string{extra}"
+    alone = source.mapInArrow(lambda batches: run(b.append_column("spans", pa.nulls(b.num_rows)) for b in gated(batches, False)), result)
+    return met.mapInArrow(run, result).unionByName(alone)
 
 
 def removed(words: Words, spans: pa.Array, w: int) -> Iterator[np.ndarray | None]:
