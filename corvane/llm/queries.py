@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import contamination, language, packing, quality, secrets, sharding, simhash, substrings, tokens, vectors
+from corvane.llm import contamination, conversations, language, negatives, packing, quality, secrets, sharding, simhash, substrings, tokens, urls, vectors
 from corvane.llm.tables import table
 from corvane.plans.scratch import cut
 
@@ -62,6 +62,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the rows get the next label; a fiftieth are anchors."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(whole), whole)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -74,8 +89,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_vectors": op9_vectors,
         "op10_packing": op10_packing,
+        "op11_negatives": op11_negatives,
+        "op12_urls": op12_urls,
+        "op13_conversations": op13_conversations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_contamination": contamination.oracle(), "op9_vectors": vectors.oracle(), "op10_packing": packing.oracle()}
+    return {"op3_contamination": contamination.oracle(), "op9_vectors": vectors.oracle(), "op10_packing": packing.oracle(), "op11_negatives": negatives.oracle(), "op12_urls": urls.oracle()}
