@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.plans import sampling
 from corvane.plans.scratch import cut
 
 #: Query vectors that are sent to all tasks at once; more of them take more passes.
@@ -181,8 +182,7 @@ def knn_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    total = max(vectors.count(), 1)
-    sample = vectors.where(F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(1_000_000)) < int(min(1.0, 20_000 / total) * 1_000_000))
+    sample = vectors.where(sampling.chosen(sampling.threshold(20_000, vectors.count()), "chunk_id", seed=seed))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="f").fit(sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("f")))
     centres = np.stack(model.clusterCenters())
     flat = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
