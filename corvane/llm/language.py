@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.textbatch import mix, pieces, span_hashes, texts_of
+from corvane.plans import sampling
 
 MARK = 0x2581  # begins a word in the vocabulary
 #: Letters whose pieces are looked up at once; a longer word is walked through in strips of as many, with the same result.
@@ -256,8 +257,8 @@ def learn(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     languages = sorted(sizes)
     if not languages:
         return Model([], path, np.zeros((0, 0)))
-    share = F.create_map(*[x for g in languages for x in (F.lit(g), F.lit(int(min(1.0, sample / sizes[g]) * 1_000_000)))])
-    chosen = known.where(F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit("")), F.lit(seed)), F.lit(1_000_000)) < share[F.col("g")])
+    share = F.create_map(*[x for g in languages for x in (F.lit(g), F.lit(sampling.threshold(sample, sizes[g])))])
+    chosen = known.where(sampling.chosen(share[F.col("g")], F.coalesce(F.col("i").cast("string"), F.lit("")), seed=seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)

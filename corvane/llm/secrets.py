@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.textbatch import joined, pieces, texts_of, word_edges
+from corvane.plans import sampling
 from corvane.plans.scratch import cut
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -47,6 +50,8 @@ _GROUP[0x41:0x5B] = 1
 _GROUP[0x61:0x7B] = 2
 _GROUP[0x80:] = 3
 
+_VOWEL, _SIGN, _DASH = (np.isin(np.arange(256), list(x)) for x in (b"aeiouyAEIOUY", b"/_-", b"-"))
+
 #: Words that tend to stand before a secret.
 HINTS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "auth", "credential", "credentials", "bearer", "access_key", "private_key")
 #: First letters of tokens that well-known services issue.
@@ -74,6 +79,7 @@ FEATURES = (
     "bias", "len_1", "len_4", "len_8", "len_16", "len_24", "len_40", "digit", "upper", "lower", "high", "digits_only", "hex_only", "digit_and_letter",
     "three_groups", "many_turns", "capital_word", "after_equals", "after_colon", "after_quote", "after_blank", "after_line", "glued", "before_quote",
     "is_hint", "hint_before", "hint_two_before", "hint_and_sign", "long_mixed", "prefix", "text_many_digits", "text_has_hint", "text_short", "next_mixed", "previous_mixed",
+    "worded", "some_words", "vowels", "islands", "parts", "uuid",
 )
 
 
@@ -114,6 +120,13 @@ def tokens_of(texts: list[str]) -> Tokens:
     n_hex = hexes[ends] - hexes[starts]
     turn = np.concatenate([[0, 0], np.cumsum(groups[1:] != groups[:-1], dtype=np.int32)])
     turns = turn[ends] - turn[starts + 1]
+    # Bytes in runs of three small letters or more, as words and names made of words have them.
+    edges = np.concatenate([[0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]])
+    in_word = np.repeat((np.diff(edges) >= 3) & (groups[edges[:-1]] == 2), np.diff(edges))
+    words = np.concatenate([[0], np.cumsum(in_word, dtype=np.int32)])
+    n_word = words[ends] - words[starts]
+    island = np.concatenate([[0], np.cumsum((groups == 0) & np.concatenate([[True], groups[:-1] != 0]), dtype=np.int32)])
+    n_vowel, n_sign, n_dash = (r[ends] - r[starts] for r in (np.concatenate([[0], np.cumsum(table[data], dtype=np.int32)]) for table in (_VOWEL, _SIGN, _DASH)))
     first8, key = _first(data, starts, size)
     wanted = _hint_keys()
     hint = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
@@ -154,6 +167,7 @@ def tokens_of(texts: list[str]) -> Tokens:
         turns * 4 >= size, (n_upper == 1) & (n_lower == size - 1), has(equals), has(colon), has(quote), has(blank), has(line), (starts - gap_from == 1) & ~new_text & ~has(blank) & ~has(line),
         quote[gap_to] > quote[ends], hint, hint_before, before(hint, 2), hint_before & (has(equals) | has(colon)), mixed & (size >= 16), prefix,
         (digits / length)[doc] > 0.05, any_hint[doc], (length < 400)[doc], next_mixed, before(mixed),
+        n_word * 2 >= size, n_word * 4 >= size, (n_vowel * 4 >= letters) & (letters >= 4), island[ends] - island[starts] >= 3, n_sign > 0, (size == 36) & (n_dash == 4) & (n_hex == 32),
     ]
     bits = np.zeros(n, np.uint64)
     for i, c in enumerate(columns):
@@ -216,7 +230,7 @@ def train(windows: list[tuple[list[int], list[int]]], steps: int = 200, penalty:
     """
     bit = {f: 1 << i for i, f in enumerate(FEATURES)}
     hints = sum(b for f, b in bit.items() if "hint" in f)
-    clear = sum(bit[f] for f in ("hex_only", "after_equals", "after_quote", "before_quote", "hint_and_sign"))
+    clear = sum(bit[f] for f in ("hex_only", "after_equals", "after_quote", "before_quote", "hint_and_sign", "worded", "uuid"))
     put = sum(bit[f] for f in ("upper", "lower", "digit", "three_groups", "many_turns", "after_blank"))
     secret = [(bits, tags) for bits, tags in windows if any(tags)]
     sample = list(windows) + [([b & ~hints for b in bits], tags) for bits, tags in secret]
@@ -281,6 +295,48 @@ def weak_tags(tokens: Tokens, spans: list[list[tuple[int, int, int, int]]]) -> n
     return tags
 
 
+#: Words that names in code, addresses and products are made of here.
+NAME_WORDS = (
+    "get set is parse build make load save open close read write find sort user account order item page list table index query value result handler manager service factory client server request response "
+    "config option default custom global local main test data file path name type class model view event stream batch report docs guide start image video music photo ultra smart phone drive cloud home office"
+).split()
+
+
+def generated(n: int = 300, width: int = 24, seed: int = 9) -> list[tuple[list[int], list[int]]]:
+    """Windows of generated lines of code, addresses, product names, versions and ids: ``n`` without a secret, and half as many with random letters in like places."""
+    r = random.Random(seed)
+    word, cap = lambda: r.choice(NAME_WORDS), lambda: r.choice(NAME_WORDS).capitalize()
+    number, letter = lambda k=4: str(r.randrange(10 ** r.randrange(1, k + 1))), lambda: r.choice(string.ascii_uppercase)
+    pick = lambda pool, k: "".join(r.choices(pool, k=k))
+    hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
+    camel = lambda: word() + "".join(cap() for _ in range(r.randrange(1, 5))) + r.choice(["", number(3), f"V{number(1)}", f"By{cap()}{number(2)}"])
+    pascal = lambda: "".join(r.choice([cap, cap, lambda: pick(string.ascii_uppercase, 3)])() for _ in range(r.randrange(2, 5))) + r.choice(["", number(3), f"_{cap()}{number(2)}", f"V{number(1)}"])
+    snake = lambda: "_".join(word() for _ in range(r.randrange(2, 5))) + r.choice(["", f"_{number(3)}", f"_v{number(1)}"])
+    shout = lambda: "_".join(word().upper() for _ in range(r.randrange(2, 4))) + r.choice(["", f"_{number(3)}"])
+    product = lambda: r.choice([f"{cap()}{letter()}{number(2)}{cap()}{number(1)}{letter()}", f"{letter()}{letter()}-{number(4)}{letter()}", f"{cap()}-{number(4)}{cap()}", f"{cap()}{number(2)}Pro{cap()}", f"{word()}{cap()}{number(2)}Pro{cap()}{number(3)}{letter()}B", f"{pick(string.ascii_uppercase, 3)}{number(4)}{cap()[:2]}", f"{cap()[:3]}{cap()}{number(2)}V{number(1)}{cap()}{cap()}{number(1)}K"])
+    part = lambda: r.choice([word, cap, snake, lambda: f"{cap()}-{cap()}_v{number(1)}", lambda: f"{shout()}", lambda: f"{cap()}_{cap()}", number])()
+    stretch = lambda: "/".join(part() for _ in range(r.randrange(2, 6)))
+    uuid = lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12))
+    stamp = lambda: r.choice([f"20{number(2):0>2}-0{r.randrange(1, 10)}-1{r.randrange(10)}T1{r.randrange(10)}:30:00Z", f"IMG_20{r.randrange(10, 30)}0{r.randrange(1, 10)}1{r.randrange(10)}_{r.randrange(10**6):06d}", f"v{number(1)}.{number(2)}.{number(2)}-beta{number(1)}", pick(hexes, 7), "0x" + pick(hexes, r.randrange(4, 13)), f"{word()}-{pick(hexes, r.randrange(5, 11))}", "-".join(number(4) for _ in range(r.randrange(2, 6)))])
+    name = lambda: r.choice([camel, pascal, snake, shout, product, stretch, uuid, stamp])()
+    secret = lambda: r.choice([lambda: pick(alnum, r.randrange(18, 44)), lambda: pick(string.ascii_lowercase + string.digits, r.randrange(20, 36)), lambda: pick(alnum + "-_", r.randrange(24, 44)), lambda: r.choice(PREFIXES) + pick(alnum, r.randrange(16, 40))])()
+    frames = ("{} = {}({}, {})", "return {}.{}[{}]", "see https://www.{}.com/{}?{}={}", "the {} and the {} of {} for {}", "import {} from \"{}\"", "{}: {}", "call('{}', {})", "<a href=\"/{}\">{}</a>", "{} {} {} {}", "id={} name={}")
+    out = []
+    for i in range(n + n // 2):
+        frame = r.choice(frames)
+        held = [name() for _ in range(frame.count("{}"))]
+        planted = secret() if i >= n else None
+        if planted:
+            held[r.randrange(len(held))] = planted
+        lead, tail = (" ".join(word() for _ in range(r.randrange(0, 9))) for _ in range(2))
+        text = f"{lead} {frame.format(*held)} {tail}"
+        tokens = tokens_of([text])
+        at = text.index(planted) if planted else 0
+        tags = weak_tags(tokens, [[(0, at, at + len(planted), at)] if planted else []])
+        out.append((tokens.bits[:width].astype(np.int64).tolist(), tags[:width].tolist()))
+    return out
+
+
 def learn(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, windows: int = 1_500, plain: int = 1_000, per_text: int = 8, width: int = 24, seed: int = 3
 ) -> Field | None:
@@ -289,13 +345,12 @@ def learn(
     From each chosen document come at most ``per_text`` stretches of ``width`` tokens around rule
     matches, and one from anywhere in a document without. Of all different stretches, ``windows``
     with a secret and ``plain`` ones without are taken at most, by a hash of their features; these
-    are the only rows that reach the driver, about 300 bytes each. None if no secret was found; then
-    only the rules work.
+    are the only rows that reach the driver, about 300 bytes each. Generated windows of code,
+    addresses and product names are added, so that names made of words are told from random letters.
+    None if no secret was found; then only the rules work.
     """
-    total = df.count()
-    share = int(min(1.0, sample / max(total, 1)) * 1_000_000)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    chosen = df.select(text.alias("t"), F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.crc32(text), F.lit(seed)), F.lit(1_000_000)).alias("h")).where(F.col("h") < share)
+    chosen = df.where(sampling.chosen(sampling.threshold(sample, df.count()), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.crc32(text), seed=seed)).select(text.alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "t"):
@@ -324,7 +379,7 @@ def learn(
     made = chosen.select("t").mapInArrow(run, "h long, secret boolean, bits array<bigint>, tags array<bigint>")
     made = cut(made.dropDuplicates(["secret", "h"]), "windows")
     rows = [r for kind, n in (("secret", windows), ("NOT secret", plain)) for r in made.where(kind).orderBy("h").limit(n).collect()]
-    return train([(list(r["bits"]), list(r["tags"])) for r in rows]) if any(r["secret"] for r in rows) else None
+    return train([(list(r["bits"]), list(r["tags"])) for r in rows] + generated(width=width)) if any(r["secret"] for r in rows) else None
 
 
 def find(texts: list[str], field: Field | None) -> list[list[Span]]:
