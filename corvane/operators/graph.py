@@ -61,16 +61,21 @@ def _named(kind: str, pattern: str):
 
 
 def relations(chunks: DataFrame) -> DataFrame:
-    """(src, dst, type): calls from the definition above them, inheritance and imports; targets elsewhere are ``*::name``."""
-    lines = chunks.select("file", F.posexplode(F.split("content", "\n")).alias("line", "l"))
-    name = F.nullif(F.regexp_extract("l", r"^\s*(?:async\s+)?def\s+(\w+)", 1), F.lit(""))
-    inside = F.last(name, ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    called = F.filter(F.regexp_extract_all("l", F.lit(r"(\w+)\("), 1), lambda n: ~n.isin(*NOT_CALLED))
-    body = lines.withColumn("caller", inside).withColumn("is_def", name.isNotNull()).where("caller IS NOT NULL AND NOT is_def")
-    calls = body.select(F.concat_ws("::", "file", "caller").alias("src"), F.explode(called).alias("n")).select("src", F.concat(F.lit("*::"), "n").alias("dst"), F.lit("calls").alias("type"))
-    heir = lines.select("file", F.regexp_extract("l", r"^\s*class\s+(\w+)\(", 1).alias("c"), F.split(F.regexp_extract("l", r"^\s*class\s+\w+\(([^)]*)\)", 1), r",\s*").alias("b")).where("c <> ''")
-    inherits = heir.select(F.concat_ws("::", "file", "c").alias("src"), F.explode("b").alias("n")).where("n <> ''").select("src", F.concat(F.lit("*::"), "n").alias("dst"), F.lit("inherits").alias("type"))
-    imports = lines.select("file", F.regexp_extract("l", r"^\s*from\s+[\w.]+\s+import\s+(\w+)", 1).alias("n")).where("n <> ''").select(F.col("file").alias("src"), F.concat(F.lit("*::"), "n").alias("dst"), F.lit("imports").alias("type"))
+    """(src, dst, type): calls from the definition above them, inheritance and imports; targets elsewhere are ``*::name``.
+
+    A text is cut before each definition, so what a piece calls below its first line is called by
+    that definition; all happens inside the row, and several texts of one file count each.
+    """
+    pieces = chunks.select("file", F.explode(F.split("content", r"(?m)(?=^[^\S\n]*(?:async[^\S\n]+)?def[^\S\n]+\w)")).alias("p"))
+    caller = F.nullif(F.regexp_extract("p", r"^[^\S\n]*(?:async[^\S\n]+)?def[^\S\n]+(\w+)", 1), F.lit(""))
+    called = F.filter(F.regexp_extract_all(F.regexp_extract("p", r"(?s)^[^\n]*\n(.*)$", 1), F.lit(r"(\w+)\("), 1), lambda n: ~n.isin(*NOT_CALLED))
+    body = pieces.select("file", caller.alias("caller"), F.explode(F.array_distinct(called)).alias("n")).where("caller IS NOT NULL")
+    calls = body.select(F.concat_ws("::", "file", "caller").alias("src"), F.concat(F.lit("*::"), "n").alias("dst"), F.lit("calls").alias("type"))
+    found = lambda pattern, i: F.regexp_extract_all("content", F.lit(pattern), i)
+    base = r"(?m)^\s*class\s+(\w+)\(([^)]*)\)"
+    heirs = chunks.select("file", F.explode(F.arrays_zip(found(base, 1).alias("c"), found(base, 2).alias("b"))).alias("h"))
+    inherits = heirs.select("file", "h.c", F.explode(F.split("h.b", r",\s*")).alias("n")).where("n <> ''").select(F.concat_ws("::", "file", "c").alias("src"), F.concat(F.lit("*::"), "n").alias("dst"), F.lit("inherits").alias("type"))
+    imports = chunks.select(F.col("file").alias("src"), F.explode(F.array_distinct(found(r"(?m)^\s*from\s+[\w.]+\s+import\s+(\w+)", 1))).alias("n")).select("src", F.concat(F.lit("*::"), "n").alias("dst"), F.lit("imports").alias("type"))
     return calls.unionByName(inherits).unionByName(imports).distinct()
 
 

@@ -47,17 +47,29 @@ def _(spark, d):
     return D.minhash(_docs(spark, d)).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
-@query("d04_lsh_candidates")
+# Signatures of representatives that share a band of four values, and whose values' last two bits agree often enough.
+BANDS = f"""{SIG}, st AS (SELECT doc_id, md5(string_agg(shingle, chr(1) ORDER BY shingle)) AS t, count(*) AS n FROM sh GROUP BY 1), rp AS (SELECT min(doc_id) AS rep, any_value(n) AS n FROM st GROUP BY t),
+ bd AS (SELECT rep, n, s, band, s[4 * band + 1 : 4 * band + 4] AS k FROM rp JOIN sg ON rep = doc_id, (SELECT unnest(range(32)) AS band))"""
+
+
+@query("d04_lsh_candidates", f"WITH {BANDS} SELECT DISTINCT x.rep AS a, y.rep AS b FROM bd x JOIN bd y ON x.band = y.band AND x.k = y.k AND x.rep < y.rep AND x.n >= 0.8 * y.n AND y.n >= 0.8 * x.n WHERE len(list_filter(range(1, 129), lambda i: x.s[i] % 4 = y.s[i] % 4)) >= 84")
 def _(spark, d):
-    return D.near_candidates(D.cut(D.shingle_sets(_docs(spark, d))), 0.8)
+    return D.near_candidates(D.cut(D.signed_sets(_docs(spark, d))), 0.8)
 
 
 @query("d05_near_pairs", f"WITH {PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM np")
 def _(spark, d):
-    return D.near_pairs(D.cut(D.shingle_sets(_docs(spark, d))), 0.8).withColumn("similarity", F.round("similarity", 6))
+    return D.near_pairs(D.cut(D.signed_sets(_docs(spark, d))), 0.8).withColumn("similarity", F.round("similarity", 6))
+
 
+# Documents in order, each kept unless an earlier kept one is similar: un (doc_id, rep, rn) is walked one by one.
+FIRST = """sm2 AS (SELECT a, b FROM np UNION ALL SELECT b, a FROM np UNION ALL SELECT rep, rep FROM rp),
+ nb AS (SELECT x.rn, x.doc_id, list(y.doc_id) FILTER (y.doc_id IS NOT NULL) AS l FROM un x LEFT JOIN (SELECT a, doc_id FROM sm2 JOIN un ON rep = b) y ON y.a = x.rep AND y.doc_id < x.doc_id GROUP BY 1, 2),
+ g AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT g.rn + 1, CASE WHEN l IS NULL OR NOT list_has_any(l, kept) THEN list_append(kept, doc_id) ELSE kept END FROM g JOIN nb ON nb.rn = g.rn + 1),
+ kp AS (SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM g ORDER BY rn DESC LIMIT 1))"""
 
-@query("d06_dedup_first")
+
+@query("d06_dedup_first", f"WITH RECURSIVE {PAIRS}, un AS (SELECT doc_id, rep, row_number() OVER (ORDER BY doc_id) AS rn FROM cl), {FIRST} SELECT doc_id, doc_id IN (SELECT doc_id FROM kp) AS kept FROM cl")
 def _(spark, d):
     return D.dedup_near(_docs(spark, d), 0.8)
 
@@ -70,9 +82,12 @@ def _(spark, d):
     return D.dedup_near(_docs(spark, d), 0.8, mode="component")
 
 
-@query("d07_dedup_against")
+_KNOWN = "SELECT c.doc_id FROM cl c JOIN (SELECT a, b FROM np UNION ALL SELECT b, a FROM np UNION ALL SELECT rep, rep FROM rp) ON c.rep = a JOIN cl h ON h.rep = b AND h.doc_id % 2 = 0"
+
+
+@query("d07_dedup_against", f"WITH RECURSIVE {PAIRS}, un AS (SELECT doc_id, rep, row_number() OVER (ORDER BY doc_id) AS rn FROM cl WHERE doc_id % 2 = 1 AND doc_id NOT IN ({_KNOWN})), {FIRST} SELECT doc_id FROM kp")
 def _(spark, d):
-    sets = D.cut(D.shingle_sets(_docs(spark, d)))
+    sets = D.cut(D.signed_sets(_docs(spark, d)))
     return D.dedup_against(sets.where("doc_id % 2 = 1"), sets.where("doc_id % 2 = 0"), 0.8).select("doc_id")
 
 
@@ -140,7 +155,7 @@ _CODE_SPARK = "concat('import os', '\n', 'class A', user_id % 5, '(Base', user_i
 
 
 def _code(spark, d):
-    return table(spark, d, "events").where("event_id % 10 = event_id % 10").selectExpr("concat('f', user_id, '.py') AS file", f"{_CODE_SPARK} AS content")
+    return table(spark, d, "events").selectExpr("concat('f', user_id, '.py') AS file", f"{_CODE_SPARK} AS content")
 
 
 @query("c06_chunk_code")
@@ -165,10 +180,11 @@ def _(spark, d):
     return G.entities(_code(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g02_relations")
+@query("g02_relations", """WITH f AS (SELECT DISTINCT 'f' || user_id || '.py' AS file, user_id AS u, event_id % 4 AS s FROM events)
+ SELECT file || '::run_' || u % 7 AS src, '*::step_' || s AS dst, 'calls' AS type FROM f UNION SELECT file || '::step_' || s, '*::helper', 'calls' FROM f
+ UNION SELECT file || '::A' || u % 5, '*::Base' || u % 3, 'inherits' FROM f UNION SELECT file, '*::thing' || u % 2, 'imports' FROM f""")
 def _(spark, d):
-    one = _code(spark, d).groupBy("file").agg(F.max("content").alias("content"))
-    return G.relations(one)
+    return G.relations(_code(spark, d))
 
 
 EDGES = "ed AS (SELECT DISTINCT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import pytest
@@ -137,15 +138,16 @@ def near_texts():
 def test_near_pairs_by_brute_force(spark, threshold):
     texts, similar = near_texts()
     first = {j: min([i for i in range(j) if similar[i, j] == 1], default=j) for j in range(len(texts))}
-    sets = D.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sets = D.cut(D.signed_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     got = {(r["a"], r["b"]): r["similarity"] for r in D.near_pairs(sets, threshold).collect()}
+    assert got == {(r["a"], r["b"]): r["similarity"] for r in D.near_pairs(sets, threshold, exact=True).collect()}
     want = {p: s for p, s in similar.items() if threshold <= s < 1 and all(first[i] == i for i in p)}
     assert len(want) > 20 and got == pytest.approx(want)
 
 
 def test_dedup_against_by_brute_force(spark):
     texts, similar = near_texts()
-    sets = D.cut(D.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    sets = D.cut(D.signed_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     new, old = sets.where("doc_id % 2 = 1"), sets.where("doc_id % 2 = 0")
     like = lambda i, j: similar[min(i, j), max(i, j)] >= 0.8
     for history, known in ((old, range(0, len(texts), 2)), (old.withColumn("k", F.lit(4)), range(0))):
@@ -156,6 +158,87 @@ def test_dedup_against_by_brute_force(spark):
         assert sorted(r["doc_id"] for r in D.dedup_against(new, history, 0.8).collect()) == kept
 
 
+@pytest.mark.parametrize("cell", [1024, 2])
+def test_first_and_components_by_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(D._meeting, "__defaults__", (cell,))
+    texts, similar = near_texts()
+    like = lambda i, j: similar[min(i, j), max(i, j)] >= 0.8
+    kept, part = [], list(range(len(texts)))
+    for i in range(len(texts)):
+        if not any(like(i, j) for j in kept):
+            kept.append(i)
+        for j in range(i):
+            if like(i, j):
+                low, high = sorted((part[i], part[j]))
+                part = [low if x == high else x for x in part]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = D.cut(D.signed_sets(df))
+    assert sorted(r["doc_id"] for r in D.dedup_near(df, sets=sets).where("kept").collect()) == kept
+    assert sorted(r["doc_id"] for r in D.dedup_near(df, sets=sets, mode="component").where("kept").collect()) == [i for i, p in enumerate(part) if i == p]
+    assert D.dedup_near(df.limit(0)).count() == 0 and D.near_pairs(sets.limit(0), 0.8).count() == 0
+
+
+def test_signed_sets_are_those_of_minhash(spark):
+    texts, _ = near_texts()
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, "h\u00e9llo w\U0001f600rld \u65e5\u672c")], "doc_id long, text string")
+    want = {r["doc_id"]: r["signature"] for r in D.minhash(df).collect()}
+    assert {r["doc_id"]: r["signature"] for r in D.signed_sets(df).collect()} == want
+
+
+def test_bands_find_near_copies_among_many(spark):
+    """Recall against brute force, and candidates that grow with the copies, not with the square of the rows."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randrange(2, 8))) for _ in range(400)]
+    seen = {}
+    for n in (250, 1000):
+        texts = [" ".join(r.choices(words, k=60)) for _ in range(n)]
+        for i in range(0, n, 5):
+            copy = texts[i].split()
+            for at in r.sample(range(60), r.randrange(1, 5)):
+                copy[at] = r.choice(words)
+            texts.append(" ".join(copy))
+        sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+        want = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        signed = D.cut(D.signed_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+        got = {(x["a"], x["b"]) for x in D.near_candidates(signed, 0.8).collect()}
+        half = {(x["a"], x["b"]) for x in D.near_candidates(signed, 0.8, shape=D.band_shape(128, 0.8)).collect()}
+        assert len(got & want) == len(want) > n // 20 and half <= got
+        seen[n] = len(got)
+    assert seen[1000] <= 5 * seen[250]
+
+
+@pytest.mark.parametrize(("n", "t"), [(128, 0.8), (128, 0.5), (64, 0.9), (32, 0.3)])
+def test_sure_shape_misses_hardly_any(n, t):
+    bands, rows_ = D.sure_shape(n, t)
+    assert bands * rows_ <= n and (1 - t**rows_) ** bands <= (D.MISS if t > 0.35 else 1e-4)
+
+
+def test_signature_store(spark, tmp_path):
+    """Three batches: near copies of earlier ones go; only the slots of a batch's keys are read; a batch that runs again gives the same."""
+    from corvane.operators.history import SignatureStore
+
+    r = random.Random(3)
+    base = ["".join(r.choices("abcdefgh ", k=200)) for _ in range(9)]
+    store = SignatureStore(spark, str(tmp_path), slots=256)
+    frame = lambda rows_: spark.createDataFrame(rows_, "doc_id long, text string")
+    admit = lambda nth, rows_: sorted(x["doc_id"] for x in store.admit(frame(rows_), nth).collect())
+    assert admit(0, [(i, base[i]) for i in range(6)] + [(6, base[0] + "!"), (7, base[1]), (8, None)]) == [0, 1, 2, 3, 4, 5, 8]
+    second = [(10, base[2][:-1]), (11, base[6]), (12, base[6] + "?"), (13, ""), (14, base[3])]
+    assert admit(1, second) == [11] and admit(1, second) == [11]
+    assert admit(2, [(20, base[6][1:]), (21, base[7]), (22, base[5])]) == [21]
+    assert sorted(x["id"] for x in spark.read.parquet(f"{store.path}/sets").collect()) == [0, 1, 2, 3, 4, 5, 8, 11, 21]
+    new = D.cut(D.signed_sets(frame([(30, base[8])])))
+    bands = D.banded(new, 0.8)
+    plan = store.bands_near(bands, 3)._jdf.queryExecution()
+    plan.toRdd().count()
+    read = plan.executedPlan().collectLeaves().head().metrics().get("numFiles").get().value()
+    written = sum(len(files) for _, _, files in os.walk(f"{store.path}/bands"))
+    assert 0 < read < 0.25 * written / 2  # half of what is there are checksums
+    assert store.sets_of(spark.createDataFrame([], "id long"), 3).count() == 0
+    other = SignatureStore(spark, str(tmp_path), k=4)
+    assert [x["doc_id"] for x in other.admit(frame([(40, base[0])]), 5).collect()] == [40]
+
+
 def test_first_kept_is_lexicographic(spark):
     nodes = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
@@ -388,7 +471,7 @@ def test_ingest_drops_near_copies(spark, tmp_path):
 
     assert ingest([("/a", first), ("/b", first + "!"), ("/c", first), ("/d", second)]) == ["/a", "/d"]
     assert ingest([("/e", "?" + second), ("/f", third), ("/g", third + "!")]) == ["/a", "/d", "/f"]
-    assert spark.read.parquet(f"{tmp_path}/sets").count() == 3
+    assert spark.read.parquet(f"{tmp_path}/signatures/*/sets").count() == 3
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
@@ -404,9 +487,9 @@ def test_route_isolates_failures(spark, tmp_path):
     spark.createDataFrame([(1, 0.5), (2, 0.99)], "id int, score double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id int, score double").parquet(str(tmp_path / "in"))
 
-    def bad(_):
+    def bad(_, nth):
         raise RuntimeError("sink is down")
 
-    errors = jobs.route(stream, {"bad": bad, "good": lambda b: b.write.mode("append").parquet(str(tmp_path / "good"))}, str(tmp_path / "r"))
+    errors = jobs.route(stream, {"bad": bad, "good": lambda b, nth: b.write.mode("overwrite").parquet(str(tmp_path / "good" / f"batch={nth}"))}, str(tmp_path / "r"))
     assert list(errors) == ["bad"] and spark.read.parquet(str(tmp_path / "good")).count() == 2
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "r" / "near_misses")).collect()] == [1]
