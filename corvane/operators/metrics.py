@@ -11,10 +11,18 @@ from corvane.functions import text as T
 REFUSALS = ("cannot", "doesn't exist", "no such", "not a real", "won't", "not released")
 
 
+def exact_mean(value: str | Column, digits: int = 6) -> Column:
+    """The mean of numbers with up to nine decimal places, rounded half up once; sums are whole numbers, so it doesn't depend on the order of rows."""
+    x = F.col(value) if isinstance(value, str) else value
+    total, n = F.sum(F.round(x * 1e9).cast("decimal(28,0)")), F.count(x).cast("decimal(12,0)")
+    units = F.call_function("div", 2 * 10**digits * total + 10**9 * n, 2 * 10**9 * n)
+    return units / F.lit(float(10**digits))
+
+
 def telemetry_stats(ev: DataFrame) -> DataFrame:
     """Events, mean confidence and latencies, good and bad feedback of a log (confidence, retrieval_ms, generation_ms, feedback)."""
     return ev.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"), F.avg("retrieval_ms").alias("retrieval_ms"), F.avg("generation_ms").alias("generation_ms"),
+        F.count(F.lit(1)).alias("n"), exact_mean("confidence").alias("confidence"), F.avg("retrieval_ms").alias("retrieval_ms"), F.avg("generation_ms").alias("generation_ms"),
         F.count_if(F.col("feedback") == "good").alias("good"), F.count_if(F.col("feedback") == "bad").alias("bad"),
     )
 
@@ -35,7 +43,7 @@ def readiness(stats: DataFrame) -> DataFrame:
 def eval_summary(results: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per category and in all (category null): results, pass rate, mean, least and best score, mean latency over positive ones."""
     return results.rollup("category").agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col("score") >= threshold).cast("double")).alias("pass_rate"), F.avg("score").alias("mean"),
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("score") >= threshold).cast("double")).alias("pass_rate"), exact_mean("score").alias("mean"),
         F.min("score").alias("low"), F.max("score").alias("high"), F.avg(F.when(F.col("latency") > 0, F.col("latency"))).alias("latency"),
     )
 
@@ -119,20 +127,27 @@ def study_list(results: DataFrame, threshold: float, n: int, fallback: int = 3)
 
 
 def recurring(mem: DataFrame, n: int) -> DataFrame:
-    """Queries (first 100 signs, lower case) asked in n sessions at least, with first and last time and up to five entries."""
-    key = F.lower(F.substring("query", 1, 100))
-    ids = F.array_join(F.slice(F.array_sort(F.collect_list("entry_id")), 1, 5), ",")
-    return mem.groupBy(key.alias("pattern")).agg(F.count_distinct("session_id").alias("sessions"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), ids.alias("evidence")).where(F.col("sessions") >= n)
+    """Queries (first 100 signs, lower case) asked in n sessions at least, with first and last time and up to five entries.
+
+    Entries are numbered by a partial top-five in each task, so no list of all of them is made.
+    """
+    rows = mem.withColumn("pattern", F.lower(F.substring("query", 1, 100)))
+    order = Window.partitionBy("pattern").orderBy("entry_id")
+    first = rows.select("pattern", "entry_id", F.row_number().over(order).alias("r")).where("r <= 5")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "entry_id"))), lambda x: x["entry_id"]), ",")
+    stats = rows.groupBy("pattern").agg(F.count_distinct("session_id").alias("sessions"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).where(F.col("sessions") >= n)
+    evidence = first.groupBy("pattern").agg(ids.alias("evidence")).withColumnRenamed("pattern", "_p")
+    return stats.join(evidence, F.col("pattern").eqNullSafe(F.col("_p"))).drop("_p")
 
 
 def quality_patterns(mem: DataFrame, n: int) -> DataFrame:
     """Tag groups of n entries at least: mean quality, success from 0.7."""
-    return mem.groupBy("tags").agg(F.count(F.lit(1)).alias("entries"), F.avg("quality").alias("quality")).where(F.col("entries") >= n).withColumn("kind", F.when(F.col("quality") >= 0.7, "success").otherwise("failure"))
+    return mem.groupBy("tags").agg(F.count(F.lit(1)).alias("entries"), exact_mean("quality").alias("quality")).where(F.col("entries") >= n).withColumn("kind", F.when(F.col("quality") >= 0.7, "success").otherwise("failure"))
 
 
 def session_summary(mem: DataFrame, top: int = 10) -> DataFrame:
     """Entries, mean quality, first and last time and the most frequent tags of each session."""
-    base = mem.groupBy("session_id").agg(F.count(F.lit(1)).alias("entries"), F.avg("quality").alias("quality"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    base = mem.groupBy("session_id").agg(F.count(F.lit(1)).alias("entries"), exact_mean("quality").alias("quality"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     tags = mem.groupBy("session_id", "tag").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("session_id").orderBy(F.col("n").desc(), "tag")
     best = tags.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
@@ -149,12 +164,12 @@ def daily_stats(ev: DataFrame) -> DataFrame:
 
 def memory_stats(mem: DataFrame) -> DataFrame:
     """Entries, sessions and mean quality by type, and of all (type null)."""
-    return mem.rollup("kind").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("session_id").alias("sessions"), F.avg("quality").alias("quality"))
+    return mem.rollup("kind").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("session_id").alias("sessions"), exact_mean("quality").alias("quality"))
 
 
 def weakness(outcomes: DataFrame, challenges: DataFrame) -> DataFrame:
     """Failures by game and mode with their mean confidence."""
-    return outcomes.where(~F.col("success")).join(challenges, "challenge_id").groupBy("game", "mode").agg(F.count(F.lit(1)).alias("failures"), F.avg("confidence").alias("confidence"))
+    return outcomes.where(~F.col("success")).join(challenges, "challenge_id").groupBy("game", "mode").agg(F.count(F.lit(1)).alias("failures"), exact_mean("confidence").alias("confidence"))
 
 
 def arms(outcomes: DataFrame) -> DataFrame:

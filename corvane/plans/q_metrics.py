@@ -25,11 +25,16 @@ def _ev(spark, d):
     )
 
 
+def mean_sql(value: str, scale: int = 100, digits: int = 6) -> str:
+    """The mean of numbers that are whole multiples of 1/scale, rounded half up by whole numbers only."""
+    return f"(2 * {10**digits // scale} * CAST(sum(CAST(round({value} * {scale}) AS BIGINT)) AS BIGINT) + count({value})) // (2 * count({value})) / {10**digits}.0"
+
+
 EV = """ev AS (SELECT event_id AS id, ts, user_id, event_type AS category, value, (event_id % 101) / 100.0 AS score, value * 2 AS latency,
  event_id % 3 = 0 AS success, CAST(user_id AS VARCHAR) AS session_id, event_id % 7 AS tokens FROM events)"""
 
 
-@query("a01_telemetry_stats", f"WITH {EV} SELECT count(*) AS n, round(avg(score), 6) AS confidence, round(avg(value), 6) AS retrieval_ms, round(avg(latency), 6) AS generation_ms, count(*) FILTER (id % 5 = 0) AS good, count(*) FILTER (id % 5 = 1) AS bad FROM ev")
+@query("a01_telemetry_stats", f"WITH {EV} SELECT count(*) AS n, {mean_sql('score')} AS confidence, round(avg(value), 6) AS retrieval_ms, round(avg(latency), 6) AS generation_ms, count(*) FILTER (id % 5 = 0) AS good, count(*) FILTER (id % 5 = 1) AS bad FROM ev")
 def _(spark, d):
     ev = _ev(spark, d).selectExpr("score AS confidence", "value AS retrieval_ms", "latency AS generation_ms", "CASE id % 5 WHEN 0 THEN 'good' WHEN 1 THEN 'bad' END AS feedback")
     return r6(M.telemetry_stats(ev), "confidence", "retrieval_ms", "generation_ms")
@@ -60,7 +65,7 @@ def _(spark, d):
     return table(spark, d, "documents").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.ceil(F.length("text") / F.lit(1000.0))).alias("chunks"))
 
 
-@query("a06_eval_summary", f"WITH {EV} SELECT category, count(*) AS n, round(avg(CAST(score >= 0.5 AS INTEGER)), 6) AS pass_rate, round(avg(score), 6) AS mean, min(score) AS low, max(score) AS high, round(avg(CASE WHEN latency > 0 THEN latency END), 6) AS latency FROM ev GROUP BY ROLLUP (category)")
+@query("a06_eval_summary", f"WITH {EV} SELECT category, count(*) AS n, round(avg(CAST(score >= 0.5 AS INTEGER)), 6) AS pass_rate, {mean_sql('score')} AS mean, min(score) AS low, max(score) AS high, round(avg(CASE WHEN latency > 0 THEN latency END), 6) AS latency FROM ev GROUP BY ROLLUP (category)")
 def _(spark, d):
     return r6(M.eval_summary(_ev(spark, d)), "pass_rate", "mean", "latency")
 
@@ -162,7 +167,7 @@ def _(spark, d):
     return M.recurring(mem, 3)
 
 
-@query("a14_quality_patterns", f"WITH {EV} SELECT tags, entries, round(q, 6) AS quality, CASE WHEN q >= 0.7 THEN 'success' ELSE 'failure' END AS kind FROM (SELECT category || ',' || id % 4 AS tags, count(*) AS entries, avg(CASE WHEN id % 4 = 0 THEN 0.5 + score / 2 ELSE score END) AS q FROM ev GROUP BY 1) WHERE entries >= 3")
+@query("a14_quality_patterns", f"WITH {EV} SELECT tags, entries, q AS quality, CASE WHEN q >= 0.7 THEN 'success' ELSE 'failure' END AS kind FROM (SELECT category || ',' || id % 4 AS tags, count(*) AS entries, {mean_sql('(CASE WHEN id % 4 = 0 THEN 0.5 + score / 2 ELSE score END)', 1000)} AS q FROM ev GROUP BY 1) WHERE entries >= 3")
 def _(spark, d):
     mem = _ev(spark, d).selectExpr("concat(category, ',', id % 4) AS tags", "CASE WHEN id % 4 = 0 THEN 0.5 + score / 2 ELSE score END AS quality")
     return r6(M.quality_patterns(mem, 3), "quality")
@@ -171,7 +176,7 @@ def _(spark, d):
 @query(
     "a15_session_summary",
     f"""WITH {EV}, t AS (SELECT session_id, category || id % 5 AS tag, count(*) AS n FROM ev GROUP BY 1, 2), b AS (SELECT session_id, string_agg(tag, ',' ORDER BY r) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, tag) AS r FROM t) WHERE r <= 10 GROUP BY 1)
-    SELECT session_id, count(*) AS entries, round(avg(score), 6) AS quality, min(ts) AS first_ts, max(ts) AS last_ts, any_value(tags) AS tags FROM ev JOIN b USING (session_id) GROUP BY 1""",
+    SELECT session_id, count(*) AS entries, {mean_sql('score')} AS quality, min(ts) AS first_ts, max(ts) AS last_ts, any_value(tags) AS tags FROM ev JOIN b USING (session_id) GROUP BY 1""",
 )
 def _(spark, d):
     return r6(M.session_summary(_ev(spark, d).withColumn("quality", F.col("score")).withColumn("tag", F.expr("concat(category, id % 5)"))), "quality")
@@ -186,12 +191,12 @@ def _(spark, d):
     return r6(M.daily_stats(ev), "success_rate").withColumn("day", F.col("day").cast("string"))
 
 
-@query("a17_memory_stats", f"WITH {EV} SELECT category AS kind, count(*) AS entries, count(DISTINCT session_id) AS sessions, round(avg(score), 6) AS quality FROM ev GROUP BY ROLLUP (category)")
+@query("a17_memory_stats", f"WITH {EV} SELECT category AS kind, count(*) AS entries, count(DISTINCT session_id) AS sessions, {mean_sql('score')} AS quality FROM ev GROUP BY ROLLUP (category)")
 def _(spark, d):
     return r6(M.memory_stats(_ev(spark, d).withColumn("kind", F.col("category")).withColumn("quality", F.col("score"))), "quality")
 
 
-@query("a18_weakness", f"WITH {EV} SELECT c_mktsegment AS game, CAST(c_nationkey % 3 AS INTEGER) AS mode, count(*) AS failures, round(avg(score), 6) AS confidence FROM ev JOIN customer ON c_custkey = user_id WHERE NOT success GROUP BY 1, 2")
+@query("a18_weakness", f"WITH {EV} SELECT c_mktsegment AS game, CAST(c_nationkey % 3 AS INTEGER) AS mode, count(*) AS failures, {mean_sql('score')} AS confidence FROM ev JOIN customer ON c_custkey = user_id WHERE NOT success GROUP BY 1, 2")
 def _(spark, d):
     ch = table(spark, d, "customer").selectExpr("c_custkey AS challenge_id", "c_mktsegment AS game", "cast(c_nationkey % 3 as int) AS mode")
     return r6(M.weakness(_ev(spark, d).withColumnsRenamed({"user_id": "challenge_id", "score": "confidence"}), ch), "confidence")
