@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.plans import sampling
 from corvane.plans.scratch import cut
 
 #: Query vectors that are sent to all tasks at once; more of them take more passes.
@@ -174,26 +173,6 @@ def _products(shared, k: int) -> Callable:
     return run
 
 
-def knn_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int = 32, probes: int = 8, seed: int = 1) -> DataFrame:
-    """Approximate inner-product search: vectors fall into k-means cells, a query looks into its ``probes`` nearest.
-
-    The centres, ``cells`` of them, are learned on at most 20 000 vectors; all vectors are placed.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    sample = vectors.where(sampling.chosen(sampling.threshold(20_000, vectors.count()), "chunk_id", seed=seed))
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="f").fit(sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("f")))
-    centres = np.stack(model.clusterCenters())
-    flat = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    ranked = lambda v: F.transform(F.slice(F.sort_array(F.transform(flat, lambda c, i: F.struct((-2 * dot(v, c) + dot(c, c)).alias("d"), i.alias("i")))), 1, probes), lambda s: s["i"])
-    v = F.col("embedding").cast("array<double>")
-    placed = vectors.select("chunk_id", v.alias("x"), F.element_at(ranked(v), 1).alias("cell"))
-    probed = queries.select("query_id", v.alias("q"), F.explode(ranked(v)).alias("cell"))
-    return top_hits(probed.join(placed, "cell").select("query_id", "chunk_id", dot(F.col("q"), F.col("x")).alias("score")), k)
-
-
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(query_id, recall): the share of exact hits that were found."""
     hit = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")

@@ -9,6 +9,7 @@ from corvane.operators import chunk as C
 from corvane.operators import dedup as D
 from corvane.operators import evidence as E
 from corvane.operators import graph as G
+from corvane.operators.cells import block_pairs
 from corvane.plans.catalog import query, table
 from corvane.plans.q_evidence import PAPERS, _papers
 from corvane.plans.q_text import strings
@@ -97,14 +98,19 @@ def _(spark, d):
     return D.dedup_stats(docs, D.dedup_near(docs, 0.8, mode="component"), "source").withColumn("share", F.round("share", 6))
 
 
-@query("d09_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.8")
+# The table has no copies, so the threshold is one that some of its pairs reach.
+CLOSE = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.4"
+
+
+@query("d09_cosine_pairs", CLOSE)
 def _(spark, d):
-    return D.cosine_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.8)
+    return block_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.4)
 
 
-@query("d09_dedup_cosine")
+@query("d09_dedup_cosine", f"""WITH RECURSIVE np AS ({CLOSE}), rp AS (SELECT vec_id AS rep FROM embeddings), un AS (SELECT vec_id AS doc_id, vec_id AS rep, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings), {FIRST}
+ SELECT vec_id AS id, vec_id IN (SELECT doc_id FROM kp) AS kept FROM embeddings""")
 def _(spark, d):
-    return D.dedup_cosine(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.95)
+    return D.dedup_cosine(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.4)
 
 
 @query("d10_dedup_records", f"WITH {PAPERS} SELECT min(paper_id) AS paper_id FROM pp GROUP BY title, substr(abstract, 1, 200)")

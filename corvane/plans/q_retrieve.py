@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import retrieve as R
+from corvane.operators.cells import knn_cells
 from corvane.plans.catalog import query, table
 from corvane.plans.q_text import any_hit, clamp, strings, terms
 
@@ -91,7 +92,7 @@ def _(spark, d):
 @query("r06_knn_cells")
 def _(spark, d):
     q, v = _vectors(spark, d)
-    return R.recall(R.knn_cells(q, v, 10, cells=16, probes=8), R.knn(q, v, 10))
+    return R.recall(knn_cells(q, v, 10), R.knn(q, v, 10))
 
 
 LISTS = f"""ls AS (SELECT query_id, chunk_id, score, 'keyword' AS list FROM {top("s", 30)}
