@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.plans.ranking import running
 
 # Fixed values of the canary score.
 REFUSALS = ("cannot", "doesn't exist", "no such", "not a real", "won't", "not released")
@@ -242,14 +243,31 @@ def surrogate(df: DataFrame, features: list[str], label: str, penalty: float = 0
 
 def qd_archive(solutions: DataFrame) -> DataFrame:
     """Per niche: the fittest configuration, visits, and how often the best got better in the order of (ts, id)."""
-    best = F.max("fitness").over(Window.partitionBy("niche").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1))
-    s = solutions.withColumn("_before", best)
+    s = running(solutions, [F.col("ts"), F.col("id")], ["niche"], {"_before": ("max", "fitness")}, before=True)
     return s.groupBy("niche").agg(
         F.max_by("config", F.struct("fitness", -F.col("id"))).alias("config"), F.max("fitness").alias("fitness"), F.count(F.lit(1)).alias("visits"),
         F.count_if(F.col("_before").isNull() | (F.col("fitness") > F.col("_before"))).alias("improvements"),
     )
 
 
+def qd_coverage(archive: DataFrame, niches: int) -> DataFrame:
+    """One row: niches filled and their share of all, mean and best fitness, visits and improvements."""
+    return archive.agg(
+        F.count(F.lit(1)).alias("filled"), F.lit(niches).alias("niches"), F.round(100 * F.count(F.lit(1)) / F.lit(niches), 1).alias("coverage_pct"),
+        exact_mean("fitness", 3).alias("mean_fitness"), F.max("fitness").alias("best_fitness"), F.sum("visits").alias("visits"), F.sum("improvements").alias("improvements"),
+    )
+
+
+def qd_top(archive: DataFrame, n: int = 10) -> DataFrame:
+    """The n fittest niches of an archive."""
+    return archive.orderBy(F.col("fitness").desc(), "niche").limit(n)
+
+
+def qd_underexplored(archive: DataFrame, visits: int = 3) -> DataFrame:
+    """Niches with fewer visits than that."""
+    return archive.where(F.col("visits") < visits).select("niche", "visits")
+
+
 def learning_value(answers: DataFrame) -> DataFrame:
     """Per query: disagreement (entropy of answers over log2 of how many differ), frontier of confidence, and the blend with uncertainty."""
     n = answers.groupBy("query_id", "answer").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("c"))

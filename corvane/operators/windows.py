@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.plans.ranking import global_rank
+from corvane.plans.ranking import global_rank, running
 
 
 def latest(df: DataFrame, key: list[str], ts: str, tie: str) -> DataFrame:
@@ -29,8 +29,8 @@ def evict(df: DataFrame, n: int) -> DataFrame:
 
 def ratchet(scores: DataFrame, by: str, margin: float) -> DataFrame:
     """Running best before each run, the threshold that the best sets, and whether a score falls below it."""
-    before = F.max("score").over(Window.partitionBy(by).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1))
-    return scores.withColumn("baseline", before).withColumn("threshold", F.greatest(F.lit(0.0), F.col("baseline") - margin)).withColumn("regressed", F.coalesce(F.col("score") < F.col("threshold"), F.lit(False)))
+    seen = running(scores, [F.col("ts"), F.col("id")], [by], {"baseline": ("max", "score")}, before=True)
+    return seen.withColumn("threshold", F.greatest(F.lit(0.0), F.col("baseline") - margin)).withColumn("regressed", F.coalesce(F.col("score") < F.col("threshold"), F.lit(False)))
 
 
 def accelerating(rounds: DataFrame, by: str) -> DataFrame:
@@ -74,8 +74,13 @@ def ladder(rounds: DataFrame, by: str, start: int = 1, stretch: int = STRETCH) -
     return chain.select(by, end.alias("w")).select(by, "w.level", "w.peak")
 
 
-def running_mean(df: DataFrame, by: str, value: str) -> DataFrame:
-    return df.withColumn("running_mean", F.avg(value).over(Window.partitionBy(by).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)))
+def running_mean(df: DataFrame, by: str, value: str, digits: int = 6) -> DataFrame:
+    """The mean of each key's values so far, rounded half up once; sums are whole units of 10^-9, so they are exact."""
+    units = df.withColumn("_u", F.round(F.col(value) * 1e9).cast("decimal(28,0)"))
+    seen = running(units, [F.col("ts"), F.col("id")], [by], {"_s": ("sum", "_u"), "_n": ("count", "_u")})
+    n = F.col("_n").cast("decimal(12,0)")
+    mean = F.call_function("div", 2 * 10**digits * F.col("_s") + 10**9 * n, 2 * 10**9 * n) / F.lit(float(10**digits))
+    return seen.withColumn("running_mean", F.when(n > 0, mean)).drop("_u", "_s", "_n")
 
 
 def ema(df: DataFrame, by: str, value: str, rate: float = 0.2, start: float = 0.5) -> DataFrame:

@@ -25,9 +25,10 @@ def _ev(spark, d):
     )
 
 
-def mean_sql(value: str, scale: int = 100, digits: int = 6) -> str:
+def mean_sql(value: str, scale: int = 100, digits: int = 6, over: str = "") -> str:
     """The mean of numbers that are whole multiples of 1/scale, rounded half up by whole numbers only."""
-    return f"(2 * {10**digits // scale} * CAST(sum(CAST(round({value} * {scale}) AS BIGINT)) AS BIGINT) + count({value})) // (2 * count({value})) / {10**digits}.0"
+    n = f"count({value}) {over}"
+    return f"(2 * {10**digits} * CAST(sum(CAST(round({value} * {scale}) AS BIGINT)) {over} AS BIGINT) + {scale} * {n}) // (2 * {scale} * {n}) / {10**digits}.0"
 
 
 EV = """ev AS (SELECT event_id AS id, ts, user_id, event_type AS category, value, (event_id % 101) / 100.0 AS score, value * 2 AS latency,
@@ -272,6 +273,29 @@ def _(spark, d):
     return M.qd_archive(_ev(spark, d).selectExpr("concat('n', user_id % 30) AS niche", "id", "ts", "score AS fitness", "concat('c', id) AS config"))
 
 
+QD = f"""{EV}, s AS (SELECT 'n' || user_id AS niche, id, ts, score AS fitness, 'c' || id AS config FROM ev), b AS (SELECT *, max(fitness) OVER (PARTITION BY niche ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+ ar AS (SELECT niche, first(config ORDER BY fitness DESC, id) AS config, max(fitness) AS fitness, count(*) AS visits, count(*) FILTER (before IS NULL OR fitness > before) AS improvements FROM b GROUP BY 1)"""
+
+
+def _archive(spark, d):
+    return M.qd_archive(_ev(spark, d).selectExpr("concat('n', user_id) AS niche", "id", "ts", "score AS fitness", "concat('c', id) AS config"))
+
+
+@query("a26_qd_coverage", f"WITH {QD} SELECT count(*) AS filled, 1000 AS niches, round(100.0 * count(*) / 1000, 1) AS coverage_pct, {mean_sql('fitness', 100, 3)} AS mean_fitness, max(fitness) AS best_fitness, CAST(sum(visits) AS BIGINT) AS visits, CAST(sum(improvements) AS BIGINT) AS improvements FROM ar")
+def _(spark, d):
+    return M.qd_coverage(_archive(spark, d), 1000)
+
+
+@query("a26_qd_top", f"WITH {QD} SELECT * FROM ar ORDER BY fitness DESC, niche LIMIT 10")
+def _(spark, d):
+    return M.qd_top(_archive(spark, d))
+
+
+@query("a26_qd_underexplored", f"WITH {QD} SELECT niche, visits FROM ar WHERE visits < 60")
+def _(spark, d):
+    return M.qd_underexplored(_archive(spark, d), 60)
+
+
 @query(
     "a27_learning_value",
     f"""WITH {EV}, n AS (SELECT user_id AS query_id, id % 4 AS answer, count(*) AS n, sum(score) AS c FROM ev GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY query_id) AS total FROM n),

@@ -8,7 +8,7 @@ from corvane.functions.records import fields_to_text
 from corvane.operators import joins as J
 from corvane.operators import windows as W
 from corvane.plans.catalog import query, table
-from corvane.plans.q_metrics import EV, _ev, r6
+from corvane.plans.q_metrics import EV, _ev, mean_sql, r6
 
 
 @query("j01_join", "SELECT n_name, c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
@@ -130,7 +130,7 @@ def _(spark, d):
     return W.ladder(_ev(spark, d), "user_id")
 
 
-@query("w08_running_mean", f"WITH {EV} SELECT id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM ev")
+@query("w08_running_mean", f"WITH {EV} SELECT id, {mean_sql('value', over='OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING)')} AS running_mean FROM ev")
 def _(spark, d):
     return r6(W.running_mean(_ev(spark, d), "user_id", "value").select("id", "running_mean"), "running_mean")
 
