@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.joins import containing, met_pairs
+from corvane.plans.ranking import global_rank
 from corvane.plans.scratch import cut
 
 
@@ -48,16 +50,22 @@ def _mark(pairs: DataFrame) -> tuple:
 NOT_CALLED = ("if", "for", "while", "return", "print", "len", "range", "int", "str", "float", "list", "dict", "set", "tuple", "super", "isinstance", "def", "class")
 
 
+#: What may follow a definition's head: its docstring, of which DOC signs are kept.
+_DOC = r'(?=[^\n]*\n\s*"""((?s:.{0,2000}?))"""|)'
+DOC = 200
+
+
 def entities(chunks: DataFrame) -> DataFrame:
-    """(id, name, kind, file): functions, classes and imported names of chunks (file, content); an id names its file."""
-    kinds = (("function", r"(?m)^\s*(?:async\s+)?def\s+(\w+)"), ("class", r"(?m)^\s*class\s+(\w+)"), ("import", r"(?m)^\s*from\s+[\w.]+\s+import\s+(\w+)"))
+    """(id, name, kind, file, doc): functions, classes and imported names of chunks (file, content); an id names its file, ``doc`` is the start of the docstring, empty where there is none."""
+    kinds = (("function", r"(?m)^\s*(?:async\s+)?def\s+(\w+)" + _DOC), ("class", r"(?m)^\s*class\s+(\w+)" + _DOC), ("import", r"(?m)^\s*from\s+[\w.]+\s+import\s+(\w+)()"))
     found = F.concat(*[_named(k, p) for k, p in kinds])
     rows = chunks.select("file", F.explode(F.array_distinct(found)).alias("e"))
-    return rows.select(F.concat_ws("::", "file", "e.name").alias("id"), "e.name", "e.kind", "file").dropDuplicates(["id", "kind"])
+    return rows.groupBy(F.concat_ws("::", "file", "e.name").alias("id"), "e.name", "e.kind", "file").agg(F.max("e.doc").alias("doc"))
 
 
 def _named(kind: str, pattern: str):
-    return F.transform(F.regexp_extract_all("content", F.lit(pattern), 1), lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
+    names, docs = (F.regexp_extract_all("content", F.lit(pattern), i) for i in (1, 2))
+    return F.zip_with(names, docs, lambda n, d: F.struct(n.alias("name"), F.lit(kind).alias("kind"), F.substring(F.trim(F.coalesce(d, F.lit(""))), 1, DOC).alias("doc")))
 
 
 def relations(chunks: DataFrame) -> DataFrame:
@@ -96,31 +104,43 @@ def neighbors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def ppr(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
     """(query_id, node, score): personalised PageRank of many queries at once over undirected edges.
 
-    Seeds (query_id, node) share the teleport; what nodes without neighbours hold is lost. Rounds are
-    written to the shared folder every few rounds.
+    Seeds (query_id, node) share the teleport; what nodes without neighbours hold is lost. Edges are
+    written once, then laid out by source once and kept so in memory and on disk of the executors, so
+    a round shuffles scores only; a lost executor's part is laid out again from the written table.
+    Scores are written to the shared folder every few rounds.
     """
+    spark = edges.sparkSession
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
     degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    links = cut(both.join(degree, "src"), "links")
+    links = cut(both.join(degree, "src"), "links").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist()
     start = seeds.select("query_id", "node").distinct()
     share = start.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     teleport = cut(start.join(share, "query_id").select("query_id", "node", (1 / F.col("n")).alias("t")), "teleport")
     scores = teleport.select("query_id", "node", F.col("t").alias("score"))
+    jump = teleport.select("query_id", "node", (F.col("t") * (1 - damping)).alias("score"))
     for i in range(1, rounds + 1):
         flow = scores.join(links, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"), (F.col("score") * damping / F.col("deg")).alias("score"))
-        jump = teleport.select("query_id", "node", (F.col("t") * (1 - damping)).alias("score"))
         scores = flow.unionByName(jump).groupBy("query_id", "node").agg(F.sum("score").alias("score"))
-        if i % every == 0:
+        if i % every == 0 or i == rounds:
             scores = cut(scores, "scores")
+    links.unpersist()
     return scores
 
 
 def seeds(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query_id, node): nodes whose name holds a word of the query of three signs at least, as a literal."""
-    words = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"(\w{3,})"), 1))).alias("w"))
-    names = nodes.select("id", F.lower("name").alias("n"))
-    grams = names.select("id", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 2, F.lit(1))), lambda i: F.substr("n", i, F.lit(3))))).alias("g"))
-    return words.withColumn("g", F.substring("w", 1, 3)).join(grams, "g").where(F.col("n").contains(F.col("w"))).select("query_id", F.col("id").alias("node")).distinct()
+    """(query_id, node): nodes whose name, or doc if they have one, holds a word of the query of three signs at least, as a literal."""
+    words = _words(queries)
+    return words.join(_holding(words, nodes), "w").select("query_id", F.col("id").alias("node")).distinct()
+
+
+def _words(queries: DataFrame) -> DataFrame:
+    return cut(queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"(\w{3,})"), 1))).alias("w")), "words")
+
+
+def _holding(words: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, w): which of the different words each node holds, found by automata in one pass over the nodes."""
+    text = F.lower(F.concat_ws("\n", "name", *(["doc"] if "doc" in nodes.columns else [])))
+    return containing(nodes.select("id", text.alias("text")), words.select("w", F.col("w").alias("p")).distinct(), "id", "w", "text", "p")
 
 
 def callers(edges: DataFrame, name: str) -> DataFrame:
@@ -138,11 +158,27 @@ def blast_radius(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def file_blast_radius(edges: DataFrame, nodes: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """(file, depth, nodes): files whose nodes (id, file) depend on the start files (file) within ``depth`` steps, with how many nodes each has."""
+    place = nodes.select("id", "file")
+    of = lambda end, name: place.select(F.col("id").alias(end), F.col("file").alias(name))
+    files = edges.select("src", "dst").join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    reached = blast_radius(cut(files, "files"), start.select(F.col("file").alias("node")), depth).where("depth > 0")
+    counts = nodes.groupBy("file").agg(F.count(F.lit(1)).alias("nodes"))
+    return reached.join(counts, F.col("node") == F.col("file")).select("file", "depth", "nodes")
+
+
 def structural_context(queries: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The first matching node of each file, the first n files of a query."""
-    hits = seeds(queries, nodes).join(nodes, F.col("node") == F.col("id")).groupBy("query_id", "file").agg(F.min("node").alias("node"))
-    order = Window.partitionBy("query_id").orderBy("file")
-    return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    """The first matching node of each file, by name or doc, the first n files of a query.
+
+    A word's first n files are enough: of the first n files of a query, each is among the first n of
+    every word that it holds. So hits are cut down word by word before queries come in.
+    """
+    words = _words(queries)
+    hits = _holding(words, nodes).join(nodes.select("id", "file"), "id").groupBy("w", "file").agg(F.min("id").alias("node"))
+    few = hits.withColumn("place", F.row_number().over(Window.partitionBy("w").orderBy("file"))).where(F.col("place") <= n).drop("place")
+    each = words.join(few, "w").groupBy("query_id", "file").agg(F.min("node").alias("node"))
+    return each.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("file"))).where(F.col("place") <= n)
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -153,14 +189,27 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def see_also(keywords: DataFrame, least: int = 2, n: int = 5) -> DataFrame:
-    """(a, b, common): of articles (article, keyword) the n with most keywords in common, ``least`` or more."""
-    k = keywords.distinct()
-    pairs = k.withColumnRenamed("article", "a").join(k.withColumnRenamed("article", "b"), "keyword").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= least)
+    """(a, b, common): of articles (article, keyword) the n with most keywords in common, ``least`` or more.
+
+    Keywords are numbered by how rare they are. Two articles with ``least`` in common share one that
+    isn't among the last ``least`` - 1 of either, so only the others are keys; a pair counts at the
+    rarest keyword that it shares, with all its common ones counted there, so pairs are neither
+    grouped nor made distinct. Each task keeps the best n of an article before anything is shuffled.
+    """
+    k = cut(keywords.distinct(), "keywords")
+    rare = k.groupBy("keyword").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = k.join(global_rank(rare, [F.col("df"), F.col("keyword")], "nth").select("keyword", "nth"), "keyword")
+    sets = ranked.groupBy(F.col("article").alias("id")).agg(F.sort_array(F.collect_list("nth")).alias("set")).where(F.size("set") >= least)
+    keyed = cut(sets.withColumn("key", F.explode(F.slice("set", 1, F.size("set") - (least - 1)))), "prefixes")
+    both = F.array_intersect("x.set", "y.set")
+    met = met_pairs(keyed, ["key"]).where((F.get(both, F.lit(0)) == F.col("key")) & (F.size(both) >= least)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.size(both).cast("long").alias("common"))
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    pairs = met.select("common", ends.alias("e")).select("e.a", "e.b", "common")
     order = Window.partitionBy("a").orderBy(F.col("common").desc(), "b")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
 def related(items: DataFrame) -> DataFrame:
-    """(a, b, common), a < b: sites (site, file) that share files."""
-    s = items.distinct()
-    return s.withColumnRenamed("site", "a").join(s.withColumnRenamed("site", "b"), "file").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    """(a, b, common), a < b: sites (site, file) that share files; a file of many sites is dealt to many tasks."""
+    met = met_pairs(items.distinct().select("file", F.col("site").alias("id")), ["file"])
+    return met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("common"))

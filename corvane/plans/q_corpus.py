@@ -157,7 +157,7 @@ def _(spark, d):
     return C.parse_entries(docs).select("doc_id", "nth", "title", F.try_element_at("props", F.lit("lang")).alias("lang"), F.try_element_at("props", F.lit("src")).alias("src"))
 
 
-_CODE_SPARK = "concat('import os', '\n', 'class A', user_id % 5, '(Base', user_id % 3, '):', '\n', '    def run_', user_id % 7, '(self):', '\n', '        step_', event_id % 4, '(1)', '\n', 'def step_', event_id % 4, '():', '\n', '    return helper(2)', '\n', 'from pkg import thing', user_id % 2, '\n')"
+_CODE_SPARK = '''concat('import os', '\n', 'class A', user_id % 5, '(Base', user_id % 3, '):', '\n', '    def run_', user_id % 7, '(self):', '\n', '        """Runs step ', event_id % 4, ' of the file."""', '\n', '        step_', event_id % 4, '(1)', '\n', 'def step_', event_id % 4, '():', '\n', '    return helper(2)', '\n', 'from pkg import thing', user_id % 2, '\n')'''
 
 
 def _code(spark, d):
@@ -176,14 +176,20 @@ def _(spark, d):
     return C.parse_sections(docs, ["Why"]).select("doc_id", "nth", "title", "why", "links")
 
 
-@query("c08_pack_batches")
+# Where a batch ends by where it begins, then a walk from batch to batch.
+PACK = """t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, tk, sum(tk) OVER (ORDER BY doc_id) AS p FROM (SELECT doc_id, greatest(1, length(text) // 4) AS tk FROM documents)),
+ en AS (SELECT x.r, least((SELECT count(*) FROM t), greatest(x.r + 8, least(x.r + 32, (SELECT count(*) FROM t y WHERE y.p <= 2000 + x.p - x.tk)))) AS e FROM t x),
+ g AS (SELECT CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS b UNION ALL SELECT g.batch + 1, CAST(e AS BIGINT) FROM g JOIN en ON en.r = g.b WHERE e < (SELECT count(*) FROM t))"""
+
+
+@query("c08_pack_batches", f"WITH RECURSIVE {PACK} SELECT doc_id, batch FROM t ASOF JOIN g ON t.r >= g.b")
 def _(spark, d):
     return C.pack_batches(_docs(spark, d), 2000, 32)
 
 
-@query("g01_entities", "WITH f AS (SELECT DISTINCT 'f' || user_id || '.py' AS file, user_id AS u, event_id % 4 AS s FROM events) SELECT kind, count(*) AS n FROM (SELECT DISTINCT file, 'function' AS kind, 'run_' || u % 7 AS name FROM f UNION SELECT file, 'function', 'step_' || s FROM f UNION SELECT file, 'class', 'A' || u % 5 FROM f UNION SELECT file, 'import', 'thing' || u % 2 FROM f) GROUP BY 1")
+@query("g01_entities", "WITH f AS (SELECT DISTINCT 'f' || user_id || '.py' AS file, user_id AS u, event_id % 4 AS s FROM events) SELECT kind, name, count(*) AS n, max(doc) AS doc FROM (SELECT file, 'function' AS kind, 'run_' || u % 7 AS name, max('Runs step ' || s || ' of the file.') AS doc FROM f GROUP BY 1, 2, 3 UNION SELECT file, 'function', 'step_' || s, '' FROM f UNION SELECT file, 'class', 'A' || u % 5, '' FROM f UNION SELECT file, 'import', 'thing' || u % 2, '' FROM f) GROUP BY 1, 2")
 def _(spark, d):
-    return G.entities(_code(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return G.entities(_code(spark, d)).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("doc"))
 
 
 @query("g02_relations", """WITH f AS (SELECT DISTINCT 'f' || user_id || '.py' AS file, user_id AS u, event_id % 4 AS s FROM events)
@@ -256,10 +262,20 @@ def _(spark, d):
     return G.blast_radius(e, spark.createDataFrame([(7,)], "node long"), 3)
 
 
-@query("g10_structural_context", f"WITH n AS ({_NAMES}), w AS (SELECT p_partkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(p_name), '\\w{{3,}}'))) AS w FROM part), h AS (SELECT query_id, file, min(id) AS node FROM w JOIN n ON contains(lower(name), w) GROUP BY 1, 2) SELECT query_id, file, node, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file) AS place FROM h) WHERE place <= 3")
+@query("g09_file_blast_radius", """WITH RECURSIVE nd AS (SELECT DISTINCT user_id AS id, user_id % 40 AS file FROM events), e AS (SELECT DISTINCT a.file AS src, b.file AS dst FROM events JOIN nd a ON a.id = user_id JOIN nd b ON b.id = event_id % 23 WHERE a.file <> b.file),
+ r AS (SELECT CAST(5 AS BIGINT) AS node, 0 AS depth UNION SELECT e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 2) SELECT node AS file, CAST(min(depth) AS INTEGER) AS depth, (SELECT count(*) FROM nd WHERE nd.file = node) AS nodes FROM r WHERE node <> 5 GROUP BY 1""")
 def _(spark, d):
-    q = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
-    return G.structural_context(q, table(spark, d, "part").selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS file"), 3)
+    e = table(spark, d, "events").selectExpr("user_id AS src", "event_id % 23 AS dst")
+    nodes = table(spark, d, "events").selectExpr("user_id AS id", "user_id % 40 AS file").distinct()
+    return G.file_blast_radius(e, nodes, spark.createDataFrame([(5,)], "file long"), 2)
+
+
+# Brands stand for files, types for docs.
+@query("g10_structural_context", "WITH n AS (SELECT p_partkey AS id, lower(p_name || chr(10) || p_type) AS t, p_brand AS file FROM part), w AS (SELECT p_partkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(p_name || ' ' || split_part(p_type, ' ', 1)), '\\w{3,}'))) AS w FROM part), h AS (SELECT query_id, file, min(id) AS node FROM w JOIN n ON contains(t, w) GROUP BY 1, 2) SELECT query_id, file, node, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file) AS place FROM h) WHERE place <= 3")
+def _(spark, d):
+    part = table(spark, d, "part")
+    q = part.selectExpr("p_partkey AS query_id", "concat(p_name, ' ', split_part(p_type, ' ', 1)) AS query")
+    return G.structural_context(q, part.selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS file", "p_type AS doc"), 3)
 
 
 @query("g11_graph_stats", "SELECT 'node:' || p_brand AS what, count(*) AS n, count(DISTINCT p_type) AS files FROM part GROUP BY 1 UNION ALL SELECT 'edge:' || event_type, count(*), 0 FROM events GROUP BY 1")

@@ -91,7 +91,7 @@ def test_chunk_document_covers(spark):
 
 def test_pack_batches(spark):
     df = spark.createDataFrame([(i, "x" * 400) for i in range(100)], "doc_id long, text string")
-    sizes = [r["count"] for r in C.pack_batches(df, 1000, 16, 4, shards=1).groupBy("batch").count().collect()]
+    sizes = [r["count"] for r in C.pack_batches(df, 1000, 16, 4).groupBy("batch").count().collect()]
     assert sum(sizes) == 100 and max(sizes) <= 16
 
 
@@ -160,7 +160,7 @@ def test_dedup_against_by_brute_force(spark):
 
 @pytest.mark.parametrize("cell", [1024, 2])
 def test_first_and_components_by_brute_force(spark, monkeypatch, cell):
-    monkeypatch.setattr(D._meeting, "__defaults__", (cell,))
+    monkeypatch.setattr(D.met_pairs, "__defaults__", (cell,))
     texts, similar = near_texts()
     like = lambda i, j: similar[min(i, j), max(i, j)] >= 0.8
     kept, part = [], list(range(len(texts)))
@@ -455,7 +455,7 @@ def test_trails_stream_equals_batch(spark, tmp_path):
     rows = [(i % 3, "q", f"2024-01-0{1 + i % 5} 0{i % 9}:00:00", i % 4 != 0) for i in range(40)]
     df = spark.createDataFrame(rows, "chunk_id int, query_type string, t string, success boolean").select("chunk_id", "query_type", F.col("t").cast("timestamp").alias("ts"), "success")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    got = jobs.drain(jobs.stream_trails(jobs.read_table(spark, str(tmp_path / "in"), df.schema)), str(tmp_path / "s"), "update")
+    got = jobs.drain(jobs.stream_trails(jobs.read_table(spark, str(tmp_path / "in"), df.schema)), str(tmp_path / "s"), "update", ("chunk_id", "query_type"))
     get = lambda d: {r["chunk_id"]: round(r["strength"], 9) for r in d.collect()}
     assert get(got) == get(jobs.batch_trails(df))
 
