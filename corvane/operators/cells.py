@@ -101,7 +101,7 @@ class CellIndex:
         Cells of more than ``tile`` vectors are split, and so are the queries that ask for one, so a
         task has at most about ``tile`` of each. Null vectors match nothing.
         """
-        wanted = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").cast("array<double>").alias("v"))
+        wanted = queries.where(F.col("embedding").isNotNull() & F.lit(self.layers.low.size > 0)).select("query_id", F.col("embedding").cast("array<double>").alias("v"))
         asked = cut(self.probed(wanted, probes or max(1, self.size // 10)), "probed")
         strips = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("strips"))
         blocks = self.table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks"))
