@@ -112,7 +112,7 @@ def ppr(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int =
     spark = edges.sparkSession
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
     degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    links = cut(both.join(degree, "src"), "links").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist()
+    links = cut(both.join(degree, "src"), "links").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").sortWithinPartitions("src").persist()
     start = seeds.select("query_id", "node").distinct()
     share = start.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     teleport = cut(start.join(share, "query_id").select("query_id", "node", (1 / F.col("n")).alias("t")), "teleport")
