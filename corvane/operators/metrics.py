@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.plans.ranking import running
+from corvane.plans.ranking import global_rank, running
 
 # Fixed values of the canary score.
 REFUSALS = ("cannot", "doesn't exist", "no such", "not a real", "won't", "not released")
@@ -298,17 +298,27 @@ def themes(docs: DataFrame, n: int, min_len: int = 3) -> DataFrame:
     return grams.groupBy("theme").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "theme").limit(n)
 
 
+def theme_cells(docs: DataFrame, theme_rows: DataFrame) -> DataFrame:
+    """(theme, source, negative, stance) of themes in sources (source, text, negative): the share of a source's texts with the theme that are negative."""
+    have = docs.select("source", "negative", F.explode(F.array_distinct(T.topic_terms(F.col("text")))).alias("theme"))
+    cells = have.join(theme_rows.select("theme"), "theme").groupBy("theme", "source").agg(F.avg(F.col("negative").cast("double")).alias("negative"))
+    return cells.withColumn("stance", F.when(F.col("negative") < 0.1, "supports").when(F.col("negative") > 0.4, "contradicts").otherwise("neutral"))
+
+
 def theme_matrix(docs: DataFrame, theme_rows: DataFrame, share: float = 0.5) -> DataFrame:
-    """Per theme: sources (source, text) that support, contradict, are neutral or silent, with consensus and gap."""
-    negative = F.col("text").rlike("(?i)\\b(not|no|worthless|pathetic|disgusting)\\b")
-    have = docs.select("source", negative.alias("neg"), F.explode(F.array_distinct(T.topic_terms(F.col("text")))).alias("theme"))
-    cells = have.join(theme_rows.select("theme"), "theme").groupBy("theme", "source").agg(F.avg(F.col("neg").cast("double")).alias("neg"))
+    """Per theme: sources (source, text, negative) that support, contradict, are neutral or silent, with consensus and gap. Whether a text is negative is given."""
     sources = docs.agg(F.count_distinct("source").alias("sources"))
-    agg = cells.groupBy("theme").agg(F.count_if(F.col("neg") < 0.1).alias("supports"), F.count_if(F.col("neg") > 0.4).alias("contradicts"), F.count(F.lit(1)).alias("seen"))
+    agg = theme_cells(docs, theme_rows).groupBy("theme").agg(F.count_if(F.col("stance") == "supports").alias("supports"), F.count_if(F.col("stance") == "contradicts").alias("contradicts"), F.count(F.lit(1)).alias("seen"))
     consensus = F.when((F.col("supports") > 0) & (F.col("contradicts") > 0), "contradicted").when(F.col("supports") >= share * F.col("seen"), "strong_agreement").otherwise("mixed")
     return agg.crossJoin(F.broadcast(sources)).select("theme", "supports", "contradicts", (F.col("sources") - F.col("seen")).alias("silent"), consensus.alias("consensus"), (F.col("sources") - F.col("seen") > share * F.col("sources")).alias("gap"))  # sources: one row
 
 
+def theme_wide(docs: DataFrame, theme_rows: DataFrame, sources: list[str]) -> DataFrame:
+    """Per theme a column for each of ``sources`` with its stance, ``silent`` where it has no text with the theme."""
+    wide = theme_cells(docs, theme_rows).groupBy("theme").pivot("source", sources).agg(F.first("stance"))
+    return theme_rows.select("theme").join(wide, "theme", "left").select("theme", *[F.coalesce(F.col(f"`{s}`"), F.lit("silent")).alias(s) for s in sources])
+
+
 def rollup_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("best"))
 
@@ -355,8 +365,18 @@ def staleness(files: DataFrame, roles: DataFrame, now: Column, minutes: int) ->
 
 
 def latency(log: DataFrame, by: str, column: str) -> DataFrame:
-    """Exact percentiles by interpolation."""
-    return log.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile(column, 0.5).alias("p50"), F.percentile(column, 0.95).alias("p95"))
+    """Exact percentiles by interpolation between neighbours. Rows are ranked over the whole table, and of each group four at most are picked."""
+    rows = log.select(by, F.col(column).cast("double").alias("_v")).where("_v IS NOT NULL")
+    ranked = global_rank(rows, [F.col("_v")], "_r", [by])
+    n = ranked.groupBy(F.col(by).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+    at = {name: share * (F.col("n") - 1) for name, share in (("p50", 0.5), ("p95", 0.95))}
+    ends = lambda x: (F.floor(x), F.ceil(x))
+    picked = ranked.join(n, F.col(by).eqNullSafe(F.col("_k")))
+    value = lambda r: F.max(F.when(F.col("_r") == r, F.col("_v")))
+    agg = picked.groupBy(by, "n").agg(*[value(e).alias(f"{name}_{i}") for name, x in at.items() for i, e in enumerate(ends(x))])
+    between = lambda name: F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * (at[name] - F.floor(at[name]))
+    every = log.groupBy(F.col(by).alias("_b")).agg(F.count(F.lit(1)).alias("rows"))
+    return every.join(agg, F.col("_b").eqNullSafe(F.col(by)), "left").select(F.col("_b").alias(by), F.col("rows").alias("n"), *[between(name).alias(name) for name in at])
 
 
 def lanes(files: DataFrame, names: list[str]) -> DataFrame:

@@ -39,6 +39,13 @@ def _(spark, d):
     return P.findings(table(spark, d, "documents")).where(~F.col("pattern_name").isin("high_entropy", "private_key_block")).select("doc_id", "type", "line", "pattern_name")
 
 
+@query("f02_custom_patterns", f"WITH {FINDINGS}, p AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS w FROM benchmark) SELECT doc_id, 'custom_' || item_id AS pattern_name, count(*) AS lines FROM l JOIN p ON contains(s, w) GROUP BY 1, 2")
+def _(spark, d):
+    patterns = table(spark, d, "benchmark").selectExpr("cast(item_id as string) AS name", r"concat('\\Q', substring_index(text, ' ', 4), '\\E') AS pattern", "'[ITEM]' AS tag")
+    found = P.findings(table(spark, d, "documents"), custom=P.custom_patterns(patterns)).where(F.col("pattern_name").startswith("custom_"))
+    return found.groupBy("doc_id", "pattern_name").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query("p10_redact")
 def _(spark, d):
     text = P.redact(F.col("text"))

@@ -326,19 +326,34 @@ def _(spark, d):
     return M.themes(table(spark, d, "documents"), 50)
 
 
+# What counts as negative here is the query's: five words.
+_NEG = "not|no|worthless|pathetic|disgusting"
+THEMES = f"""w AS (SELECT source, regexp_matches(text, '(?i)\\b({_NEG})\\b') AS neg, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}')) AS w FROM documents),
+ th AS (SELECT x AS theme FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}')) AS x FROM documents) WHERE NOT list_contains({strings(T.CLAIM_STOP_WORDS)}, x) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20),
+ c AS (SELECT theme, source, avg(CAST(neg AS INTEGER)) AS neg FROM (SELECT source, neg, unnest(w) AS theme FROM w) SEMI JOIN th USING (theme) GROUP BY 1, 2), z AS (SELECT count(DISTINCT source) AS sources FROM documents)"""
+
+
+def _themes(spark, d, most: int = 20):
+    docs = table(spark, d, "documents").withColumn("negative", F.col("text").rlike(f"(?i)\\b({_NEG})\\b"))
+    words = docs.select(F.explode(T.topic_terms(F.col("text"))).alias("theme")).where(~F.col("theme").isin(*T.CLAIM_STOP_WORDS))
+    return docs, words.groupBy("theme").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "theme").limit(most)
+
+
 @query(
     "a34_theme_matrix",
-    f"""WITH w AS (SELECT source, regexp_matches(text, '(?i)\\b(not|no|worthless|pathetic|disgusting)\\b') AS neg, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}')) AS w FROM documents),
-    th AS (SELECT x AS theme FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}')) AS x FROM documents) WHERE NOT list_contains({strings(T.CLAIM_STOP_WORDS)}, x) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20),
-    c AS (SELECT theme, source, avg(CAST(neg AS INTEGER)) AS neg FROM (SELECT source, neg, unnest(w) AS theme FROM w) SEMI JOIN th USING (theme) GROUP BY 1, 2), z AS (SELECT count(DISTINCT source) AS sources FROM documents),
-    a AS (SELECT theme, count(*) FILTER (neg < 0.1) AS supports, count(*) FILTER (neg > 0.4) AS contradicts, count(*) AS seen FROM c GROUP BY 1)
+    f"""WITH {THEMES}, a AS (SELECT theme, count(*) FILTER (neg < 0.1) AS supports, count(*) FILTER (neg > 0.4) AS contradicts, count(*) AS seen FROM c GROUP BY 1)
     SELECT theme, supports, contradicts, sources - seen AS silent, CASE WHEN supports > 0 AND contradicts > 0 THEN 'contradicted' WHEN supports >= 0.5 * seen THEN 'strong_agreement' ELSE 'mixed' END AS consensus, sources - seen > 0.5 * sources AS gap FROM a, z""",
 )
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    words = docs.select(F.explode(T.topic_terms(F.col("text"))).alias("theme")).where(~F.col("theme").isin(*T.CLAIM_STOP_WORDS))
-    best = words.groupBy("theme").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "theme").limit(20)
-    return M.theme_matrix(docs, best)
+    return M.theme_matrix(*_themes(spark, d))
+
+
+_SIDES = ("src0", "src3", "src7", "none")
+
+
+@query("a34_theme_wide", f"WITH {THEMES} SELECT theme, {', '.join(f"coalesce(max(CASE WHEN neg < 0.1 THEN 'supports' WHEN neg > 0.4 THEN 'contradicts' ELSE 'neutral' END) FILTER (source = '{s}'), 'silent') AS {s}" for s in _SIDES)} FROM th LEFT JOIN c USING (theme) GROUP BY 1")
+def _(spark, d):
+    return M.theme_wide(*_themes(spark, d), list(_SIDES))
 
 
 @query("a35_rollup_stats", f"WITH {EV} SELECT category, CAST(user_id % 5 AS INTEGER) AS source, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS best FROM ev GROUP BY 1, 2")

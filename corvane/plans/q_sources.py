@@ -57,11 +57,12 @@ def _(spark, d):
     return S.scan_reddit(spark, path)
 
 
-@query("s08_file_catalog", "SELECT 'document' AS doc_type, 0 AS files WHERE false UNION ALL SELECT 'other', count(DISTINCT lang) FROM documents")
+@query("s08_file_catalog", "SELECT 'other' AS doc_type, s AS site, count(DISTINCT lang) AS files FROM documents, (VALUES ('germany', 'lang=de'), ('france', 'lang=(fr|es)'), ('all', 'lang=')) v(s, p) WHERE regexp_matches('lang=' || lang, p) GROUP BY 2")
 def _(spark, d):
     path = scratch_path(spark, "tree")
-    table(spark, d, "documents").select("doc_id", "lang").repartition(1).write.partitionBy("lang").parquet(path)
-    return S.file_catalog(spark, path).where("extension = 'parquet'").groupBy("doc_type").agg(F.count(F.lit(1)).alias("files"))
+    table(spark, d, "documents").select("doc_id", "lang").where("lang IS NOT NULL").repartition("lang").write.partitionBy("lang").parquet(path)
+    files = S.file_catalog(spark, path, [("germany", "lang=de"), ("france", "lang=(fr|es)"), ("all", "LANG=")]).where("extension = 'parquet'")
+    return files.select("doc_type", F.explode("sites").alias("site"), "path").groupBy("doc_type", "site").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("s09_incremental", "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")

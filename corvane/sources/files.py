@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,17 +86,21 @@ def scan_events(spark: SparkSession, path: str, schema: str, session: str | None
     return df if limit is None else df.orderBy(F.col("timestamp").desc()).limit(limit)
 
 
-def file_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """(path, name, extension, doc_type, size, modified); contents aren't read."""
+def file_catalog(spark: SparkSession, root: str, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(path, name, extension, doc_type, size, modified, sites); contents aren't read. Sites are those whose alias (site, pattern) the path below ``root`` matches."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in DOC_TYPES.items() for x in kv]), _ext(F.col("path"))), F.lit("other"))
-    return raw.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), _ext(F.col("path")).alias("extension"), kind.alias("doc_type"), F.col("length").alias("size"), F.to_date("modificationTime").alias("modified"))
+    return raw.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), _ext(F.col("path")).alias("extension"), kind.alias("doc_type"), F.col("length").alias("size"), F.to_date("modificationTime").alias("modified"), _sites(F.regexp_replace("path", f"^(?:file:)?/*{re.escape(root.removeprefix('file:').strip('/'))}", ""), aliases or []).alias("sites"))
+
+
+def _sites(path: Column, aliases: list[tuple[str, str]]) -> Column:
+    hits = [F.when(path.rlike(f"(?i){pattern}"), F.lit(site)) for site, pattern in aliases]
+    return F.array_distinct(F.array_compact(F.array(*hits))) if hits else F.array().cast("array<string>")
 
 
 def match_sites(files: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
     """(path, site) of every alias (site, pattern) that a path matches; the list of aliases is a parameter, so it is short."""
-    hit = F.array_compact(F.array(*[F.when(F.col("path").rlike(f"(?i){pattern}"), F.lit(site)) for site, pattern in aliases]))
-    return files.select("path", F.explode(F.array_distinct(hit)).alias("site"))
+    return files.select("path", F.explode(_sites(F.col("path"), aliases)).alias("site"))
 
 
 def incremental(files: DataFrame, ledger: DataFrame, key: str = "path") -> DataFrame:
