@@ -261,3 +261,89 @@ def test_pagerank_by_hand_with_links_laid_out_once(spark):
         want |= {(q, n): s for n, s in score.items()}
     got = graph.ppr(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0, 1), (0, 4), (1, 9), (2, 77)], "query_id long, node long"))
     assert {(r["query_id"], r["node"]): r["score"] for r in got.collect()} == pytest.approx(want)
+
+
+# --- operators without SQL ---
+
+
+def test_scores_of_answers(spark):
+    weights = {"has_code": 0.2, "has_correct_api": 0.3, "has_imports": 0.1, "is_runnable": 0.2, "cites_source": 0.2}
+    answers = [("Use open.\n```python\nopen(x[1])\n```\nsee https://a.b", 1, 1.0, 0, 1, 1), ("```\nf((\n```", 1, 0.0, 0, 0, 0), ("open in core/io.py", 0, 1.0, 0, 0, 1), ("import os and open", 0, 1.0, 1, 0, 0), ("", 0, 0.0, 0, 0, 0)]
+    df = spark.createDataFrame([(i, a[0]) for i, a in enumerate(answers)], "i int, a string")
+    got = [r["s"] for r in df.select("i", metrics.score_answer(F.col("a"), F.array(F.lit("open")), F.array(F.lit("os")), weights).alias("s")).orderBy("i").collect()]
+    for s, (_, code, api, imports, runs, cites) in zip(got, answers, strict=True):
+        assert (s["has_code"], s["has_correct_api"], s["has_imports"], s["is_runnable"], s["cites_source"]) == (code, api, imports, runs, cites)
+        assert s["weighted_total"] == pytest.approx(0.2 * code + 0.3 * api + 0.1 * imports + 0.2 * runs + 0.2 * cites, abs=1e-4)
+
+
+def test_surrogate_is_ridge(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 3)) * [1, 5, 0.1] + [0, 2, -1]
+    y = x @ [2.0, -0.5, 7.0] + 3 + 0.1 * rng.normal(size=200)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    weights, intercept, r2 = metrics.surrogate(df, ["a", "b", "c"], "y", 0.01)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    want = np.linalg.solve(z.T @ z / 200 + 0.01 * np.eye(3), z.T @ (y - y.mean()) / 200)
+    assert weights == pytest.approx(want, rel=0.02) and intercept == pytest.approx(y.mean()) and r2 > 0.99
+
+
+def test_code_chunks_begin_at_definitions(spark):
+    code = "import os\n\n@wrap\ndef a():\n    def inner():\n        pass\nclass B:\n    x = 1\nasync def c():\n    pass\n"
+    got = chunk.chunk_code(spark.createDataFrame([(1, code), (2, None), (3, "x = 1\n" * 900)], "doc_id long, text string")).orderBy("doc_id", "nth").collect()
+    first = [r["content"] for r in got if r["doc_id"] == 1]
+    assert "".join(first) == code and first[0] == "import os\n\n" and [c.split("\n")[0] for c in first[1:]] == ["@wrap", "def a():", "class B:", "async def c():"]
+    assert all(len(r["content"]) <= 2000 for r in got) and "".join(r["content"] for r in got if r["doc_id"] == 3) == "x = 1\n" * 900
+
+
+def test_embeddings_are_unit_vectors_of_term_counts(spark):
+    from corvane.operators.retrieve import with_embedding
+
+    df = spark.createDataFrame([(1, "red red blue"), (2, "blue red red"), (3, ""), (4, None), (5, "red")], "doc_id long, text string")
+    v = {r["doc_id"]: np.array(r["embedding"]) for r in with_embedding(df, "text", 64).collect()}
+    assert np.allclose(v[1], v[2]) and np.linalg.norm(v[1]) == pytest.approx(1, abs=1e-6) and not v[3].any() and not v[4].any()
+    assert sorted(np.round(v[1][v[1] > 0] ** 2, 4)) == [0.2, 0.8] and v[1] @ v[5] == pytest.approx(2 / math.sqrt(5), abs=1e-6)
+
+
+def test_corrective_adds_hits_of_variants_behind(spark):
+    from corvane.operators.retrieve import bm25, build_index, corrective
+
+    texts = ["install the red server", "configure blue client", "red client and blue server", "nothing here"]
+    index = build_index(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"))
+    asked = spark.createDataFrame([(1, "install red server and configure blue client", 0.1), (2, "red server", 0.9)], "query_id long, query string, confidence double")
+    got = corrective(asked, index, 0.5, 1).orderBy("query_id", "position").collect()
+    first = {r["query_id"]: r["chunk_id"] for r in bm25(asked, index, 1).collect()}
+    assert [(r["query_id"], r["chunk_id"], r["origin"]) for r in got if r["position"] == 1] == [(q, first[q], "first") for q in (1, 2)]
+    rest = [(r["query_id"], r["origin"]) for r in got if r["position"] > 1]
+    assert rest and set(rest) == {(1, "added")} and len({(r["query_id"], r["chunk_id"]) for r in got}) == len(got)
+
+
+def test_own_patterns_from_a_table(spark):
+    from corvane.functions import pii
+
+    rows = [("ticket", r"JIRA-\d+", "[TICKET]"), ("badge", r"\bB\d{4}\b", None), (None, "x", "y"), ("none", "", "z"), ("ticket", r"JIRA-\d+", "[TICKET]")]
+    own = pii.custom_patterns(spark.createDataFrame(rows, "name string, pattern string, tag string"))
+    assert own == [("badge", r"\bB\d{4}\b", pii.TAGS["api_key"]), ("ticket", r"JIRA-\d+", "[TICKET]")]
+    df = spark.createDataFrame([(1, "see JIRA-12\nor B1234 and JIRA-7"), (2, None)], "doc_id long, text string")
+    found = {(r["doc_id"], r["line"], r["pattern_name"]) for r in pii.findings(df, custom=own).collect()}
+    assert found == {(1, 1, "custom_ticket"), (1, 2, "custom_badge"), (1, 2, "custom_ticket")}
+    assert df.select(pii.redact(F.col("text"), own)).first()[0] == "see [TICKET]\nor [REDACTED_API_KEY] and [TICKET]"
+    with pytest.raises(ValueError, match="patterns"):
+        pii.custom_patterns(spark.range(3).selectExpr("concat('n', id) AS name", "'p' AS pattern", "'t' AS tag"), 2)
+
+
+def test_redaction_keeps_what_stands_around(spark):
+    from corvane.functions import pii
+
+    text = "password = 'hunter2!' Authorization: Bearer abcdefghij0123456789.x api_key: \"0123456789abcdefXYZ\" http://u:p@h.io AKIA" + "A" * 16 + " hash = '" + "0f" * 16 + "'"
+    got = spark.createDataFrame([(text,)], "t string").select(pii.redact(F.col("t"))).first()[0]
+    assert got == "password = '[REDACTED_PASSWORD]' Authorization: Bearer [REDACTED_TOKEN] api_key: \"[REDACTED_API_KEY]\" [REDACTED_PASSWORD] [REDACTED_API_KEY] hash = '[REDACTED_API_KEY]'"
+
+
+def test_latency_by_ranks(spark):
+    r = random.Random(3)
+    data = [(r.choice(["a", "a", "b", None]), r.choice([None, r.random()])) for _ in range(200)] + [("one", 2.5), ("none", None)]
+    got = {x["k"]: (x["n"], x["p50"], x["p95"]) for x in metrics.latency(spark.createDataFrame(data, "k string, v double"), "k", "v").collect()}
+    for k in {k for k, _ in data}:
+        v = [x for kk, x in data if kk == k and x is not None]
+        assert got[k][0] == sum(kk == k for kk, _ in data)
+        assert got[k][1:] == (pytest.approx((np.quantile(v, 0.5), np.quantile(v, 0.95))) if v else (None, None))
