@@ -1,7 +1,14 @@
 """From raw documents to packed training batches, in five stages.
 
 Each stage works on all that the one before it kept; between stages the documents are written as
-Parquet and read again. All stages but the last return the columns of ``documents``.
+Parquet and read again. All stages but the last return the columns of ``documents``, unchanged but
+for redacted texts and their lengths, and any further columns, whatever their names.
+
+Null and empty texts are documents like others in every stage: they are scored, are copies of each
+other, contain no item and no secret, and have length 1. Repeated rows have one fate in the stages
+that drop rows. A text of any length is worked on whole. Empty tables, of documents, labels or
+items, give a defined result: without labels every score is one half, so all documents stay;
+without items none is dropped; no documents give none.
 """
 
 from __future__ import annotations

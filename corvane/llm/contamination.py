@@ -182,7 +182,7 @@ def contained(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     Whole texts are read once for each block of items; no text is shuffled. Ids may be of any type
     that can be compared. Null and empty texts and items match nothing. Texts and items of fewer
     than ``k`` words match only as a whole. Repeated documents or items give a row for each. No
-    items, or no documents: an empty table. A text of any length is held once, with about 60 bytes
+    items, or no documents: an empty table. Other columns are not read, whatever their names. A text of any length is held once, with about 60 bytes
     for each of its words.
     """
     spark = df.sparkSession
@@ -212,7 +212,7 @@ def _search(shared, k: int, names: list[str], item_type: pa.DataType):
 
 
 def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, k: int = K, block: int = BLOCK) -> DataFrame:
-    """The rows of ``df``, unchanged, that contain no item."""
+    """The rows of ``df``, unchanged, that contain no item; rows with a null id, null or empty texts stay if they contain none, and repeated rows have one fate."""
     out = df
     for rows in blocks(items, item_id, item_text, block):
         shared = df.sparkSession.sparkContext.broadcast(sketches(rows, threshold, k))

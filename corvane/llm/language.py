@@ -298,7 +298,10 @@ def identify(df: DataFrame, model: Model, keep: list[str | Column], text_col: st
     """``keep``, lang_pred and score of every row.
 
     Null texts and texts without a letter: ``und`` with score 0. Ties go to the language that sorts
-    first. If nothing was learned, every text is ``und``. The whole text counts.
+    first. If nothing was learned, every text is ``und``. The whole text counts: texts go in pieces of
+    about a megabyte, a longer one by itself, with about 100 bytes for each of its bytes. Repeated rows
+    are rows like others; columns besides ``keep`` aren't read, whatever their names, and one of
+    ``keep`` must not be called lang_pred or score. An empty table stays empty.
     """
     source = df.select(*keep, F.col(text_col).alias("_text"))
     names = source.columns[:-1]

@@ -85,7 +85,13 @@ def statistics(texts: list[str]) -> np.ndarray:
 
 
 def with_statistics(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``x``, the statistics of the text."""
+    """The columns ``keep`` and ``x``, the statistics of the text, of every row.
+
+    Null and empty texts have the statistics of nothing, which are numbers like others, so they get a
+    score. A text of any length is held once, with about 60 bytes for each of its bytes; repeated
+    rows are rows like others. Columns besides ``keep`` aren't read, whatever their names; one of
+    ``keep`` must not be called ``x``. An empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "_text"):
@@ -187,7 +193,11 @@ def with_scores(stats: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def keep_good(df: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, unchanged, whose text scores ``threshold`` or more."""
+    """The rows of ``df``, unchanged, whose text scores ``threshold`` or more.
+
+    Null and empty texts are scored too. All columns stay as they are, whatever their names; repeated
+    rows have one fate. An empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text_col):

@@ -419,7 +419,9 @@ def listed(spans: list[Span]) -> str:
 def scan(df: DataFrame, field: Field | None, keep: list[str | Column], text_col: str = "text") -> DataFrame:
     """``keep``, n_assign, n_access, n_hex, base_sha256 and spans of every row; null and empty texts have no spans.
 
-    A text of any length is worked on whole, with about 100 bytes for each of its bytes.
+    A text of any length is worked on whole, with about 100 bytes for each of its bytes. Repeated
+    rows are rows like others; columns besides ``keep`` aren't read, whatever their names. An empty
+    table stays empty.
     """
     source = df.select(*keep, F.col(text_col).alias("_text"))
     names = source.columns[:-1]
@@ -439,7 +441,7 @@ def scan(df: DataFrame, field: Field | None, keep: list[str | Column], text_col:
 
 
 def redact(df: DataFrame, field: Field | None, text_col: str = "text", length_col: str | None = None, tag: str = "[SECRET]") -> DataFrame:
-    """The rows of ``df`` with every span, overlapping ones as one, replaced by ``tag``; ``length_col`` then gets the new length."""
+    """The rows of ``df`` with every span, overlapping ones as one, replaced by ``tag``; ``length_col`` then gets the new length. Null texts stay null, all other columns as they are; an empty table stays empty."""
 
     def clean(text: str, spans: list[Span]) -> str:
         parts, at = [], 0

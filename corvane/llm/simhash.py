@@ -140,7 +140,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Equal fingerprints are one node, so copies of any number add nothing to the comparison. Null
     and empty texts have fingerprint 0 and link like any other. Null ids are never a component's
-    name unless it has no other. An empty table gives an empty one; other columns are not read.
+    name unless it has no other. An empty table gives an empty one; other columns are not read,
+    whatever their names. A text of any length is worked through in strips, with a few times its bytes.
     """
     prints = cut(with_fingerprints(df, [F.col(id_col).alias("_id")], text_col), "prints")
     nodes = cut(prints.groupBy("fp").agg(F.min("_id").alias("first")), "nodes")
@@ -157,7 +158,10 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df``, unchanged, without those whose group holds a smaller id; of rows with one id, all stay or go."""
+    """The rows of ``df``, unchanged, without those whose group holds a smaller id; of rows with one id, all stay or go.
+
+    Null and empty texts are copies of each other. All columns stay; an empty table stays empty.
+    """
     classes = near_duplicates(df, id_col, text_col, radius)
     drop = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct()
     return df.join(drop, df[id_col] == drop["_drop"], "left_anti")

@@ -248,7 +248,7 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
     kept are joined by single spaces. Texts of fewer than ``w`` words, null ones (no words) among
     them, lose nothing. Rows that repeat whole lose everything, from ``w`` words on. Null ids are
     ids like others. An empty table gives an empty one. One text is held with about 40 bytes for
-    each of its words and its bytes three times over; nothing grows with the number of its copies.
+    each of its words and its bytes three times over; nothing grows with the number of its copies. Columns besides ``keep`` are not read, whatever their names.
     Texts that can't have a repeated span, as a sieve of the keys with spans tells, stay where they are.
     """
     spans = repeated_spans(df, id_col, text_col, w, k)

@@ -439,7 +439,12 @@ def digest(tokens: DataFrame) -> DataFrame:
 
 
 def roundtrip(df: DataFrame, vocabulary: str, **kwargs) -> DataFrame:
-    """Writes the corpus to the shared folder and reads the digest back."""
+    """Writes the corpus to the shared folder and reads the digest back.
+
+    Null and empty texts are the end id alone. Repeated rows are documents of their own, next to each
+    other. A very long text is encoded in chunks and held as ids once. Other columns are not read,
+    whatever their names. An empty table gives an empty one.
+    """
     path = scratch_path(df.sparkSession, "tokens")
     write_tokens(df, path, vocabulary, **kwargs)
     return digest(read_tokens(df.sparkSession, path))

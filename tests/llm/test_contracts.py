@@ -538,3 +538,12 @@ def test_samples_hold_at_any_size(spark, monkeypatch):
     df = spark.createDataFrame([(i, f'word{i} password = "Abc123def456{i}"', "en" if i % 2 else "de") for i in range(200)], "doc_id long, text string, lang string")
     assert secrets.learn(df) is not None
     assert language.learn(df, PIECES).languages == ["de", "en"] and sampling.threshold(20_000, 10**11) > 0
+
+
+def test_pipeline_on_empty_tables(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{corpus}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert corpus_pipeline.drop_low_quality(spark, docs, str(tmp_path)).count() == docs.count() == corpus_pipeline.drop_test_items(spark, docs, str(tmp_path)).count()
