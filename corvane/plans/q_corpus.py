@@ -55,12 +55,12 @@ BANDS = f"""{SIG}, st AS (SELECT doc_id, md5(string_agg(shingle, chr(1) ORDER BY
 
 @query("d04_lsh_candidates", f"WITH {BANDS} SELECT DISTINCT x.rep AS a, y.rep AS b FROM bd x JOIN bd y ON x.band = y.band AND x.k = y.k AND x.rep < y.rep AND x.n >= 0.8 * y.n AND y.n >= 0.8 * x.n WHERE len(list_filter(range(1, 129), lambda i: x.s[i] % 4 = y.s[i] % 4)) >= 84")
 def _(spark, d):
-    return D.near_candidates(D.cut(D.signed_sets(_docs(spark, d))), 0.8)
+    return D.near_candidates(D.signed(_docs(spark, d)), 0.8)
 
 
 @query("d05_near_pairs", f"WITH {PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM np")
 def _(spark, d):
-    return D.near_pairs(D.cut(D.signed_sets(_docs(spark, d))), 0.8).withColumn("similarity", F.round("similarity", 6))
+    return D.near_pairs(D.signed(_docs(spark, d)), 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 # Documents in order, each kept unless an earlier kept one is similar: un (doc_id, rep, rn) is walked one by one.
@@ -88,8 +88,8 @@ _KNOWN = "SELECT c.doc_id FROM cl c JOIN (SELECT a, b FROM np UNION ALL SELECT b
 
 @query("d07_dedup_against", f"WITH RECURSIVE {PAIRS}, un AS (SELECT doc_id, rep, row_number() OVER (ORDER BY doc_id) AS rn FROM cl WHERE doc_id % 2 = 1 AND doc_id NOT IN ({_KNOWN})), {FIRST} SELECT doc_id FROM kp")
 def _(spark, d):
-    sets = D.cut(D.signed_sets(_docs(spark, d)))
-    return D.dedup_against(sets.where("doc_id % 2 = 1"), sets.where("doc_id % 2 = 0"), 0.8).select("doc_id")
+    sets = D.signed(_docs(spark, d))
+    return D.dedup_against(sets.where("doc_id % 2 = 1"), sets.where("doc_id % 2 = 0"), 0.8)
 
 
 @query("d08_dedup_stats", f"WITH RECURSIVE {PAIRS}, {COMP}, kp AS (SELECT doc_id, doc_id = rep AND c = rep AS kept FROM cl JOIN cm ON rep = x), f AS (SELECT min(doc_id) AS doc_id, true AS first FROM documents GROUP BY text) SELECT source, count(*) AS documents, count(*) FILTER (first IS NULL) AS exact, count(*) FILTER (first AND NOT kept) AS near, round(count(*) FILTER (first IS NULL OR NOT kept) / count(*), 6) AS share FROM documents LEFT JOIN f USING (doc_id) JOIN kp USING (doc_id) GROUP BY 1")
