@@ -270,8 +270,14 @@ def _(spark, d):
     return G.file_blast_radius(e, nodes, spark.createDataFrame([(5,)], "file long"), 2)
 
 
+@query("g10_structural_context", f"WITH n AS ({_NAMES}), w AS (SELECT p_partkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(p_name), '\\w{{3,}}'))) AS w FROM part), h AS (SELECT query_id, file, min(id) AS node FROM w JOIN n ON contains(lower(name), w) GROUP BY 1, 2) SELECT query_id, file, node, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file) AS place FROM h) WHERE place <= 3")
+def _(spark, d):
+    q = table(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
+    return G.structural_context(q, table(spark, d, "part").selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS file"), 3)
+
+
 # Brands stand for files, types for docs.
-@query("g10_structural_context", "WITH n AS (SELECT p_partkey AS id, lower(p_name || chr(10) || p_type) AS t, p_brand AS file FROM part), w AS (SELECT p_partkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(p_name || ' ' || split_part(p_type, ' ', 1)), '\\w{3,}'))) AS w FROM part), h AS (SELECT query_id, file, min(id) AS node FROM w JOIN n ON contains(t, w) GROUP BY 1, 2) SELECT query_id, file, node, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file) AS place FROM h) WHERE place <= 3")
+@query("g10_structural_docs", "WITH n AS (SELECT p_partkey AS id, lower(p_name || chr(10) || p_type) AS t, p_brand AS file FROM part), w AS (SELECT p_partkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(p_name || ' ' || split_part(p_type, ' ', 1)), '\\w{3,}'))) AS w FROM part), h AS (SELECT query_id, file, min(id) AS node FROM w JOIN n ON contains(t, w) GROUP BY 1, 2) SELECT query_id, file, node, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file) AS place FROM h) WHERE place <= 3")
 def _(spark, d):
     part = table(spark, d, "part")
     q = part.selectExpr("p_partkey AS query_id", "concat(p_name, ' ', split_part(p_type, ' ', 1)) AS query")
