@@ -7,14 +7,18 @@ compact into equal paths, except at their two ends. Spark joins then find
 
 - anchors that occur more than once (no other path can hold a repeated edge),
 - paths that occur more than once (all their edges are repeated),
+- nonbranching pairs of these: every copy of the first is followed by the second, and both have as
+  many copies, so nothing else leads into the second. Paths of such pairs are compacted into
+  chains, the maximal nonbranching ones, and only a chain's first path is looked up from then on,
 - paths that occur once though their anchor doesn't: these are opened again into edges, and so is
   one copy of each repeated path with such an anchor; edges that occur more than once are repeated.
 
 Paths and edges are named by halves of 128-bit BLAKE2b digests of their words. Edges are alike if
 both halves agree. Paths, the long spans, are grouped by one half and get the other from their
-sources: the coordinates of a path's first and of its last place lead back to the words there. The
-first place counts only if its words have the last one's digest, every other only if they have the
-first one's. Before a word goes, the digest of the span around it is taken once more in its text.
+sources: the coordinates of a path's first and of its last place lead back to the words there. A
+chain has the combined digests of its paths (``part_hash``). The first place counts only if its
+words have the last one's digest, every other only if they have the first one's. Before a word
+goes, the digests of the span around it are taken once more in its text.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.textbatch import BLANK, joined_column, mix, pieces, shingle_hashes, span_hashes, word_edges
@@ -154,17 +158,23 @@ def anchors(docs: DataFrame, w: int, k: int) -> DataFrame:
 
 
 def paths(docs: DataFrame, table, w: int, k: int) -> DataFrame:
-    """(key, pos, n, anchor, name) of all paths whose anchor passes the sieve."""
+    """(key, pos, n, anchor, name, next_anchor, next_name) of all paths whose anchor passes the sieve; next is the path
+    that follows in the text, null at the text's end and before a path that doesn't pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             p = paths_of(piece, w, k)
             on = passes(table.value, p.anchor)
             key = piece.column("key").to_numpy()[p.doc[on]]
-            names = pa.array(p.words.digests(p.start[on], p.n[on] + w - 1)[:, 0])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p.pos[on].astype(np.int32)), pa.array(p.n[on].astype(np.int32)), _signed(p.anchor[on]), names], ["key", "pos", "n", "anchor", "name"])
+            names, anchor = p.words.digests(p.start[on], p.n[on] + w - 1)[:, 0], p.anchor[on].view(np.int64)
+            at = np.flatnonzero(on)
+            last = np.ones(len(at), bool)
+            last[:-1] = (np.diff(at) > 1) | (np.diff(p.doc[on]) > 0)
+            follows = [pa.array(np.roll(x, -1), mask=last) for x in (anchor, names)]
+            columns = [pa.array(key), pa.array(p.pos[on].astype(np.int32)), pa.array(p.n[on].astype(np.int32)), pa.array(anchor), pa.array(names), *follows]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "pos", "n", "anchor", "name", "next_anchor", "next_name"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, pos int, n int, anchor long, name long")
+    return docs.select("key", "text").mapInArrow(run, "key long, pos int, n int, anchor long, name long, next_anchor long, next_name long")
 
 
 def edges(docs: DataFrame, table, w: int, k: int) -> DataFrame:
@@ -210,11 +220,67 @@ def proofs(docs: DataFrame, table, w: int, k: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key long, pos int, check long").groupBy("key", "pos").agg(F.min("check").alias("check"))
 
 
+def part_hash(at: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """One half of a path's digest, bound to the word of its chain at which the path begins; a chain has the exclusive or over its paths."""
+    return mix(half.view(np.uint64) ^ mix(at.astype(np.uint64) + np.uint64(1)))
+
+
+def path_kinds(found: DataFrame) -> DataFrame:
+    """(anchor, name, n, copies, from, to, next_anchor, next_name) of all different paths: their first and last place and
+    the path that follows all of their copies, null if not all have the same; of paths with one copy only the first place."""
+    place = F.struct("key", "pos")
+    following = [f(c).alias(f"{g}_{c}") for c in ("next_anchor", "next_name") for f, g in ((F.min, "low"), (F.max, "high"))]
+    kinds = found.groupBy("anchor", "name").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.count("next_name").alias("followed"), F.min(place).alias("from"), F.max(place).alias("to"), *following)
+    one = (F.col("copies") > 1) & (F.col("followed") == F.col("copies")) & (F.col("low_next_anchor") == F.col("high_next_anchor")) & (F.col("low_next_name") == F.col("high_next_name"))
+    same = [F.when(one, F.col(f"low_{c}")).alias(c) for c in ("next_anchor", "next_name")]
+    return kinds.select("anchor", "name", "n", "copies", "from", F.when(F.col("copies") > 1, F.col("to")).alias("to"), *same)
+
+
+def chains(kinds: DataFrame) -> DataFrame:
+    """(anchor, name, head_anchor, head_name, at) of all repeated paths: the first path of their chain and the word of it at which they begin.
+
+    ``kinds`` has one row a path: anchor, name, n, copies, its first place ("from"), and the anchor and name that follow
+    it in all of its copies, if that is so. All paths of a chain have their first places in one text, one after the other,
+    as copies keep their order; so chains of any length are numbered there, without rounds.
+    """
+    repeated = kinds.where("copies > 1")
+    before = repeated.where("next_name is not null").select(
+        F.col("next_anchor").alias("anchor"), F.col("next_name").alias("name"), F.col("copies").alias("copies_before"), F.col("anchor").alias("before_anchor"), F.col("name").alias("before_name")
+    )
+    # as many copies on both sides: each copy of the second path is then one that follows the first
+    linked = repeated.join(before.withColumnRenamed("copies_before", "copies"), ["anchor", "name", "copies"], "left")
+    text = Window.partitionBy("from.key").orderBy("from.pos", "anchor", "name")
+    follows = (F.lag("name").over(text) == F.col("before_name")) & (F.lag("anchor").over(text) == F.col("before_anchor")) & (F.lag(F.col("from.pos") + F.col("n")).over(text) == F.col("from.pos"))
+    rows = linked.withColumn("head", ~F.coalesce(follows, F.lit(False)))
+    first = F.last(F.when(F.col("head"), F.struct("anchor", "name", F.col("from.pos").alias("pos"))), ignorenulls=True)
+    rows = rows.withColumn("first", first.over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select("anchor", "name", F.col("first.anchor").alias("head_anchor"), F.col("first.name").alias("head_name"), (F.col("from.pos") - F.col("first.pos")).alias("at"))
+
+
+def combined(parts: DataFrame) -> DataFrame:
+    """(anchor, name, from, n, parts, whole, first, last) of chains, by their first path, from the paths with their proofs:
+    whole, first and last are the combined halves of the digests, by name, at the first place and at the last."""
+    halves = ["name", "first", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("at").to_numpy()
+            made = [_signed(part_hash(at, b.column(c).to_numpy())) for c in halves]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("head_anchor", "head_name", "key", "pos", "n")], *made], ["anchor", "name", "key", "pos", "n", "whole", "first", "last"])
+
+    rows = parts.select("head_anchor", "head_name", "from.key", "from.pos", "n", "at", *halves)
+    rows = rows.mapInArrow(run, "anchor long, name long, key long, pos int, n int, whole long, first long, last long")
+    sums = [F.bit_xor(c).alias(c) for c in ("whole", "first", "last")]
+    out = rows.groupBy("anchor", "name").agg(F.min("key").alias("key"), F.min("pos").alias("pos"), F.sum("n").cast("int").alias("n"), F.count(F.lit(1)).cast("int").alias("parts"), *sums)
+    return out.select("anchor", "name", F.struct("key", "pos").alias("from"), "n", "parts", "whole", "first", "last")
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w: int = W, k: int = K) -> DataFrame:
-    """(key, pos, n, name, check): runs of n windows from word ``pos`` that all occur elsewhere too, and the digest of the words at another of their places.
+    """(key, pos, n, parts, name, check): runs of n windows from word ``pos`` that all occur elsewhere too, and the digest of the words at another of their places.
 
-    Keys are as in ``keyed``; places are ordered by key and word. Rows of a common anchor or name
-    meet in joins of two plain shuffles, which adaptive execution can split.
+    A run is a chain of ``parts`` paths, or one window (``parts`` is 0). Keys are as in ``keyed``;
+    places are ordered by key and word. Rows of a common anchor or name meet in joins of two plain
+    shuffles, which adaptive execution can split.
     """
     spark = df.sparkSession
     docs = keyed(df, id_col, text_col)
@@ -222,8 +288,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = anchors(docs, w, k).where("n > 1")
     found = cut(paths(docs, share(sieve(wanted, "anchor")), w, k), "paths")
     place = F.struct("key", "pos")
-    kinds = found.groupBy("anchor", "name").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min(place).alias("from"), F.max(place).alias("to"))
-    kinds = cut(kinds.withColumn("to", F.when(F.col("copies") > 1, F.col("to"))), "path_kinds")
+    kinds = cut(path_kinds(found), "path_kinds")
     mixed = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "mixed_anchors")
     open_ = cut(kinds.join(mixed, "anchor", "left_semi").select("from.key", "from.pos", "n"), "open_paths")
     opened = cut(edges(docs, share(sieve(with_places(open_), "place")), w, k), "edges")
@@ -232,11 +297,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = cut(each.groupBy("name", "check").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "repeated_edges")
     ends = kinds.where("copies > 1").select("anchor", "name", "n", F.explode(F.array("from", "to")).alias("end")).select("anchor", "name", "n", "end.key", "end.pos")
     proved = proofs(docs, share(sieve(with_places(ends), "place")), w, k)
-    sources = ends.join(proved, ["key", "pos"]).groupBy("anchor", "name").agg(F.min(place).alias("from"), F.min_by("check", place).alias("first"), F.max_by("check", place).alias("last"))
-    sources = cut(sources, "sources")
+    sources = ends.join(proved, ["key", "pos"]).groupBy("anchor", "name").agg(F.min("n").alias("n"), F.min(place).alias("from"), F.min_by("check", place).alias("first"), F.max_by("check", place).alias("last"))
+    sources = cut(combined(sources.join(chains(kinds), ["anchor", "name"])), "chains")
     check = F.when(place == F.col("from"), F.col("last")).otherwise(F.col("first")).alias("check")
-    long = found.join(sources, ["anchor", "name"]).select("key", "pos", "n", "name", check)
-    short = each.join(again, ["name", "check"]).select("key", "pos", F.lit(1).alias("n"), "name", "check")
+    long = found.select("key", "pos", "anchor", "name").join(sources, ["anchor", "name"]).select("key", "pos", "n", "parts", F.col("whole").alias("name"), check)
+    short = each.join(again, ["name", "check"]).select("key", "pos", F.lit(1).alias("n"), F.lit(0).alias("parts"), "name", "check")
     return long.unionByName(short)
 
 
@@ -253,7 +318,7 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
     """
     spans = repeated_spans(df, id_col, text_col, w, k)
     # as a set, so that rows alike in id and text, which share a key, add nothing: at most two spans for each word of one text
-    packed = spans.groupBy("key").agg(F.collect_set(F.struct("pos", "n", "name", "check")).alias("spans"))
+    packed = spans.groupBy("key").agg(F.collect_set(F.struct("pos", "n", "parts", "name", "check")).alias("spans"))
     packed = cut(packed.select(F.col("key").alias("_spans_key"), "spans"), "spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = df.select(*keep, text.alias("_text"), F.xxhash64(F.col(id_col), text).alias("_key"))
@@ -276,7 +341,7 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
             words = Words(*joined_column(piece.column("_text")))
             raw = words.data.tobytes()
             total, gone, sums, kept = [], [], [], []
-            for i, mark in enumerate(removed(words, piece.column("spans"), w)):
+            for i, mark in enumerate(removed(words, piece.column("spans"), w, k)):
                 lo, hi = int(words.first[i]), int(words.first[i + 1])
                 if mark is None or not mark.any():
                     left, body = hi - lo, raw[words.starts[lo] : words.ends[hi - 1]] if hi > lo else b""
@@ -296,18 +361,43 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
     return met.mapInArrow(run, result).unionByName(alone)
 
 
-def removed(words: Words, spans: pa.Array, w: int) -> Iterator[np.ndarray | None]:
+def removed(words: Words, spans: pa.Array, w: int, k: int = K) -> Iterator[np.ndarray | None]:
     """For each text which words go; None if no span is given. A span counts if the words there have the digest of its source's words."""
+    p: Paths | None = None
     for i, s in enumerate(spans):
         if not s.is_valid or not len(s.values):
             yield None
             continue
-        pos, n = (s.values.field(f).to_numpy().astype(np.int64) for f in ("pos", "n"))
+        pos, n, parts, name, check = (s.values.field(f).to_numpy().astype(np.int64) for f in ("pos", "n", "parts", "name", "check"))
         size = int(words.first[i + 1] - words.first[i])
-        ok = np.flatnonzero((pos >= 0) & (pos + n + w - 1 <= size))
-        own = words.digests(words.first[i] + pos[ok], n[ok] + w - 1)
-        ok = ok[(own[:, 0] == s.values.field("name").to_numpy()[ok]) & (own[:, 1] == s.values.field("check").to_numpy()[ok])]
+        at = words.first[i] + pos
+        ok = (pos >= 0) & (pos + n + w - 1 <= size)
+        one = np.flatnonzero(ok & (parts == 0))
+        own = words.digests(at[one], n[one] + w - 1)
+        ok[one] = (own[:, 0] == name[one]) & (own[:, 1] == check[one])
+        run = np.flatnonzero(ok & (parts > 0))
+        if len(run):
+            p = p or Paths(words, w, k)
+            ok[run] = proven_chains(p, at[run], n[run], parts[run], name[run], check[run], w)
+        ok = np.flatnonzero(ok)
         steps = np.zeros(size + 1, np.int64)
         np.add.at(steps, pos[ok], 1)
         np.add.at(steps, pos[ok] + n[ok] + w - 1, -1)
         yield np.cumsum(steps[:-1]) > 0
+
+
+def proven_chains(p: Paths, at: np.ndarray, n: np.ndarray, parts: np.ndarray, name: np.ndarray, check: np.ndarray, w: int) -> np.ndarray:
+    """Which chains are the paths that begin at word ``at`` of the texts: as many, as long, and with the same combined digests."""
+    head = np.searchsorted(p.start, at)
+    ok = head + parts <= len(p.start)
+    last = np.where(ok, head + parts - 1, 0)
+    ok &= (p.start[np.where(ok, head, 0)] == at) & (p.start[last] + p.n[last] == at + n)
+    some = np.flatnonzero(ok)
+    if len(some):
+        begins = np.cumsum(parts[some]) - parts[some]
+        each = np.repeat(head[some] - begins, parts[some]) + np.arange(parts[some].sum())
+        offset = p.start[each] - np.repeat(at[some], parts[some])
+        own = p.words.digests(p.start[each], p.n[each] + w - 1)
+        halves = [np.bitwise_xor.reduceat(part_hash(offset, np.ascontiguousarray(own[:, h])), begins).view(np.int64) for h in (0, 1)]
+        ok[some] = (halves[0] == name[some]) & (halves[1] == check[some])
+    return ok

@@ -10,16 +10,19 @@ import re
 import resource
 import string
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvane.llm import contamination, language, packing, queries, quality, secrets, simhash, substrings, vectors
+from corvane.llm.textbatch import joined_column
 from tests.llm.test_edges import BASE, PIECES, WORDS, prose, rows, thue_morse
 
 BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -299,6 +302,61 @@ def test_repeats_of_words_that_linear_hashes_confuse(spark):
     assert got == plain_repeats(texts) and all(got[i][1] == 0 for i in range(4))
 
 
+def test_paths_compact_into_maximal_nonbranching_chains(spark):
+    r = random.Random(3)
+    pool = [[f"p{k}w{r.randrange(4000)}" for _ in range(400)] for k in range(3)]
+    texts = {0: [*pool[0], "x"], 1: ["y", *pool[0]], 2: [*pool[1], *pool[2]], 3: [*pool[1], "z"], 4: [*pool[1][:250], *pool[2]], 5: [*pool[2], *pool[2]]}
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    docs = substrings.keyed(df, "doc_id", "text")
+    everything = SimpleNamespace(value=np.full(1 << (substrings.SIEVE_BITS - 6), -1, np.int64))
+    found = substrings.paths(docs, everything, substrings.W, substrings.K)
+    places = {(x["key"], x["pos"]): x for x in rows(found)}
+    name = lambda x: (x["anchor"], x["name"])
+    copies = Counter(name(x) for x in places.values())
+    after = defaultdict(set)
+    for (key, pos), x in places.items():
+        nxt = places.get((key, pos + x["n"]))
+        after[name(x)].add(nxt and name(nxt))
+        assert (x["next_anchor"], x["next_name"]) == (name(nxt) if nxt else (None, None))
+    links = {}
+    for u, to in after.items():
+        if len(to) == 1 and None not in to and 1 < copies[u] == copies[next(iter(to))]:
+            links[next(iter(to))] = u
+    size = {name(x): x["n"] for x in places.values()}
+
+    def head(v):
+        at = 0
+        while v in links:
+            v = links[v]
+            at += size[v]
+        return (*v, at)
+
+    got = {name(x): (x["head_anchor"], x["head_name"], x["at"]) for x in rows(substrings.chains(substrings.path_kinds(found)))}
+    assert got == {v: head(v) for v, c in copies.items() if c > 1}
+    assert max(Counter(v[:2] for v in got.values()).values()) > 5 and len({v[:2] for v in got.values()}) < len(got) / 3
+    # a passage that two texts share is one span of each, but for the paths at its ends
+    keys = {x["doc_id"]: x["key"] for x in df.select("doc_id", "text").join(docs, "text").collect()}
+    spans = [x for x in rows(substrings.repeated_spans(df)) if x["key"] in (keys[0], keys[1]) and x["parts"]]
+    assert len(spans) == 2 and spans[0]["parts"] == spans[1]["parts"] > 5 and spans[0]["n"] == spans[1]["n"] > 300
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in rows(substrings.remove_repeats(df, ["doc_id"]))}
+    assert got == plain_repeats({i: " ".join(x) for i, x in texts.items()})
+
+
+def test_a_chain_counts_only_where_its_words_are(spark):
+    """A name that lies about its words removes nothing."""
+    text = " ".join(f"k{i}" for i in range(300))
+    words = substrings.Words(*joined_column(pa.array([text])))
+    p = substrings.Paths(words)
+    own = words.digests(p.start, p.n + substrings.W - 1)
+    name, check = (np.bitwise_xor.reduce(substrings.part_hash(p.start, np.ascontiguousarray(own[:, h]))).view(np.int64) for h in (0, 1))
+    one = lambda x: np.array([x], np.int64)
+    proven = lambda at, n, parts, name, check: bool(substrings.proven_chains(p, one(at), one(n), one(parts), one(name), one(check), substrings.W)[0])
+    n, parts = int(p.n.sum()), len(p.n)
+    assert proven(0, n, parts, name, check)
+    assert not proven(0, n, parts, name, check ^ 1) and not proven(0, n, parts, name ^ 1, check)
+    assert not proven(1, n - 1, parts, name, check) and not proven(0, n - 1, parts, name, check) and not proven(0, n, parts - 1, name, check) and not proven(0, n, parts + 1, name, check)
+
+
 def test_rows_alike_in_id_and_text(spark):
     text = " ".join(f"z{i % 1700}" for i in range(2000))
     df = spark.createDataFrame([(7, text)] * 3000 + [(8, "z3 " * 20)], "doc_id long, text string").repartition(8)
