@@ -54,16 +54,18 @@ LESSONS = (
     ("nameerror", "Undefined variable or function. Check spelling and scope."),
     ("recursionerror", "Infinite recursion. Add base case or convert to iterative approach."),
 )
+#: What words of a query say about the files that it means: (words, ((pattern of the lower-case path, boost), ...)); a default, ``path_boost`` takes others.
 INTENTS = (
     (("config", "yaml", "yml", "policy", "policies", "ports", "models", "timeout", "cap", "budget"), ((r"/config/", 0.30), (r"(policies|ports|models|default)\.yaml$", 0.25), (r"\.ya?ml$", 0.20))),
-    (("protocol", "interface", "iembedder", "iretriever", "illm"), ((r"interfaces\.py$", 0.25),)),
-    (("doctor", "health", "gpu", "nvidia", "endpoint"), ((r"doctor\.py$", 0.25),)),
-    (("mock", "mockreranker", "mock_backend", "deterministic", "fake"), ((r"mock_backend\.py$", 0.25),)),
+    (("protocol", "interface"), ((r"interfaces?\.py$", 0.25),)),
+    (("health", "gpu", "endpoint"), ((r"health\.py$", 0.25),)),
+    (("mock", "deterministic", "fake"), ((r"mocks?\.py$", 0.25),)),
 )
+#: Modules of the language's own library; ``import_score`` takes a project's own ones besides.
 STANDARD_MODULES = (
     "os", "sys", "re", "json", "math", "time", "datetime", "pathlib", "hashlib", "typing", "collections", "functools", "itertools", "copy", "abc",
     "dataclasses", "enum", "sqlite3", "subprocess", "tempfile", "unittest", "concurrent", "threading", "multiprocessing", "io", "logging", "argparse",
-    "random", "string", "core", "cli", "ingestion", "research",
+    "random", "string",
 )
 ANSWER_TYPE_VALUE = {"lookup": 0.0, "explain": 0.25, "debug": 0.5, "reasoning": 0.75, "design": 1.0}
 
@@ -250,12 +252,12 @@ def identifier_heavy(text: Column) -> Column:
     return text.rlike(r"[a-z]+_[a-z]+|[a-z][a-zA-Z]*[A-Z]|\w+\.\w+|\w+\(")
 
 
-def path_boost(text: Column, path: Column) -> Column:
+def path_boost(text: Column, path: Column, intents=INTENTS) -> Column:
     """The largest boost that a path has from the intents of a query."""
     words = F.split(normalize_search(text), r"\s+")
     low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
     boosts = [F.lit(0.0)]
-    for names, rules in INTENTS:
+    for names, rules in intents:
         meant = F.arrays_overlap(words, _strings(names))
         boosts += [F.when(meant & low.rlike(rule), F.lit(value)).otherwise(0.0) for rule, value in rules]
     return F.greatest(*boosts)
@@ -346,10 +348,10 @@ def answer_confidence(text: Column) -> Column:
     return F.when(text.rlike(r"\S"), clamp(score)).otherwise(0.0)
 
 
-def import_score(code: Column) -> Column:
-    """The share of imports from known modules; 1 without imports."""
+def import_score(code: Column, own: tuple[str, ...] = ()) -> Column:
+    """The share of imports from known modules, the standard ones and a project's ``own``; 1 without imports."""
     roots = F.regexp_extract_all(code, F.lit(r"(?:from|import)\s+([a-zA-Z_]\w*)"), 1)
-    return F.coalesce(F.try_divide(F.size(F.filter(roots, lambda r: r.isin(*STANDARD_MODULES))), F.size(roots)), F.lit(1.0))
+    return F.coalesce(F.try_divide(F.size(F.filter(roots, lambda r: r.isin(*STANDARD_MODULES, *own))), F.size(roots)), F.lit(1.0))
 
 
 def structure_score(code: Column) -> Column:

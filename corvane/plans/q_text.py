@@ -214,18 +214,22 @@ def _(spark, d):
     return rows.withColumn("complexity", F.round("complexity", 6))
 
 
+#: A project's own intents, besides the default ones.
+_INTENTS = (*T.INTENTS, (("license", "terms"), ((r"license\.txt$", 0.35),)))
+
+
 def _boost_sql(q: str, p: str) -> str:
     parts = ["0.0"]
-    for names, rules in T.INTENTS:
+    for names, rules in _INTENTS:
         for rule, value in rules:
             parts.append(f"CASE WHEN list_has_any(regexp_split_to_array({norm(q)}, '\\s+'), {strings(names)}) AND regexp_matches(lower({p}), '{rule}') THEN {value} ELSE 0.0 END")
     return "greatest(" + ", ".join(parts) + ")"
 
 
-_Q25 = "['the yaml config of ', 'MockReranker in ', 'gpu health ', 'plain '][CAST(doc_id % 4 AS INTEGER) + 1] || source"
-_Q25_SPARK = "concat(element_at(array('the yaml config of ', 'MockReranker in ', 'gpu health ', 'plain '), cast(doc_id % 4 as int) + 1), source)"
-_P25 = "['/a/config/x', '/b/ports.yaml', '/c/mock_backend.py', '/core/doctor.py', '/x.yml'][CAST(doc_id % 5 AS INTEGER) + 1]"
-_P25_SPARK = "element_at(array('/a/config/x', '/b/ports.yaml', '/c/mock_backend.py', '/core/doctor.py', '/x.yml'), cast(doc_id % 5 as int) + 1)"
+_Q25 = "['the yaml config of ', 'fake mock in ', 'gpu health ', 'license terms ', 'plain '][CAST(doc_id % 5 AS INTEGER) + 1] || source"
+_Q25_SPARK = "concat(element_at(array('the yaml config of ', 'fake mock in ', 'gpu health ', 'license terms ', 'plain '), cast(doc_id % 5 as int) + 1), source)"
+_P25 = "['/a/config/x', '/b/ports.yaml', '/c/mock.py', '/d/health.py', '/x.yml', '/LICENSE.txt'][CAST(doc_id % 6 AS INTEGER) + 1]"
+_P25_SPARK = "element_at(array('/a/config/x', '/b/ports.yaml', '/c/mock.py', '/d/health.py', '/x.yml', '/LICENSE.txt'), cast(doc_id % 6 as int) + 1)"
 
 
 @query(
@@ -234,7 +238,7 @@ _P25_SPARK = "element_at(array('/a/config/x', '/b/ports.yaml', '/c/mock_backend.
 )
 def _(spark, d):
     q, p = F.expr(_Q25_SPARK), F.expr(_P25_SPARK)
-    return table(spark, d, "documents").select("doc_id", T.identifier_heavy(q).alias("identifier_heavy"), T.path_boost(q, p).alias("boost"))
+    return table(spark, d, "documents").select("doc_id", T.identifier_heavy(q).alias("identifier_heavy"), T.path_boost(q, p, _INTENTS).alias("boost"))
 
 
 _KW = f"list_filter(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*'), lambda w: NOT list_contains({strings(T.CLAIM_STOP_WORDS)}, lower(w)) AND length(w) > 2)"
@@ -317,19 +321,20 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.round(T.query_complexity(t), 6).alias("complexity"), F.round(T.answer_confidence(t), 6).alias("confidence"))
 
 
-_SRC = r"'import ' || ['os', 'numpy', 'json'][CAST(doc_id % 3 AS INTEGER) + 1] || chr(10) || 'from core.x import y' || chr(10) || 'def run_it():' || chr(10) || '    ' || text"
-_SRC_SPARK = "concat('import ', element_at(array('os', 'numpy', 'json'), cast(doc_id % 3 as int) + 1), '\n', 'from core.x import y', '\n', 'def run_it():', '\n', '    ', text)"
+_OWN = ("shop",)
+_SRC = r"'import ' || ['os', 'numpy', 'json'][CAST(doc_id % 3 AS INTEGER) + 1] || chr(10) || 'from shop.x import y' || chr(10) || 'def run_it():' || chr(10) || '    ' || text"
+_SRC_SPARK = "concat('import ', element_at(array('os', 'numpy', 'json'), cast(doc_id % 3 as int) + 1), '\n', 'from shop.x import y', '\n', 'def run_it():', '\n', '    ', text)"
 
 
 @query(
     "p34_code_style",
-    rf"""SELECT doc_id, round(coalesce(len(list_filter(i, lambda r: list_contains({strings(T.STANDARD_MODULES)}, r))) / nullif(len(i), 0), 1.0), 6) AS imports,
+    rf"""SELECT doc_id, round(coalesce(len(list_filter(i, lambda r: list_contains({strings((*T.STANDARD_MODULES, *_OWN))}, r))) / nullif(len(i), 0), 1.0), 6) AS imports,
     CASE WHEN s > c THEN 'snake' ELSE 'camel' END AS style FROM (SELECT doc_id, regexp_extract_all(code, '(?:from|import)\s+([a-zA-Z_]\w*)', 1) AS i,
     len(regexp_extract_all(code, '[a-z]+_[a-z]+')) AS s, len(regexp_extract_all(code, '[a-z]+[A-Z][a-z]+')) AS c FROM (SELECT doc_id, {_SRC} AS code FROM documents))""",
 )
 def _(spark, d):
     code = F.expr(_SRC_SPARK)
-    return table(spark, d, "documents").select("doc_id", F.round(T.import_score(code), 6).alias("imports"), T.naming_style(code).alias("style"))
+    return table(spark, d, "documents").select("doc_id", F.round(T.import_score(code, _OWN), 6).alias("imports"), T.naming_style(code).alias("style"))
 
 
 @query("p34_structure")
