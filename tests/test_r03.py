@@ -33,3 +33,19 @@ def test_quick_signatures_estimate_similarity(spark):
         assert abs(share - len(sets[i] & sets[j]) / len(sets[i] | sets[j])) < 0.15
     low = [v & 3 for x in rows for v in x["signature"]]
     assert min(low.count(v) for v in range(4)) > 0.15 * len(low)  # sketches need even bits
+
+
+def test_seeds_by_classes(spark):
+    """Pairs are right whatever the cells, and come out of them without being shuffled or made distinct."""
+    from corvane.operators import graph as G
+
+    r = random.Random(7)
+    words = ["gold", "old", "cold", "ring", "ringer", "bolt"]
+    names = [" ".join(r.choices(words, k=2)) for _ in range(60)] + ["", "xx"]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    want = sorted((q, n) for q, a in enumerate(names) for n, b in enumerate(names) if any(len(w) > 2 and w in b for w in a.split()))
+    for cell in (3, 4096):
+        got = G.seeds(df.selectExpr("id AS query_id", "name AS query"), df, cell=cell)
+        assert sorted((x["query_id"], x["node"]) for x in got.collect()) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan.split("Repartition")[0]
