@@ -49,3 +49,20 @@ def test_seeds_by_classes(spark):
         assert sorted((x["query_id"], x["node"]) for x in got.collect()) == want
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan.split("Repartition")[0]
+
+
+def test_see_also_in_blocks(spark):
+    """Blocks smaller than the table, of a key that all articles share and of ties, against brute force; no pair is a row of a join."""
+    from corvane.operators import graph as G
+
+    r = random.Random(8)
+    sets = [{"all"} | set(r.choices([f"w{i}" for i in range(12)], k=r.randint(0, 6))) for _ in range(70)]
+    df = spark.createDataFrame([(a, w) for a, s in enumerate(sets) for w in s], "article long, keyword string")
+    for least, block in ((1, 16), (2, 16), (2, 8192)):
+        want = []
+        for a, s in enumerate(sets):
+            best = sorted((-len(s & t), b) for b, t in enumerate(sets) if a != b and len(s & t) >= least)[:4]
+            want += [(a, b, -c, i + 1) for i, (c, b) in enumerate(best)]
+        got = G.see_also(df, least, 4, block=block)
+        assert sorted((x["a"], x["b"], x["common"], x["place"]) for x in got.collect()) == sorted(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
