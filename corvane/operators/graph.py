@@ -105,10 +105,16 @@ def neighbors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.union(back).distinct()
 
 
-def ppr(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
+#: Queries whose scores lie side by side in a row of ``ppr``.
+WIDE = 32
+
+
+def ppr(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5, wide: int = WIDE) -> DataFrame:
     """(query_id, node, score): personalised PageRank of many queries at once over undirected edges.
 
-    Seeds (query_id, node) share the teleport; what nodes without neighbours hold is lost. Edges are
+    Seeds (query_id, node) share the teleport; what nodes without neighbours hold is lost. Queries are
+    numbered and the scores of ``wide`` of them at most are columns of one row for each node, null
+    where a query hasn't come, so an edge sends one row for all of them. Edges are
     written once, then laid out by source once and kept so in memory and on disk of the executors, so
     a round shuffles scores only; a lost executor's part is laid out again from the written table.
     Scores are written to the shared folder every few rounds.
@@ -117,18 +123,23 @@ def ppr(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int =
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
     degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     links = cut(both.join(degree, "src"), "links").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").sortWithinPartitions("src").persist()
-    start = seeds.select("query_id", "node").distinct()
+    start = cut(seeds.select("query_id", "node").distinct(), "seeds")
     share = start.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    teleport = cut(start.join(share, "query_id").select("query_id", "node", (1 / F.col("n")).alias("t")), "teleport")
-    scores = teleport.select("query_id", "node", F.col("t").alias("score"))
-    jump = teleport.select("query_id", "node", (F.col("t") * (1 - damping)).alias("score"))
+    numbers = cut(global_rank(share, [F.col("query_id")], "nth"), "numbers")
+    wide = max(1, min(wide, numbers.count()))
+    columns = [f"s{i}" for i in range(wide)]
+    each = start.join(numbers, "query_id").select(F.floor(F.col("nth") / wide).alias("block"), (F.col("nth") % wide).alias("place"), "node", (1 / F.col("n")).alias("t"))
+    teleport = cut(each.groupBy("block", "node").agg(*[F.max(F.when(F.col("place") == i, F.col("t"))).alias(c) for i, c in enumerate(columns)]), "teleport")
+    scores = teleport
+    jump = teleport.select("block", "node", *[(F.col(c) * (1 - damping)).alias(c) for c in columns])
     for i in range(1, rounds + 1):
-        flow = scores.join(links, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"), (F.col("score") * damping / F.col("deg")).alias("score"))
-        scores = flow.unionByName(jump).groupBy("query_id", "node").agg(F.sum("score").alias("score"))
+        flow = scores.join(links, F.col("node") == F.col("src")).select("block", F.col("dst").alias("node"), *[(F.col(c) * damping / F.col("deg")).alias(c) for c in columns])
+        scores = flow.unionByName(jump).groupBy("block", "node").agg(*[F.sum(c).alias(c) for c in columns])
         if i % every == 0 or i == rounds:
             scores = cut(scores, "scores")
     links.unpersist()
-    return scores
+    out = scores.select("block", "node", F.posexplode(F.array(*columns)).alias("place", "score")).where("score IS NOT NULL")
+    return out.withColumn("nth", F.col("block") * wide + F.col("place")).join(numbers, "nth").select("query_id", "node", "score")
 
 
 #: Queries, and nodes, of a class that meet as many others in one cell.

@@ -66,3 +66,29 @@ def test_see_also_in_blocks(spark):
         got = G.see_also(df, least, 4, block=block)
         assert sorted((x["a"], x["b"], x["common"], x["place"]) for x in got.collect()) == sorted(want)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ppr_of_more_queries_than_a_row_holds(spark):
+    from corvane.operators import graph as G
+
+    r = random.Random(9)
+    edges = {(r.randrange(12), r.randrange(12)) for _ in range(20)} | {(20, 21)}
+    seeds = [(q, r.randrange(12)) for q in range(5) for _ in range(2)] + [(7, 20), (8, 99)]
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for q in {q for q, _ in seeds}:
+        own = {n for x, n in seeds if x == q}
+        s = {n: 1 / len(own) for n in own}
+        for _ in range(6):
+            t = {n: 0.15 / len(own) for n in own}
+            for n, v in s.items():
+                for m in near.get(n, ()):
+                    t[m] = t.get(m, 0) + 0.85 * v / len(near[n])
+            s = t
+        want |= {(q, n): round(v, 9) for n, v in s.items()}
+    got = G.ppr(spark.createDataFrame(list(edges), "src long, dst long"), spark.createDataFrame(seeds, "query_id long, node long"), rounds=6, wide=2)
+    assert {(x["query_id"], x["node"]): round(x["score"], 9) for x in got.collect()} == want
