@@ -38,6 +38,8 @@ W = 35
 K = 8
 #: Bits of a sieve: a table of hashes that lets through all that are wanted and some more.
 SIEVE_BITS = 27
+#: Bytes of text whose windows are held at once: a digest for each of them takes about a hundred times as much.
+PIECE = 1 << 19
 
 
 class Words:
@@ -150,7 +152,7 @@ def anchors(docs: DataFrame, w: int, k: int) -> DataFrame:
     """(anchor, n): all anchors and how many paths have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, size=PIECE):
             values, n = np.unique(paths_of(piece, w, k).anchor, return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(values), pa.array(n)], ["anchor", "n"])
 
@@ -162,7 +164,7 @@ def paths(docs: DataFrame, table, w: int, k: int) -> DataFrame:
     that follows in the text, null at the text's end and before a path that doesn't pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, size=PIECE):
             p = paths_of(piece, w, k)
             on = passes(table.value, p.anchor)
             key = piece.column("key").to_numpy()[p.doc[on]]
@@ -181,7 +183,7 @@ def edges(docs: DataFrame, table, w: int, k: int) -> DataFrame:
     """(key, pos, names, checks): the edges of all paths whose place passes the sieve, with both halves of their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, size=PIECE):
             p = paths_of(piece, w, k)
             key = piece.column("key").to_numpy()[p.doc] if len(p.doc) else np.zeros(0, np.int64)
             on = np.flatnonzero(passes(table.value, occurrence(key, p.pos, p.n)))
@@ -209,7 +211,7 @@ def proofs(docs: DataFrame, table, w: int, k: int) -> DataFrame:
     """(key, pos, check): the second half of the digest of every path whose place passes the sieve, read from its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, size=PIECE):
             p = paths_of(piece, w, k)
             key = piece.column("key").to_numpy()[p.doc] if len(p.doc) else np.zeros(0, np.int64)
             on = np.flatnonzero(passes(table.value, occurrence(key, p.pos, p.n)))
@@ -337,7 +339,7 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
     extra = ", kept_text string" if with_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "_text"):
+        for piece in pieces(batches, "_text", PIECE):
             words = Words(*joined_column(piece.column("_text")))
             raw = words.data.tobytes()
             total, gone, sums, kept = [], [], [], []
