@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +51,22 @@ class Index:
 
 
 def index_rows(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """The rows of an index. Terms of a chunk are counted by sorting them; nothing is shuffled. Null texts have no terms but count as chunks."""
-    sorted_ = F.sort_array(T.terms(F.coalesce(F.col(text_col), F.lit(""))))
-    words = chunks.select(F.col(id_col).alias("chunk_id"), sorted_.alias("t"))
-    first = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
-    runs = words.select("chunk_id", "t", F.when(F.size("t") > 0, first).otherwise(F.array().cast("array<int>")).alias("f"))
-    stop = lambda n: F.coalesce(F.get("f", n + 1), F.size("t") + 1)
-    terms = F.transform("f", lambda i, n: F.struct(F.element_at("t", i).alias("term"), (stop(n) - i).cast("long").alias("tf")))
-    return runs.select("chunk_id", F.size("t").cast("long").alias("dl"), terms.alias("terms"))
+    """The rows of an index. Terms of a chunk are counted where it lies; nothing is shuffled. Null texts have no terms but count as chunks."""
+    words = chunks.select(F.col(id_col).alias("chunk_id"), T.terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    return words.mapInArrow(_counted, f"chunk_id {words.schema['chunk_id'].dataType.simpleString()}, dl long, terms array<struct<term:string,tf:bigint>>")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk_id, dl, terms) from (chunk_id, terms with repeats)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            piece = batch.slice(at, 2048)
+            flat = piece.column(1).flatten().dictionary_encode()
+            size, n = np.diff(piece.column(1).offsets.to_numpy()), max(1, len(flat.dictionary))
+            keys, tf = np.unique(np.repeat(np.arange(piece.num_rows), size) * n + flat.indices.to_numpy(), return_counts=True)
+            terms = pa.StructArray.from_arrays([flat.dictionary.take(pa.array(keys % n)), pa.array(tf)], ["term", "tf"])
+            begins = pa.array(np.searchsorted(keys // n, np.arange(piece.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(begins, terms)], ["chunk_id", "dl", "terms"])
 
 
 def write_index(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text", append: bool = False) -> Index:
@@ -80,24 +89,137 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     return queries.select(F.col(id_col).alias("query_id"), F.explode(T.terms(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def bm25_scores(terms: DataFrame, index: Index, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_scores(terms: DataFrame, index: Index, k1: float = 1.2, b: float = 0.75, best: int | None = None) -> DataFrame:
     """Every match of any term: (query_id, chunk_id, score), score = sum of weight x idf x tf (k1 + 1) / (tf + k1 (1 - b + b dl / mean dl)).
 
     idf = ln((N - df + 0.5) / (df + 0.5)), a millionth at least. Only postings of the queries' terms
-    are counted and joined. Up to ASKED_ROWS query terms go to all tasks; their number is counted first.
+    are counted and joined. Up to ASKED_ROWS query terms go to all tasks, which add up a chunk's
+    scores where its row lies, so no scores are shuffled; their number is counted first. With ``best``
+    a task keeps that many hits a query, ``top_hits`` of which are those of all matches. Rows that
+    share an id add up: then, as with more terms, scores are added up in a shuffle.
     """
-    total = index.chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean_dl")).first()
+    total = index.chunks.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("ids"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean_dl")).first()
     asked = cut(terms.select("query_id", "term", "weight"), "asked")
     small = asked.count() <= ASKED_ROWS
     sent = F.broadcast if small else lambda df: df
-    counts = index.postings.join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if small:
+        counts = index.table.select("terms").mapInArrow(_holding(asked.sparkSession.sparkContext.broadcast(asked.select("term").distinct().toArrow()["term"].combine_chunks())), "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    else:
+        counts = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(total["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighed = cut(asked.join(counts, "term").select("query_id", "term", (F.col("weight") * idf).alias("w")), "asked")
+    if small and total["ids"] == total["n"]:
+        by_query = weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("l")).toArrow()
+        shared = asked.sparkSession.sparkContext.broadcast(Asked.of(by_query))
+        kinds = [weighed.schema["query_id"].dataType.simpleString(), index.table.schema["chunk_id"].dataType.simpleString()]
+        return index.table.select("chunk_id", "dl", "terms").mapInArrow(_scored(shared, total["mean_dl"], k1, b, best), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(total["mean_dl"]))
     found = index.postings.join(sent(weighed), "term").select("query_id", "chunk_id", (F.col("w") * F.col("tf") * (k1 + 1) / norm).alias("part"))
     return found.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
+@dataclass
+class Asked:
+    """The terms of all queries, with the queries that have each: numbers and weights of term i stand in begins[i] to begins[i + 1]."""
+
+    ids: pa.Array
+    terms: pa.Array
+    begins: np.ndarray
+    query: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, by_query: pa.Table) -> Asked:
+        """From one row a query: its id and a list of (term, weight)."""
+        lists = by_query.column("l").combine_chunks()
+        flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        terms = flat.field("term").dictionary_encode()
+        code = terms.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        begins = np.searchsorted(code[order], np.arange(len(terms.dictionary) + 1))
+        return cls(by_query.column("query_id").combine_chunks(), terms.dictionary, begins, np.repeat(np.arange(len(size)), size)[order], flat.field("w").to_numpy()[order])
+
+
+#: Scores of a term in a chunk that are added up at once.
+PARTS = 1 << 20
+
+
+def _holding(shared) -> Callable:
+    """How many rows of an index hold each of the terms, one row a term and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, n = shared.value, np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            code = pc.drop_null(pc.index_in(batch.column(0).flatten().field("term"), value_set=terms)).to_numpy()
+            n += np.bincount(code, minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([terms.take(pa.array(some)), pa.array(n[some])], ["term", "df"])
+
+    return run
+
+
+def _scored(shared, mean_dl: float, k1: float, b: float, best: int | None) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: Asked = shared.value
+        names = ["query_id", "chunk_id", "score"]
+        held = None
+        for batch in batches:
+            for query, row, score in _added(batch, asked, mean_dl, k1, b):
+                if best is None:
+                    yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(score)], names)
+                    continue
+                tied = np.round(score, 6)  # only rows that may be among a query's best meet those held
+                order = np.lexsort((-tied, query))
+                query, row, score, tied = query[order], row[order], score[order], tied[order]
+                first = np.searchsorted(query, query)
+                enough = np.minimum(first + best, np.searchsorted(query, query, "right")) - 1
+                on = tied >= tied[enough]
+                chunk, query, score = batch.column(0).take(pa.array(row[on])), query[on], score[on]
+                if held is not None:
+                    query, score, chunk = np.concatenate([held[0], query]), np.concatenate([held[1], score]), pa.concat_arrays([held[2], chunk])
+                place = pc.sort_indices(pa.table({"q": query, "s": -np.round(score, 6), "c": chunk}), [("q", "ascending"), ("s", "ascending"), ("c", "ascending")], null_placement="at_start").to_numpy()
+                query = query[place]
+                on = np.arange(len(query)) - np.searchsorted(query, query) < best
+                held = query[on], score[place[on]], chunk.take(pa.array(place[on]))
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(held[0])), held[2], pa.array(held[1])], names)
+
+    return run
+
+
+def _added(batch: pa.RecordBatch, asked: Asked, mean_dl: float, k1: float, b: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of query, row, score) of a batch of an index, about PARTS parts of scores at a time."""
+    postings = batch.column(2).flatten()
+    row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+    code = pc.fill_null(pc.index_in(postings.field("term"), value_set=asked.terms), -1).to_numpy()
+    on = np.flatnonzero(code >= 0)
+    code, row, tf = code[on], row[on], postings.field("tf").to_numpy()[on]
+    dl = batch.column(1).to_numpy()[row]
+    value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean_dl))
+    n = asked.begins[code + 1] - asked.begins[code]
+    parts = np.cumsum(n)
+    last = np.searchsorted(row, np.arange(batch.num_rows), "right")  # postings up to each row's end
+    at = 0
+    while at < batch.num_rows:
+        lo = last[at - 1] if at else 0
+        done = parts[lo - 1] if lo else 0
+        to = max(at + 1, int(np.searchsorted(np.append(0, parts)[last], done + PARTS, "right")))
+        hi = last[to - 1]
+        m = n[lo:hi]
+        if m.sum():
+            each = np.repeat(asked.begins[code[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            key = asked.query[each] * (to - at) + np.repeat(row[lo:hi] - at, m)
+            part = asked.weight[each] * np.repeat(value[lo:hi], m)
+            if len(asked.ids) * (to - at) <= 4 * PARTS:
+                found, score = np.flatnonzero(np.bincount(key, minlength=1)), np.bincount(key, part)
+                score = score[found]
+            else:
+                found, where = np.unique(key, return_inverse=True)
+                score = np.bincount(where, part)
+            yield found // (to - at), at + found % (to - at), score
+        at = to
+
+
 def top_hits(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), digits: int = 6) -> DataFrame:
     """The best k hits of each query with their rank; scores that agree to ``digits`` places tie."""
     order = Window.partitionBy(*by).orderBy(F.round("score", digits).desc(), F.col("chunk_id").asc())
@@ -105,7 +227,8 @@ def top_hits(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), digit
 
 
 def bm25(queries: DataFrame, index: Index, k: int = 10, **kw) -> DataFrame:
-    return top_hits(bm25_scores(query_terms(queries), index, **kw), k)
+    """The best k hits of each query, written, so that joins know their size."""
+    return cut(top_hits(bm25_scores(query_terms(queries), index, best=k, **kw), k), "hits")
 
 
 def bm25_quality(queries: DataFrame, index: Index, quality: DataFrame, min_quality: int, k: int = 10) -> DataFrame:
@@ -199,7 +322,7 @@ def dbsf(lists: DataFrame) -> DataFrame:
 
 def hybrid(queries: DataFrame, index: Index, vectors: DataFrame, k: int = 10, fuse: Callable[[DataFrame], DataFrame] = rrf) -> DataFrame:
     """Keyword and vector hits of queries (query_id, query, embedding), fused. Identifier-heavy queries get a keyword pool three times as deep."""
-    pool = top_hits(bm25_scores(query_terms(queries), index), 3 * k)
+    pool = top_hits(bm25_scores(query_terms(queries), index, best=3 * k), 3 * k)
     heavy = queries.select("query_id", T.identifier_heavy(F.col("query")).alias("heavy"))
     sparse = pool.join(heavy, "query_id").where(F.col("heavy") | (F.col("rank") <= k)).select("query_id", "chunk_id", "score", F.lit("keyword").alias("list"))
     dense = knn(queries.select("query_id", "embedding"), vectors, k).select("query_id", "chunk_id", "score", F.lit("vector").alias("list"))
@@ -305,7 +428,7 @@ def search_all_terms(queries: DataFrame, index: Index, k: int = 10) -> DataFrame
 def lesson_recall(queries: DataFrame, index: Index, lessons: DataFrame, k: int = 3) -> DataFrame:
     """Among the best 2k hits with a long word in common, passes first, then failures that carry a lesson (chunk_id, passed, lesson)."""
     long = query_terms(queries).where(F.length("term") > 3)
-    hits = top_hits(bm25_scores(long, index), 2 * k).join(lessons, "chunk_id").where(F.col("passed") | (F.coalesce("lesson", F.lit("")) != ""))
+    hits = top_hits(bm25_scores(long, index, best=2 * k), 2 * k).join(lessons, "chunk_id").where(F.col("passed") | (F.coalesce("lesson", F.lit("")) != ""))
     order = Window.partitionBy("query_id").orderBy(F.col("passed").desc(), F.col("rank"))
     return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "place", "chunk_id", "passed")
 

@@ -157,7 +157,7 @@ OVERLAP = f"coalesce(len(list_intersect({_WORDS.replace('{0}', 'query')}, {_WORD
 
 @query("r11_rerank", f"WITH {SCORES}, r AS (SELECT query_id, chunk_id, {OVERLAP} AS score FROM {top('s', 20)} JOIN asked USING (query_id) JOIN documents ON chunk_id = doc_id) SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM {top('r', 5)}")
 def _(spark, d):
-    hits = R.bm25(_queries(spark, d), _index(spark, d), 20).join(_queries(spark, d), "query_id").join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    hits = R.bm25(_queries(spark, d), _index(spark, d), 20).join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(_queries(spark, d), "query_id")
     return R.rerank(hits, R.overlap_score(F.col("query"), F.col("text")), 5).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -252,7 +252,7 @@ _CW = f"list_distinct(list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9_]+')
     SELECT claim_id, supports, low_overlap, CAST(round({clamp("CASE supports WHEN 0 THEN 0.0 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 ELSE 0.9 END - 0.15 * low_overlap")}, 6) AS DOUBLE) AS confidence, supports >= 2 AND supports > low_overlap AS verified FROM n""",
 )
 def _(spark, d):
-    hits = R.bm25(_queries(spark, d), _index(spark, d), 5).join(_queries(spark, d), "query_id").join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    hits = R.bm25(_queries(spark, d), _index(spark, d), 5).join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(_queries(spark, d), "query_id")
     return R.verify_claims(hits.select(F.col("query_id").alias("claim_id"), F.col("query").alias("claim"), "text"))
 
 

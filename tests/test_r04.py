@@ -40,3 +40,40 @@ def test_substrings_opens_edges_in_bounded_memory():
         tracemalloc.stop()
     assert windows == 1000 * (600 - substrings.W + 1)
     assert peak < 32
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_shuffles_no_scores(spark):
+    """bm25_top10, r07_rrf, r08_dbsf, r11_rerank, r12_corrective, a09_retrieval_metrics: a task sends its best hits only, and they are those of all scores."""
+    from corvane.operators import retrieve as R
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"t{i}" for i in rng.zipf(1.5, 30) % 40) for _ in range(600)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, None), (1001, "")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(i, f"t{i} t1 t1 t2") for i in range(30)], "query_id long, query string")
+    index = R.build_index(docs.repartition(6))
+    scores = R.bm25_scores(R.query_terms(asked), index)
+    assert "Exchange" not in _plan(scores)
+    few = R.bm25_scores(R.query_terms(asked), index, best=4)
+    assert few.count() <= 30 * 4 * index.table.rdd.getNumPartitions() < scores.count()
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 6)) for r in df.collect())
+    assert rows(R.top_hits(few, 4)) == rows(R.top_hits(scores, 4)) == rows(R.bm25(asked, index, 4))
+
+
+def test_bm25_by_tasks_and_by_shuffle_agree(spark, monkeypatch):
+    """bm25: more query terms than go to all tasks, repeated ids, string ids and an empty index."""
+    from corvane.operators import retrieve as R
+
+    docs = spark.createDataFrame([("a", "red green"), ("b", "green green blue"), ("b", "red"), ("c", "blue blue sky"), (None, "sky red")], "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "green red"), (2, "blue sky unheard"), (None, "red"), (3, None)], "query_id int, query string")
+    rows = lambda df: sorted(((r["query_id"] or 0, r["chunk_id"] or "", round(r["score"], 9)) for r in df.collect()))
+    for table in (docs, docs.where("text <> 'red'").where("chunk_id is not null"), docs.limit(0)):
+        index = R.build_index(table)
+        with monkeypatch.context() as m:
+            here = rows(R.bm25_scores(R.query_terms(asked), index))
+            m.setattr(R, "ASKED_ROWS", 0)
+            assert here == rows(R.bm25_scores(R.query_terms(asked), index))
+    assert R.bm25(asked, R.build_index(docs.limit(0))).count() == 0
