@@ -14,13 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corvane.operators.retrieve import knn, top_hits
+from corvane.operators.retrieve import PRODUCTS, knn, top_hits
 from corvane.plans import sampling
 from corvane.plans.scratch import cut, scratch_path
 
 #: Vectors of a block, and queries that meet one at a time.
 TILE = 2048
 
+#: Copies of query vectors that leave a task at once.
+COPIES = 1 << 13
+
+#: Blocks that vectors are dealt to for pairs, so a vector is sent this often; more once a block has so many bytes of single precision.
+BLOCKS, BLOCK_BYTES = 32, 8 << 20
+
 
 def _stacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A list column of one length, without nulls, as a matrix of doubles."""
@@ -85,10 +91,11 @@ class CellIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(0, batch.num_rows, 512):
-                    piece = batch.slice(i, 512)
+                n = min(probes, len(sent.value.low))
+                step = max(1, COPIES // n)
+                for i in range(0, batch.num_rows, step):
+                    piece = batch.slice(i, step)
                     gaps = _gaps(_stacked(piece.column(1)), sent.value.low)
-                    n = min(probes, gaps.shape[1])
                     near = np.argpartition(gaps, n - 1, axis=1)[:, :n] if n < gaps.shape[1] else np.tile(np.arange(n), (len(gaps), 1))
                     rows = pa.array(np.repeat(np.arange(piece.num_rows), n))
                     yield pa.RecordBatch.from_arrays([piece.column(0).take(rows), piece.column(1).take(rows), pa.array(near.reshape(-1))], ["query_id", "v", "cell"])
@@ -118,15 +125,20 @@ class CellIndex:
             if not vectors.num_rows or not asks.num_rows:
                 return schema.empty_table()
             vectors = vectors.sort_by("chunk_id")
-            s = _stacked(asks.column("v")) @ _stacked(vectors.column("v")).T
-            tied = np.round(s, 6)
-            least = np.partition(tied, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-            row, col = np.nonzero(tied >= least[:, None])
-            order = np.lexsort((col, -tied[row, col], row))
-            row, col = row[order], col[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, col = row[keep], col[keep]
-            return pa.Table.from_arrays([asks.column("query_id").take(pa.array(row)), vectors.column("chunk_id").take(pa.array(col)), pa.array(s[row, col])], schema=schema)
+            x, asked = _stacked(vectors.column("v")).T, _stacked(asks.column("v"))
+            step, parts = max(1, PRODUCTS // vectors.num_rows), []
+            for i in range(0, len(asked), step):
+                s = asked[i : i + step] @ x
+                tied = np.round(s, 6)
+                least = np.partition(tied, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                row, col = np.nonzero(tied >= least[:, None])
+                order = np.lexsort((col, -tied[row, col], row))
+                row, col = row[order], col[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[keep], col[keep]
+                parts.append((i + row, col, s[row, col]))
+            row, col, score = (np.concatenate(part) for part in zip(*parts, strict=True))
+            return pa.Table.from_arrays([asks.column("query_id").take(pa.array(row)), vectors.column("chunk_id").take(pa.array(col)), pa.array(score)], schema=schema)
 
         found = left.select(*keys, "chunk_id", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "v").groupBy(*keys)).applyInArrow(run, f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double")
         return top_hits(found, k)
@@ -204,14 +216,19 @@ def knn_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, recall: float
 # --- exact pairs ---
 
 
-def block_pairs(vectors: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+def block_pairs(vectors: DataFrame, threshold: float, tile: int | None = None) -> DataFrame:
     """(a, b), a < b by id: vectors (id, embedding) with a cosine over ``threshold``; equal vectors are one, see ``vector_classes``.
 
     Vectors are dealt to blocks, and each two blocks meet in one task, by a key of their own: exact,
-    and a square in the number of different vectors. Null vectors have no pair; zero vectors neither.
+    and a square in the number of different vectors. A block has ``tile`` vectors; if none is given
+    a share of 1 / BLOCKS, from TILE up to BLOCK_BYTES, so what is sent grows like the table until
+    blocks are full. They travel in the precision they have. Null vectors have no pair; zero vectors neither.
     """
-    rows = cut(vectors.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("v")), "pair_rows")
-    n = max(1, -(-rows.count() // tile))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = cut(vectors.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("v")), "pair_rows")
+    have = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()
+    tile = tile or max(TILE, min(-(-have["n"] // BLOCKS), BLOCK_BYTES // (4 * max(1, have["dims"] or 1))))
+    n = max(1, -(-have["n"] // tile))
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     met = met.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v")
@@ -224,8 +241,11 @@ def block_pairs(vectors: DataFrame, threshold: float, tile: int = TILE) -> DataF
         x, block = _stacked(part.column("v")), part.column("own").to_numpy()
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         first, second = (np.flatnonzero(block == b) for b in (i, j))
-        p, q = np.nonzero(x[first] @ x[second].T > threshold)
-        p, q = first[p], second[q]
+        right, step, found = x[second].T, max(1, PRODUCTS // max(1, len(second))), []
+        for at in range(0, len(first), step):
+            p, q = np.nonzero(x[first[at : at + step]] @ right > threshold)
+            found.append((first[at + p], second[q]))
+        p, q = (np.concatenate([np.zeros(0, np.int64), *part]) for part in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         keep = p < q if i == j else np.ones(len(p), bool)
         low, high = np.minimum(p, q)[keep], np.maximum(p, q)[keep]
         return pa.Table.from_arrays([part.column("id").take(pa.array(low)), part.column("id").take(pa.array(high))], schema=schema)

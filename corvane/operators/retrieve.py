@@ -20,6 +20,9 @@ from corvane.plans.scratch import cut
 #: Query vectors that are sent to all tasks at once; more of them take more passes.
 QUERY_BLOCK = 4096
 
+#: Products of queries and vectors that a task holds at once.
+PRODUCTS = 1 << 21
+
 
 #: Rows of query terms that go to all tasks; more of them meet the postings in a shuffle.
 ASKED_ROWS = 1_000_000
@@ -276,8 +279,9 @@ def _products(shared, k: int) -> Callable:
         ids, q = shared.value
         held = [np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)]  # query number, chunk, score
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                piece = batch.slice(at, 2048)
+            step = max(64, PRODUCTS // len(q))
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
                 chunk = piece.column(0).to_numpy(zero_copy_only=False)
                 x = piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1)
                 raw = q @ x.T

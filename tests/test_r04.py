@@ -77,3 +77,39 @@ def test_bm25_by_tasks_and_by_shuffle_agree(spark, monkeypatch):
             m.setattr(R, "ASKED_ROWS", 0)
             assert here == rows(R.bm25_scores(R.query_terms(asked), index))
     assert R.bm25(asked, R.build_index(docs.limit(0))).count() == 0
+
+
+def test_probed_copies_leave_in_bounded_batches():
+    """r06_knn_cells: however many cells a query asks for, a batch holds a bounded number of copies of query vectors."""
+    from corvane.operators import cells
+
+    class Index(cells.CellIndex):
+        def _sent(self):
+            return _Sent(self.layers)
+
+    class Queries(_Handed):
+        schema = {"query_id": type("F", (), {"dataType": type("T", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+    low = np.random.default_rng(1).normal(size=(900, 4))
+    index = Index(None, cells.Layers(low[:1], low, np.array([0, 900])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array([[float(i), 1.0, 2.0, 3.0] for i in range(1000)])], ["query_id", "v"])
+    sizes = [b.num_rows for b in index.probed(Queries(), 450)(iter([batch]))]
+    assert sum(sizes) == 450_000 and max(sizes) <= cells.COPIES
+
+
+def test_block_pairs_sends_a_vector_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    """d09_cosine_pairs, d09_dedup_cosine: with twice the vectors each of them is sent as often, in its own precision, and the pairs are all."""
+    from corvane.operators import cells
+
+    monkeypatch.setattr(cells, "TILE", 4)
+    monkeypatch.setattr(cells, "BLOCKS", 8)
+    monkeypatch.setattr(cells, "PRODUCTS", 50)
+    x = np.random.default_rng(2).normal(size=(200, 5)).astype(np.float32)
+    for n in (100, 200):
+        df = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "id long, embedding array<float>").repartition(3)
+        pairs = cells.block_pairs(df, 0.8)
+        plan = pairs._jdf.queryExecution().analyzed().toString()
+        assert "sequence(0, 7" in plan and "array<double>" not in plan
+        unit = x[:n].astype(float) / np.linalg.norm(x[:n].astype(float), axis=1)[:, None]
+        a, b = np.nonzero(np.triu(unit @ unit.T > 0.8, 1))
+        assert sorted(map(tuple, pairs.collect())) == sorted(zip(a.tolist(), b.tolist(), strict=True))
