@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.textbatch import BLANK, joined_column, mix, pieces, shingle_hashes, span_hashes, word_edges
@@ -40,6 +41,8 @@ K = 8
 SIEVE_BITS = 27
 #: Bytes of text whose windows are held at once: a digest for each of them takes about a hundred times as much.
 PIECE = 1 << 19
+#: Rows that go to Python at once while spans are found.
+ROWS = 2000
 
 
 class Words:
@@ -307,6 +310,18 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return long.unionByName(short)
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ROWS rows at most, as whole texts lie in them on both sides; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(key))
+    spark.conf.set(key, min(own, ROWS) if own > 0 else ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_id", text_col: str = "text", w: int = W, k: int = K, with_text: bool = False) -> DataFrame:
     """``keep``, n_words, n_removed and kept_sha256 (and kept_text if asked for) of every row.
 
@@ -318,10 +333,11 @@ def remove_repeats(df: DataFrame, keep: list[str | Column], id_col: str = "doc_i
     each of its words and its bytes three times over; nothing grows with the number of its copies. Columns besides ``keep`` are not read, whatever their names.
     Texts that can't have a repeated span, as a sieve of the keys with spans tells, stay where they are.
     """
-    spans = repeated_spans(df, id_col, text_col, w, k)
-    # as a set, so that rows alike in id and text, which share a key, add nothing: at most two spans for each word of one text
-    packed = spans.groupBy("key").agg(F.collect_set(F.struct("pos", "n", "parts", "name", "check")).alias("spans"))
-    packed = cut(packed.select(F.col("key").alias("_spans_key"), "spans"), "spans")
+    with short_batches(df.sparkSession):
+        spans = repeated_spans(df, id_col, text_col, w, k)
+        # as a set, so that rows alike in id and text, which share a key, add nothing: at most two spans for each word of one text
+        packed = spans.groupBy("key").agg(F.collect_set(F.struct("pos", "n", "parts", "name", "check")).alias("spans"))
+        packed = cut(packed.select(F.col("key").alias("_spans_key"), "spans"), "spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = df.select(*keep, text.alias("_text"), F.xxhash64(F.col(id_col), text).alias("_key"))
     names = source.columns[:-2]

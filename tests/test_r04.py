@@ -113,3 +113,12 @@ def test_block_pairs_sends_a_vector_to_a_bounded_number_of_blocks(spark, monkeyp
         unit = x[:n].astype(float) / np.linalg.norm(x[:n].astype(float), axis=1)[:, None]
         a, b = np.nonzero(np.triu(unit @ unit.T > 0.8, 1))
         assert sorted(map(tuple, pairs.collect())) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_substrings_sends_short_batches(spark):
+    """op5_substrings: while spans are found, batches of texts are short; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    with substrings.short_batches(spark):
+        assert int(spark.conf.get(key)) == substrings.ROWS
+    assert spark.conf.get(key) == own
