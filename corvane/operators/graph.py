@@ -60,11 +60,14 @@ DOC = 200
 
 
 def entities(chunks: DataFrame) -> DataFrame:
-    """(id, name, kind, file, doc): functions, classes and imported names of chunks (file, content); an id names its file, ``doc`` is the start of the docstring, empty where there is none."""
+    """(id, name, kind, file, doc): functions, classes and imported names of chunks (file, content); an id names its file, ``doc`` is the start of the docstring, empty where there is none.
+
+    The largest of several strings is found by sorting, so equal rows are taken together by hash before; the shuffle in between keeps both steps apart.
+    """
     kinds = (("function", r"(?m)^\s*(?:async\s+)?def\s+(\w+)" + _DOC), ("class", r"(?m)^\s*class\s+(\w+)" + _DOC), ("import", r"(?m)^\s*from\s+[\w.]+\s+import\s+(\w+)()"))
     found = F.concat(*[_named(k, p) for k, p in kinds])
-    rows = chunks.select("file", F.explode(F.array_distinct(found)).alias("e"))
-    return rows.groupBy(F.concat_ws("::", "file", "e.name").alias("id"), "e.name", "e.kind", "file").agg(F.max("e.doc").alias("doc"))
+    rows = chunks.select("file", F.explode(F.array_distinct(found)).alias("e")).select("file", "e.*").distinct().repartition("file", "name", "kind")
+    return rows.groupBy("file", "name", "kind").agg(F.max("doc").alias("doc")).select(F.concat_ws("::", "file", "name").alias("id"), "name", "kind", "file", "doc")
 
 
 def _named(kind: str, pattern: str):
