@@ -155,7 +155,7 @@ def ppr(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int =
     return found.unionByName(alone)
 
 
-#: Scores of nodes of a block, by their places in it, one array of ``wide`` rows.
+#: Scores of nodes of a block, by their places in it (the first, if they follow each other), one array of ``wide`` rows.
 _SCORES = "block int, group int, at binary, score binary"
 #: Links of the targets of a part of a block: how many each has, and their sources. Part -1 has the jumps of a group: places and a row of them for each query.
 _HELD = "block int, part int, a binary, b binary"
@@ -197,6 +197,10 @@ def _jumps(teleport: DataFrame, blocks: int, wide: int) -> DataFrame:
     return dealt.groupBy("block", "group").applyInArrow(pack, _HELD + ", group int")
 
 
+def _places(at: np.ndarray, score: np.ndarray) -> np.ndarray:
+    return at[0] + np.arange(score.shape[1]) if len(at) == 1 else at
+
+
 def _arrays(table: pa.Table, name: str, dtype: type) -> list[np.ndarray]:
     """A binary column's values as arrays, not copied."""
     return [np.frombuffer(x.as_buffer(), dtype) for x in table.column(name)]
@@ -210,7 +214,8 @@ def _round(i: int, rounds: int, damping: float, size: int, blocks: int, wide: in
         mine = -(-(size - block) // blocks)
         before = np.zeros((wide, size)) if sent.num_rows else None
         for origin, at, score in zip(sent.column("origin").to_pylist(), _arrays(sent, "at", np.int64), _arrays(sent, "score", np.float64), strict=True):
-            before[:, at * blocks + origin] = score.reshape(wide, -1)
+            score = score.reshape(wide, -1)
+            before[:, _places(at, score) * blocks + origin] = score
         now, degree, jumps, first = np.zeros((wide, mine)), np.zeros(mine), [], 0
         parts = held.column("part").to_pylist()
         for part, nth in sorted((p, n) for n, p in enumerate(parts)):
@@ -242,7 +247,7 @@ def _round(i: int, rounds: int, damping: float, size: int, blocks: int, wide: in
         rows = [at[x : x + SENT] for x in range(0, len(at), SENT)]
         return pa.table({
             "block": pa.array([block] * len(rows), pa.int32()), "group": pa.array([group] * len(rows), pa.int32()),
-            "at": pa.array([x.tobytes() for x in rows], pa.binary()), "score": pa.array([now[:, x].tobytes() for x in rows], pa.binary()),
+            "at": pa.array([(x[:1] if x[-1] - x[0] < len(x) else x).tobytes() for x in rows], pa.binary()), "score": pa.array([now[:, x].tobytes() for x in rows], pa.binary()),
         })
 
     return run
@@ -255,7 +260,8 @@ def _told(blocks: int, wide: int):
         for batch in batches:
             for nth in range(batch.num_rows):
                 block, group = (batch.column(c)[nth].as_py() for c in (0, 1))
-                at, score = np.frombuffer(batch.column(2)[nth].as_buffer(), np.int64), np.frombuffer(batch.column(3)[nth].as_buffer(), np.float64).reshape(wide, -1)
+                score = np.frombuffer(batch.column(3)[nth].as_buffer(), np.float64).reshape(wide, -1)
+                at = _places(np.frombuffer(batch.column(2)[nth].as_buffer(), np.int64), score)
                 for k in range(wide):
                     good = ~np.isnan(score[k])
                     yield pa.RecordBatch.from_arrays([pa.array(at[good] * blocks + block), pa.array(np.full(good.sum(), group * wide + k)), pa.array(score[k][good])], ["id", "nth", "score"])

@@ -45,3 +45,21 @@ def test_ppr_of_nothing(spark):
     edges, seeds = spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([(1, 2)], "query_id long, node long")
     assert [tuple(r) for r in graph.ppr(edges, seeds).collect()] == [(1, 2, pytest.approx(0.15))]
     assert graph.ppr(spark.createDataFrame([(1, 2)], "src long, dst long"), seeds.limit(0)).collect() == []
+
+
+def _shuffled(spark):
+    """Rows that this session has shuffled so far."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_ppr_shuffles_no_edge_in_a_round(spark):
+    edges = spark.range(0, 20000, numPartitions=4).selectExpr("xxhash64(id) % 300 AS src", "1000 + id % 700 AS dst")
+    seeds = spark.createDataFrame([(i, i - 150) for i in range(300)], "query_id long, node long")
+    shuffled = []
+    for rounds in (1, 5):
+        before = _shuffled(spark)
+        graph.ppr(edges, seeds, rounds=rounds).count()
+        shuffled.append(_shuffled(spark) - before)
+    assert shuffled[1] - shuffled[0] < 2000
