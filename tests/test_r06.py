@@ -63,3 +63,18 @@ def test_ppr_shuffles_no_edge_in_a_round(spark):
         graph.ppr(edges, seeds, rounds=rounds).count()
         shuffled.append(_shuffled(spark) - before)
     assert shuffled[1] - shuffled[0] < 2000
+
+
+def test_ingest_keeps_each_sketch_once(spark, tmp_path):
+    """Bands of kept texts have neither their ids nor their sketches; a stream of rows is taken as it is, and equal rows count once."""
+    from corvane.streaming import jobs
+
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("abcdefgh ", k=300)) for _ in range(60)]
+    schema = "name string, text string"
+    for i, rows in enumerate(([("/a" * 40 + str(n), t) for n, t in enumerate(texts)] * 2, [("/z1", texts[0] + "!"), ("/z2", texts[1]), ("/z3", "new text " * 9)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.ingest_stream(spark, spark.readStream.schema(schema).parquet(f"{tmp_path}/in").selectExpr("name AS path", "text"), str(tmp_path))
+        assert spark.read.parquet(f"{tmp_path}/chunks").count() == 60 + i
+    bands, sketches = (spark.read.parquet(f"{tmp_path}/signatures/*/{x}") for x in ("bands", "sketches"))
+    assert (bands.count(), sketches.count()) == (61 * 32, 61) and not {"id", "sketch"} & set(bands.columns)
